@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -88,8 +87,8 @@ def _fit_broadcast(words: DataFrame, terms: DataFrame, width: int, cfg: LsaConfi
         return _rows_to_list(_unit_rows(out))
 
     rows = matrix.select(*keep, project("idx", "val").alias("lsa"))
-    loadings = pd.DataFrame({"term": [t for t, _ in vocabulary], "loading": list(basis)})
-    return Lsa(rows, spark.createDataFrame(loadings, "term string, loading array<double>"), singular)
+    loadings = pa.table({"term": [t for t, _ in vocabulary], "loading": _rows_to_list(basis)})
+    return Lsa(rows, spark.createDataFrame(loadings), singular)
 
 
 def _term_products(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
@@ -109,7 +108,9 @@ def _term_products(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
                 total[touched] += np.add.reduceat(spread[order], first)
         for block, start in enumerate(range(0, shape[0], BLOCK_TERMS)):
             payload = total[start : start + BLOCK_TERMS].tobytes()
-            yield pa.RecordBatch.from_pydict({"block": [block], "payload": [payload]})
+            yield pa.RecordBatch.from_pydict(
+                {"block": pa.array([block], pa.int32()), "payload": pa.array([payload], pa.binary())}
+            )
 
     blocks = (
         matrix.select("idx", "val")

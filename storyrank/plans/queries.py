@@ -129,8 +129,7 @@ def news_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "news")
     first = views.status_lines(rows.filter(F.col("lang") == "en"))
     for load, lines in enumerate([first, views.status_lines(rows, extra_reposts=1)]):
-        arrived = lines.withColumn("line", F.monotonically_increasing_id())
-        ingest.ingest_batch(arrived, path, load=load, arrival=["line"])
+        ingest.ingest_batch(lines, path, load=load, arrival=())
     return news_source.read_news(spark, path).select("id_str", "tweet", "ctime", "rt_cnt")
 
 

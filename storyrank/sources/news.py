@@ -11,8 +11,9 @@ from storyrank import schema
 from storyrank.config import LookupConfig
 from storyrank.functions import text
 
-# Arrival order of lines in landed text files.
-FILE_ARRIVAL = ("landed_at", "file", "file_start", "line")
+# Arrival order of landed text files; `LINE` then numbers the lines of one file split.
+FILE_ARRIVAL = ("landed_at", "file", "file_start")
+LINE = "_line"
 
 
 def with_arrival(lines: DataFrame) -> DataFrame:
@@ -22,7 +23,6 @@ def with_arrival(lines: DataFrame) -> DataFrame:
         F.col("_metadata.file_modification_time").alias("landed_at"),
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("file_start"),
-        F.monotonically_increasing_id().alias("line"),
     )
 
 
@@ -110,18 +110,20 @@ def append_news(
     arrival: Sequence[str] = FILE_ARRIVAL,
     cfg: LookupConfig = LookupConfig(),
 ) -> None:
-    """Append accepted posts with unseen ids, in arrival order.
+    """Append accepted posts with unseen ids, in arrival order: `arrival` columns, then line.
 
     The table itself is the memory of what was seen, so running a load again after a failure
     adds only what the failed attempt did not. One writer per table at a time.
     """
     spark = parsed.sparkSession
     create_news(spark, path)
-    posts = first_versions(accepted(parsed), arrival).persist()
+    numbered = accepted(parsed).withColumn(LINE, F.monotonically_increasing_id())
+    order = [*arrival, LINE]
+    posts = first_versions(numbered, order).persist()
     try:
         fresh = unseen(posts, spark.read.schema(schema.NEWS).parquet(path), cfg)
         ordered = (
-            fresh.orderBy(*arrival)
+            fresh.orderBy(*order)
             .withColumn("load", F.lit(load).cast("long"))
             .withColumn("position", F.monotonically_increasing_id())
         )
