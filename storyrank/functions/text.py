@@ -7,8 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four information separators.
+# Unicode white space plus the four information separators, and its complement.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+_INK = r"[^\s\x1c-\x1f]"
+
+# Tokens that carry no news: mentions, tags, links and the repost marker, whole and lower-cased.
+_MARKUP = rf"(?<!{_INK})(?:[@#]{_INK}*|http{_INK}*|rt(?!{_INK}))"
 
 
 def tokens(text: Column) -> Column:
@@ -16,27 +20,21 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, WHITESPACE), lambda t: t != "")
 
 
-def is_markup(token: Column) -> Column:
-    """Mentions, tags, links and the repost marker."""
-    return token.startswith("@") | token.startswith("#") | token.startswith("http") | (token == "rt")
-
+def plain_words(text: Column, min_length: int = 1) -> Column:
+    """Lower-cased letter runs of a post outside its markup tokens, short runs left out.
 
-def plain_words(text: Column) -> Column:
-    """Lower-cased letter runs of a post, markup tokens left out."""
-    kept = F.filter(tokens(F.lower(text)), lambda t: ~is_markup(t))
-    return F.filter(F.split(F.array_join(kept, " "), "[^a-zA-Z]+"), lambda w: w != "")
+    One pass of one pattern: a markup token matches whole and captures nothing, a letter run
+    is captured.
+    """
+    pattern = rf"(?U){_MARKUP}|([a-z]{{{min_length},}})"
+    found = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
+    return F.filter(found, lambda w: w != "")
 
 
 def long_enough(words: Column, min_length: int) -> Column:
     return F.filter(words, lambda w: F.length(w) >= min_length)
 
 
-def content_words(words: Column, stop_words: Sequence[str], min_length: int) -> Column:
-    """Words that are no stop words and have at least `min_length` letters."""
-    stops = list(stop_words)
-    return F.filter(words, lambda w: (F.length(w) >= min_length) & ~w.isin(stops))
-
-
 def without(words: Column, stop_words: Sequence[str]) -> Column:
     stops = list(stop_words)
     return F.filter(words, lambda w: ~w.isin(stops))

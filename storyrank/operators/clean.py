@@ -12,10 +12,9 @@ from storyrank.operators import lexicon as lex
 
 def clean_words(post: Column, cfg: CleanConfig = CleanConfig()) -> Column:
     """array<string> of the words kept before any lexicon pass."""
-    words = text.plain_words(post)
-    if cfg.remove_stop:
-        words = text.content_words(words, cfg.stop_words, cfg.min_word_length)
-    return words
+    if not cfg.remove_stop:
+        return text.plain_words(post)
+    return text.without(text.plain_words(post, cfg.min_word_length), cfg.stop_words)
 
 
 def clean_posts(

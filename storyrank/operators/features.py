@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,23 +55,35 @@ def tfidf_long(
     return raw.select("id_str", "term", (F.col("raw") / norm).alias("weight"))
 
 
-def tfidf_vectors(words: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFrame:
-    """Add the unit TF-IDF vector column `tfidf` for a bounded [(term, idf)] vocabulary.
+def tfidf_rows(words: DataFrame, vocabulary: pa.Table) -> DataFrame:
+    """Replace `words` by the sparse unit TF-IDF row (`idx`, `val`) over a bounded vocabulary.
 
-    Three narrow, JVM-side transforms; nothing is shuffled. Documents without any vocabulary
-    term get a zero vector.
+    `vocabulary` (term, idf) travels to the executors once and each Arrow batch is counted and
+    weighed in place: no shuffle. Documents without any vocabulary term get an empty row.
     """
-    spark = words.sparkSession
-    if not vocabulary:
-        raise ValueError("no term is within the document frequency bounds")
-    counter = CountVectorizerModel.from_vocabulary(
-        [term for term, _ in vocabulary], inputCol="words", outputCol="_tf"
+    shipped = words.sparkSession.sparkContext.broadcast(
+        (vocabulary["term"].combine_chunks(), vocabulary["idf"].to_numpy())
     )
-    weigh = ElementwiseProduct(
-        scalingVec=Vectors.dense([idf for _, idf in vocabulary]), inputCol="_tf", outputCol="_raw"
-    )
-    scale = Normalizer(p=2.0, inputCol="_raw", outputCol="tfidf")
-    return scale.transform(weigh.transform(counter.transform(words))).drop("_tf", "_raw")
+
+    @F.arrow_udf("struct<idx:array<int>,val:array<double>>")
+    def weigh(docs: pa.Array) -> pa.Array:
+        terms, idf = shipped.value
+        flat = docs.flatten()
+        at = pc.index_in(flat, value_set=terms.cast(flat.type))
+        sizes = pc.fill_null(pc.list_value_length(docs), 0).to_numpy()
+        doc = np.repeat(np.arange(len(docs), dtype=np.int64), sizes)
+        cells = doc[at.is_valid().to_numpy(zero_copy_only=False)] * len(idf) + at.drop_null().to_numpy()
+        cells, tf = np.unique(cells, return_counts=True)
+        doc, term = np.divmod(cells, len(idf))
+        raw = tf * idf[term]
+        norm = np.sqrt(np.bincount(doc, raw * raw, minlength=len(docs)))
+        offsets = pa.array(np.searchsorted(doc, np.arange(len(docs) + 1)).astype(np.int32))
+        idx = pa.ListArray.from_arrays(offsets, pa.array(term.astype(np.int32)))
+        val = pa.ListArray.from_arrays(offsets, pa.array(raw / norm[doc]))
+        return pa.StructArray.from_arrays([idx, val], ["idx", "val"])
+
+    keep = [c for c in words.columns if c != "words"]
+    return words.select(*keep, weigh("words").alias("_row")).select(*keep, "_row.idx", "_row.val")
 
 
 def frequent_terms(words: DataFrame, min_df: int, max_features: int) -> DataFrame:

@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from storyrank.config import LookupConfig, LsaConfig
 from storyrank.functions import vectors
-from storyrank.operators.features import tfidf_long, tfidf_vectors
+from storyrank.operators.features import tfidf_long, tfidf_rows
 from storyrank.operators.lookup import salted_join
 from storyrank.sources.scratch import stored
 
-CHUNK_NONZEROS = 65_536
+CHUNK_NONZEROS = 2_048
 BLOCK_TERMS = 8_192
 
 
@@ -62,18 +62,15 @@ def fit_lsa(
 
 def _fit_broadcast(words: DataFrame, terms: DataFrame, width: int, cfg: LsaConfig) -> Lsa:
     spark = words.sparkSession
-    vocabulary = sorted((r["term"], r["idf"]) for r in terms.select("term", "idf").collect())
-    sparse = tfidf_vectors(words, vocabulary).withColumn("_v", F.unwrap_udt("tfidf"))
+    vocabulary = terms.select("term", "idf").orderBy("term").toArrow()
     keep = [c for c in words.columns if c != "words"]
-    matrix = stored(
-        sparse.select(*keep, F.col("_v.indices").alias("idx"), F.col("_v.values").alias("val")),
-        "lsa-matrix",
-    )
+    matrix = stored(tfidf_rows(words, vocabulary), "lsa-matrix")
 
-    n_terms = len(vocabulary)
-    q, _ = np.linalg.qr(np.random.default_rng(cfg.seed).standard_normal((n_terms, width)))
+    start = np.random.default_rng(cfg.seed).standard_normal((vocabulary.num_rows, width))
+    q = start @ _whitener(start.T @ start)
     for _ in range(cfg.rounds):
-        q, _ = np.linalg.qr(_term_products(matrix, q))
+        z = _term_products(matrix, q)
+        q = z @ _whitener(z.T @ z)
     rotation, singular = _rotation(_sketch_gram(matrix, q), cfg.components)
     basis = q @ rotation
 
@@ -82,32 +79,31 @@ def _fit_broadcast(words: DataFrame, terms: DataFrame, width: int, cfg: LsaConfi
     @F.arrow_udf("array<double>")
     def project(idx: pa.Array, val: pa.Array) -> pa.Array:
         out = np.zeros((len(idx), shipped.value.shape[1]))
-        for rows, i, v, starts in _chunks(idx, val):
-            out[rows] = np.add.reduceat(v[:, None] * shipped.value[i], starts)
+        for rows, dense, touched in _chunks(idx, val):
+            out[rows] = dense @ shipped.value[touched]
         return _rows_to_list(_unit_rows(out))
 
     rows = matrix.select(*keep, project("idx", "val").alias("lsa"))
-    loadings = pa.table({"term": [t for t, _ in vocabulary], "loading": _rows_to_list(basis)})
+    loadings = pa.table({"term": vocabulary["term"], "loading": _rows_to_list(basis)})
     return Lsa(rows, spark.createDataFrame(loadings), singular)
 
 
 def _term_products(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
-    """A'A q, reduced per block of terms on the executors."""
-    shipped = matrix.sparkSession.sparkContext.broadcast(q)
+    """A'A q, reduced per block of terms on the executors.
+
+    Single precision: this product only steers the subspace, the singular values and factors come
+    from the double-precision pass that follows.
+    """
+    shipped = matrix.sparkSession.sparkContext.broadcast(q.astype(np.float32))
     shape = q.shape
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, basis = np.zeros(shape), shipped.value
         for batch in batches:
-            for _, i, v, starts in _chunks(batch.column(0), batch.column(1)):
-                sketch = np.add.reduceat(v[:, None] * basis[i], starts)
-                counts = np.diff(np.append(starts, len(i)))
-                spread = v[:, None] * np.repeat(sketch, counts, axis=0)
-                order = np.argsort(i, kind="stable")
-                touched, first = np.unique(i[order], return_index=True)
-                total[touched] += np.add.reduceat(spread[order], first)
+            for _, dense, touched in _chunks(batch.column(0), batch.column(1), np.float32):
+                total[touched] += dense.T @ (dense @ basis[touched])
         for block, start in enumerate(range(0, shape[0], BLOCK_TERMS)):
-            payload = total[start : start + BLOCK_TERMS].tobytes()
+            payload = total[start : start + BLOCK_TERMS].astype(np.float32).tobytes()
             yield pa.RecordBatch.from_pydict(
                 {"block": pa.array([block], pa.int32()), "payload": pa.array([payload], pa.binary())}
             )
@@ -115,12 +111,13 @@ def _term_products(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
     blocks = (
         matrix.select("idx", "val")
         .mapInArrow(partial, "block int, payload binary")
-        .rdd.map(lambda r: (r["block"], np.frombuffer(r["payload"])))
-        .reduceByKey(np.add)
+        .rdd.map(lambda r: (r["block"], np.frombuffer(r["payload"], np.float32)))
+        .reduceByKey(lambda a, b: np.add(a, b, dtype=np.float64))
         .collect()
     )
     shipped.unpersist()
-    return np.concatenate([values for _, values in sorted(blocks, key=lambda b: b[0])]).reshape(shape)
+    ordered = [values for _, values in sorted(blocks, key=lambda b: b[0])]
+    return np.concatenate(ordered).astype(np.float64).reshape(shape)
 
 
 def _sketch_gram(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
@@ -130,8 +127,8 @@ def _sketch_gram(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((q_width, q_width))
         for batch in batches:
-            for _, i, v, starts in _chunks(batch.column(0), batch.column(1)):
-                sketch = np.add.reduceat(v[:, None] * shipped.value[i], starts)
+            for _, dense, touched in _chunks(batch.column(0), batch.column(1)):
+                sketch = dense @ shipped.value[touched]
                 gram += sketch.T @ sketch
         yield _numbered_rows(gram)
 
@@ -139,25 +136,27 @@ def _sketch_gram(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
     return _sum_rows(matrix.select("idx", "val").mapInArrow(partial, "i int, v array<double>"))
 
 
-def _chunks(idx: pa.Array, val: pa.Array):
+def _chunks(idx: pa.Array, val: pa.Array, dtype=np.float64):
     """Split a batch of sparse rows into runs of about CHUNK_NONZEROS entries.
 
-    Yields (positions of the non-empty rows, term positions, values, start of each row).
+    A run is short enough that its rows, restricted to the terms they touch, make a small dense
+    matrix. Yields (positions of the rows, that matrix, touched terms); empty rows are left out.
     """
     sizes = idx.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(sizes)
-    flat_i = idx.flatten().to_numpy(zero_copy_only=False)
-    flat_v = val.flatten().to_numpy(zero_copy_only=False)
     filled = np.flatnonzero(sizes)
-    begin = 0
+    sizes = sizes[filled]
+    ends = np.cumsum(sizes)
+    terms = idx.flatten().to_numpy(zero_copy_only=False)
+    weights = val.flatten().to_numpy(zero_copy_only=False)
+    begin = first = 0
     while begin < len(filled):
-        first = ends[filled[begin]] - sizes[filled[begin]]
-        stop = np.searchsorted(ends[filled], first + CHUNK_NONZEROS, side="right")
-        stop = max(int(stop), begin + 1)
-        rows = filled[begin:stop]
-        last = ends[rows[-1]]
-        yield rows, flat_i[first:last], flat_v[first:last], ends[rows] - sizes[rows] - first
-        begin = stop
+        stop = max(int(np.searchsorted(ends, first + CHUNK_NONZEROS, side="right")), begin + 1)
+        last = int(ends[stop - 1])
+        touched, column = np.unique(terms[first:last], return_inverse=True)
+        dense = np.zeros((stop - begin, len(touched)), dtype)
+        dense[np.repeat(np.arange(stop - begin), sizes[begin:stop]), column] = weights[first:last]
+        yield filled[begin:stop], dense, touched
+        begin, first = stop, last
 
 
 # -------------------------------------------------------------------- keyed layout
@@ -207,10 +206,7 @@ def _signs(width: int, seed: int):
 
 def _orthonormal(z: DataFrame) -> DataFrame:
     """(term, q vector) with orthonormal columns; directions without weight become zero."""
-    values, directions = np.linalg.eigh(_gram(z.select("q")))
-    strong = values > values[-1] * 1e-14
-    inverse = np.where(strong, 1.0 / np.sqrt(np.where(strong, values, 1.0)), 0.0)
-    return z.select("term", array_to_vector(_times(directions * inverse)("q")).alias("q"))
+    return z.select("term", array_to_vector(_times(_whitener(_gram(z.select("q"))))("q")).alias("q"))
 
 
 def _times(factor: np.ndarray, scale_rows: bool = False):
@@ -242,6 +238,13 @@ def _gram(rows: DataFrame) -> np.ndarray:
 # ----------------------------------------------------------------------- small parts
 
 
+def _whitener(gram: np.ndarray) -> np.ndarray:
+    """W with (XW)'(XW) = I for X'X = gram; directions without weight become zero."""
+    values, directions = np.linalg.eigh(gram)
+    strong = values > values[-1] * 1e-14
+    return directions * np.where(strong, 1.0 / np.sqrt(np.where(strong, values, 1.0)), 0.0)
+
+
 def _rotation(gram: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
     values, directions = np.linalg.eigh(gram)
     top = np.argsort(values)[::-1][: min(components, len(values))]

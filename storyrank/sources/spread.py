@@ -1,0 +1,17 @@
+"""Scans of few, coarse splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Deal a plain scan with fewer splits than twice the cores out over all cores.
+
+    Only small inputs have so few splits. A large one already keeps every core busy and is left
+    as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= 2 * cores:
+        return scan
+    return scan.repartition(cores, key)
