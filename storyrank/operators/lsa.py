@@ -29,7 +29,7 @@ from storyrank.operators.lookup import salted_join
 from storyrank.sources.scratch import stored
 
 CHUNK_NONZEROS = 2_048
-BLOCK_TERMS = 8_192
+BLOCK_TERMS = 64
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,8 @@ def fit_lsa(
 
 def _fit_broadcast(words: DataFrame, terms: DataFrame, width: int, cfg: LsaConfig) -> Lsa:
     spark = words.sparkSession
-    vocabulary = terms.select("term", "idf").orderBy("term").toArrow()
+    # frequent terms first: the rows that most documents touch then sit close together
+    vocabulary = terms.select("term", "idf").orderBy("idf", "term").toArrow()
     keep = [c for c in words.columns if c != "words"]
     matrix = stored(tfidf_rows(words, vocabulary), "lsa-matrix")
 
@@ -98,26 +99,36 @@ def _term_products(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
     shape = q.shape
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, basis = np.zeros(shape), shipped.value
+        total, basis = np.zeros((blocks * BLOCK_TERMS, width), np.float32), shipped.value
         for batch in batches:
             for _, dense, touched in _chunks(batch.column(0), batch.column(1), np.float32):
                 total[touched] += dense.T @ (dense @ basis[touched])
-        for block, start in enumerate(range(0, shape[0], BLOCK_TERMS)):
-            payload = total[start : start + BLOCK_TERMS].astype(np.float32).tobytes()
-            yield pa.RecordBatch.from_pydict(
-                {"block": pa.array([block], pa.int32()), "payload": pa.array([payload], pa.binary())}
-            )
-
-    blocks = (
-        matrix.select("idx", "val")
-        .mapInArrow(partial, "block int, payload binary")
-        .rdd.map(lambda r: (r["block"], np.frombuffer(r["payload"], np.float32)))
-        .reduceByKey(lambda a, b: np.add(a, b, dtype=np.float64))
-        .collect()
-    )
+        in_use = np.flatnonzero(total.reshape(blocks, -1).any(axis=1))
+        yield _payloads(in_use, total.reshape(blocks, -1)[in_use])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(payload.as_buffer(), np.float32)
+                sums[block] = sums[block] + part if block in sums else part.astype(np.float64)
+        if sums:
+            yield _payloads(np.array(list(sums)), np.stack(list(sums.values())))
+
+    n_terms, width = q.shape
+    blocks = -(-n_terms // BLOCK_TERMS)
+    parts = matrix.select("idx", "val").mapInArrow(partial, "block int, payload binary")
+    reduced = parts.repartition("block").mapInArrow(summed, "block int, payload binary").toArrow()
     shipped.unpersist()
-    ordered = [values for _, values in sorted(blocks, key=lambda b: b[0])]
-    return np.concatenate(ordered).astype(np.float64).reshape(shape)
+    z = np.zeros((blocks, BLOCK_TERMS * width))
+    for block, payload in zip(reduced["block"].to_pylist(), reduced["payload"]):
+        z[block] = np.frombuffer(payload.as_buffer())
+    return z.reshape(-1, width)[:n_terms]
+
+
+def _payloads(block: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    payload = pa.array([row.tobytes() for row in values], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), payload], ["block", "payload"])
 
 
 def _sketch_gram(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
