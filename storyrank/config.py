@@ -82,7 +82,7 @@ class WordVectorConfig:
     window: int = 7
     min_count: int = 4
     max_iter: int = 4
-    partitions: int = 4
+    partitions: int = 8
     similar: int = 10
     seed: int = 42
 

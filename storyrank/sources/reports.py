@@ -37,7 +37,13 @@ def write_posts(posts: DataFrame, path: str, order: list[Column], ascii_text: bo
     """Winners or final posts as CSV with header and quoting; a few rows, hence one file."""
     tweet = text.ascii_only(F.col("tweet")) if ascii_text else F.col("tweet")
     rows = posts.orderBy(*order).select(tweet.alias("tweet"), "ctime", "rt_cnt")
-    rows.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    options = {
+        "header": True,
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+    }
+    rows.coalesce(1).write.options(**options).csv(path)
 
 
 def report_lines(posts: DataFrame) -> DataFrame:
