@@ -18,10 +18,9 @@ class CleanConfig:
 
 @dataclass(frozen=True)
 class LookupConfig:
-    """When a lookup side is small enough to broadcast, and how to spread it when it is not."""
+    """Rows up to which a look-up table is broadcast: a key and a number each, about 100 bytes."""
 
-    max_broadcast_rows: int = 500_000
-    salts: int = 16
+    max_broadcast_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)

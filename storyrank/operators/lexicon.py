@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyrank.config import LookupConfig
-from storyrank.operators.lookup import salted_join
+from storyrank.operators.lookup import lookup
+from storyrank.sources.scratch import stored
 
 
 def stem_table(stems: DataFrame) -> DataFrame:
@@ -71,11 +72,12 @@ def _replace_by_join(
     docs: DataFrame, table: DataFrame, cfg: LookupConfig, key: str
 ) -> DataFrame:
     keep = [c for c in docs.columns if c not in (key, "words")]
+    docs = stored(docs, "unmapped")
     long = docs.select(key, *keep, F.posexplode_outer("words").alias("_pos", "token"))
     word = F.coalesce("replacement", "token")
     placed = F.when(word.isNotNull(), F.struct("_pos", word.alias("w")))
     return (
-        salted_join(long, table, ["token"], cfg.salts, "left")
+        lookup(long, stored(table, "lexicon"), ["token"], cfg, "left", small=False)
         .groupBy(key)
         .agg(
             *[F.any_value(c).alias(c) for c in keep],

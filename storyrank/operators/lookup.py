@@ -1,7 +1,8 @@
-"""Equality look-ups of many rows in a table of unique keys.
+"""Equality look-ups of many rows (facts) in a table of unique keys.
 
-A side whose row count is proven small is broadcast. A larger one is joined by shuffle with the
-many-row side salted, so that one key holding a third of all rows still spreads over tasks.
+A table whose row count is proven small is broadcast. With a larger one the keys that many facts
+share are split off: there are few of them by counting, so their table rows are broadcast and
+their facts never move. What remains is joined by shuffle, and none of its keys is hot.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ def lookup(
     cfg: LookupConfig = LookupConfig(),
     how: str = "inner",
     small: bool | None = None,
+    heat: DataFrame | None = None,
 ) -> DataFrame:
-    """Join `facts` to `table`, unique on `keys`.
+    """Join `facts` to `table`, unique on `keys`; `how` is `inner` or `left`.
 
     Pass `small` when the size is already known; otherwise the table is written to scratch, so
-    that counting it and joining it compute it once.
+    that counting it and joining it compute it once. Pass `heat`, a stored table (keys, n) of
+    facts per key, when it is at hand.
     """
     keys = list(keys)
     if small is None:
@@ -34,14 +37,30 @@ def lookup(
         small = table.count() <= cfg.max_broadcast_rows
     if small:
         return facts.join(F.broadcast(table), keys, how)
-    return salted_join(facts, table, keys, cfg.salts, how)
+    return split_join(facts, table, keys, cfg.max_broadcast_rows, how, heat)
 
 
-def salted_join(
-    facts: DataFrame, table: DataFrame, keys: Sequence[str], salts: int, how: str = "inner"
+def split_join(
+    facts: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    max_hot: int,
+    how: str = "inner",
+    heat: DataFrame | None = None,
 ) -> DataFrame:
-    """Shuffle join in which each key of `facts` is dealt out over `salts` partitions."""
-    # the salt comes from the row itself, so a task that runs again deals rows out the same way
-    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
-    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return facts.withColumn("_salt", salt).join(spread, [*keys, "_salt"], how).drop("_salt")
+    """Broadcast join for the hot keys of `facts`, shuffle join for all others.
+
+    A key is hot when it holds more than one `max_hot`-th of all facts, so fewer than `max_hot`
+    keys are hot and no other key can overload a task.
+    """
+    keys = list(keys)
+    if heat is None:
+        heat = stored(facts.groupBy(*keys).agg(F.count("*").alias("n")), "heat")
+    total = heat.agg(F.sum("n")).first()[0] or 0
+    hot = stored(heat.filter(F.col("n") > total / max(max_hot, 1)).select(*keys), "hot-keys")
+    hot_rows = table.join(F.broadcast(hot), keys, "left_semi")
+    if how == "left":
+        hot_rows = hot.join(F.broadcast(hot_rows), keys, "left")
+    still = facts.join(F.broadcast(hot_rows), keys)
+    moved = facts.join(F.broadcast(hot), keys, "left_anti").join(table, keys, how)
+    return still.unionByName(moved)

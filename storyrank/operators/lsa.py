@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from storyrank.config import LookupConfig, LsaConfig
 from storyrank.functions import vectors
 from storyrank.operators.features import tfidf_long, tfidf_rows
-from storyrank.operators.lookup import salted_join
+from storyrank.operators.lookup import split_join
 from storyrank.sources.scratch import stored
 
 CHUNK_NONZEROS = 2_048
@@ -181,9 +181,13 @@ def _fit_keyed(
         tfidf_long(words.select("id_str", "words"), terms, lookup_cfg, small=False), "lsa-weights"
     )
 
+    # every weight row is one document of its term, so document frequency is the heat of a term
+    heat = terms.select("term", F.col("df").alias("n"))
+    max_hot = cfg.max_broadcast_bytes // (width * 8)
+
     def sketch(q: DataFrame) -> DataFrame:
         """(id_str, y): rows of A q."""
-        joined = salted_join(weights, q, ["term"], lookup_cfg.salts)
+        joined = split_join(weights, q, ["term"], max_hot, heat=heat)
         y = Summarizer.sum(F.col("q"), F.col("weight"))
         return joined.groupBy("id_str").agg(vector_to_array(y).alias("y"))
 

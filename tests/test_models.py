@@ -43,10 +43,12 @@ def dense_tfidf(corpus, terms):
 CFG = LsaConfig(components=8, oversample=10, rounds=6)
 
 
-@pytest.mark.parametrize("bound", [CFG.max_broadcast_bytes, 0], ids=["broadcast", "keyed"])
+@pytest.mark.parametrize(
+    "bound", [CFG.max_broadcast_bytes, 0, 18 * 8 * 60], ids=["broadcast", "keyed", "keyed with hot terms"]
+)
 def test_lsa_layouts_match_an_exact_svd(corpus, terms, bound):
     cfg = LsaConfig(components=8, oversample=10, rounds=6, max_broadcast_bytes=bound)
-    found = lsa.fit_lsa(corpus, terms, cfg, LookupConfig(salts=4))
+    found = lsa.fit_lsa(corpus, terms, cfg, LookupConfig())
     a = dense_tfidf(corpus, terms)
     _, s, vt = np.linalg.svd(a, full_matrices=False)
     assert np.all(np.diff(found.singular_values) <= 1e-9)
