@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyrank.config import LookupConfig, PhraseConfig
@@ -16,16 +16,17 @@ def pair_counts(corpus: DataFrame) -> DataFrame:
     One pass over the text serves pairs and single words: a word occurs as often as it opens a
     pair, NULL pairs included.
     """
-    words = F.split("clean", " ")
+    words = corpus.select(F.split("clean", " ").alias("words"))
+    pairs = words.select(F.explode(_neighbours("words")).alias("p"))
+    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+
+
+def _neighbours(words: str) -> Column:
+    """array<struct<a,b>>: each word with the next one, NULL after the last."""
     following = F.concat(
-        F.slice(F.col("w"), F.lit(2), F.size("w")), F.array(F.lit(None).cast("string"))
-    )
-    pairs = corpus.select(words.alias("w")).select(F.explode(F.arrays_zip("w", following.alias("f"))).alias("p"))
-    return (
-        pairs.select(F.col("p.w").alias("a"), F.col("p.f").alias("b"))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n"))
+        F.slice(words, F.lit(2), F.size(words)), F.array(F.lit(None).cast("string"))
     )
+    return F.arrays_zip(F.col(words).alias("a"), following.alias("b"))
 
 
 def phrase_scores(
@@ -66,8 +67,8 @@ def merge_phrases(
     In a run of overlapping accepted pairs every second one is taken, starting with the first,
     which is what a greedy reader does. The windows span one document each.
     """
-    positions = docs.select("id_str", "words", F.posexplode("words").alias("pos", "a"))
-    long = positions.select("id_str", "pos", "a", F.get("words", F.col("pos") + 1).alias("b"))
+    positions = docs.select("id_str", F.posexplode(_neighbours("words")).alias("pos", "p"))
+    long = positions.select("id_str", "pos", "p.a", "p.b")
     known = accepted.select("a", "b", F.lit(True).alias("hit"))
     marked = lookup(long, known, ["a", "b"], lookup_cfg, how="left")
 

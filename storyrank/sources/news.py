@@ -37,14 +37,14 @@ def parse_status(raw: DataFrame) -> DataFrame:
     A status must have the keys `user` and `text`, and carry the four fields that are kept. A
     present field may be null, except the id.
     """
-    parsed = raw.withColumn("_keys", F.json_object_keys("value")).withColumn(
-        "_status", F.from_json("value", schema.STATUS)
-    )
-    reject = (
-        F.when(F.col("_keys").isNull(), "not a JSON object")
-        .when(~_has_all(schema.STATUS_MARKS), "not a status")
-        .when(~_has_all(schema.STATUS_FIELDS), "missing field")
-        .when(F.col("_status.id_str").isNull(), "no id")
+    parsed = raw.withColumn("_status", F.from_json("value", schema.STATUS))
+    no_id = F.col("_status.id_str").isNull()
+    reject = text.let(
+        F.json_object_keys("value"),
+        lambda keys: F.when(keys.isNull(), "not a JSON object")
+        .when(~_has_all(keys, schema.STATUS_MARKS), "not a status")
+        .when(~_has_all(keys, schema.STATUS_FIELDS), "missing field")
+        .when(no_id, "no id"),
     )
     return parsed.select(
         *raw.columns,
@@ -57,9 +57,8 @@ def parse_status(raw: DataFrame) -> DataFrame:
     )
 
 
-def _has_all(keys: Sequence[str]) -> Column:
-    wanted = F.array(*[F.lit(k) for k in keys])
-    return F.size(F.array_except(wanted, F.col("_keys"))) == 0
+def _has_all(keys: Column, wanted: Sequence[str]) -> Column:
+    return F.size(F.array_except(F.array(*[F.lit(k) for k in wanted]), keys)) == 0
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

@@ -176,3 +176,27 @@ def test_member_report_is_in_order(spark, tmp_path):
 def test_scratch_is_the_configured_folder(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert stored(spark.range(5), "numbers").count() == 5
+
+
+def test_whole_job_writes_every_report(spark, sf_dir, tmp_path):
+    from storyrank.plans import views
+    from storyrank.plans.reports import write_reports
+
+    table, out = str(tmp_path / "news"), str(tmp_path / "out")
+    rows = views.news(spark, sf_dir)
+    ingest.ingest_batch(views.status_lines(rows), table, arrival=())
+    stored_news = news.read_news(spark, table)
+    write_reports(stored_news, out)
+    n = stored_news.count()
+    assert spark.read.parquet(f"{out}/cleaned").count() == n
+    members = spark.read.parquet(f"{out}/cluster_members")
+    distinct = members.select("clean").distinct().count()
+    assert members.count() == distinct <= n
+    scored = spark.read.parquet(f"{out}/scored_posts")
+    assert scored.groupBy("cluster").count().agg(F.max("count")).first()[0] <= 30
+    options = {"header": True, "escape": '"', "multiLine": True}
+    winners = spark.read.options(**options).csv(f"{out}/cluster_winners")
+    assert winners.count() == scored.select("cluster").distinct().count()
+    final = spark.read.options(**options).csv(f"{out}/final_posts")
+    assert final.columns == ["tweet", "ctime", "rt_cnt"] and final.count() == 2
+    assert spark.read.option("header", True).csv(f"{out}/cluster_terms").count() == 25
