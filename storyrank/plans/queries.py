@@ -20,6 +20,7 @@ from storyrank.config import (
 from storyrank.functions import text
 from storyrank.operators import cluster, corpus, embed, features, lsa, phrases, rank, topics
 from storyrank.operators.clean import clean_posts
+from storyrank.operators.lookup import lookup
 from storyrank.plans import hot_news as plan
 from storyrank.plans import views
 from storyrank.sources import news as news_source
@@ -254,8 +255,7 @@ def nearest30(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of each cluster with their distance text and the size of the cluster."""
     members = _label_members(spark, sf_dir)
-    sizes = F.broadcast(cluster.cluster_sizes(members))
-    return members.join(sizes, "cluster").select(
+    return lookup(members, cluster.cluster_sizes(members), ["cluster"]).select(
         "cluster", "vec_id", text.fixed3(F.col("dist")).alias("dist"), "n_members"
     )
 

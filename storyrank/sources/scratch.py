@@ -14,15 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+# folders made for local sessions that name none, by application
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="storyrank-")
-        spark.conf.set(CHECKPOINT_SETTING, configured)
-    return configured.rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="storyrank-")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -26,10 +26,11 @@ def ingest_batch(
     load: int = -1,
     arrival: Sequence[str] = news.FILE_ARRIVAL,
     cfg: LookupConfig = LookupConfig(),
+    by_day: bool = False,
 ) -> None:
     """Load one batch of status lines, for example a backfill, before any stream batch."""
     parsed = news.parse_status(lines)
-    news.append_news(parsed, table, load, arrival, cfg)
+    news.append_news(parsed, table, load, arrival, cfg, by_day)
     if rejects is not None:
         # one folder per load: a load that runs again replaces its own rejects
         news.rejected(parsed).write.mode("overwrite").json(f"{rejects}/load={load}")
@@ -44,6 +45,7 @@ def ingest_stream(
     available_now: bool = False,
     interval: str = "10 seconds",
     cfg: LookupConfig = LookupConfig(),
+    by_day: bool = False,
 ) -> StreamingQuery:
     """Write a stream of status lines to the news table, each id once, first version wins.
 
@@ -53,7 +55,7 @@ def ingest_stream(
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, table, rejects, batch_id, arrival, cfg)
+        ingest_batch(batch, table, rejects, batch_id, arrival, cfg, by_day)
 
     writer = lines.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     if available_now:

@@ -65,14 +65,15 @@ FIRST = [status(1, 10), status(2, 20), "oops", status(1, 11)]
 SECOND = [status(2, 99), status(3, 30), '{"text":"x"}', status(3, 31)]
 
 
+@pytest.mark.parametrize("by_day", [False, True], ids=["flat", "by day"])
 @pytest.mark.parametrize("cfg", [LookupConfig(), LookupConfig(max_broadcast_rows=0)], ids=["few", "many"])
-def test_stream_keeps_first_versions_across_a_restart(spark, tmp_path, cfg):
+def test_stream_keeps_first_versions_across_a_restart(spark, tmp_path, cfg, by_day):
     landing, table, rejects = (str(tmp_path / n) for n in ("landing", "news", "rejects"))
 
     def run():
         source = ingest.landed_stream(spark, landing, files_per_batch=1)
         ingest.ingest_stream(
-            source, table, str(tmp_path / "checkpoint"), rejects, available_now=True, cfg=cfg
+            source, table, str(tmp_path / "checkpoint"), rejects, available_now=True, cfg=cfg, by_day=by_day
         ).awaitTermination()
 
     land(landing, "b.json", FIRST, at=1_000_000_000)
@@ -200,3 +201,35 @@ def test_whole_job_writes_every_report(spark, sf_dir, tmp_path):
     final = spark.read.options(**options).csv(f"{out}/final_posts")
     assert final.columns == ["tweet", "ctime", "rt_cnt"] and final.count() == 2
     assert spark.read.option("header", True).csv(f"{out}/cluster_terms").count() == 25
+
+
+def test_only_the_days_of_a_load_are_probed(spark, tmp_path):
+    table = str(tmp_path / "news")
+    times = ["Sat Jan 14 03:25:04 +0000 2017", "Sun Jan 15 05:45:04 +0000 2017", "never"]
+    lines = spark.createDataFrame([(status(i, i, created_at=times[i % 3]),) for i in range(9)], "value string")
+    ingest.ingest_batch(lines, table, arrival=(), by_day=True)
+    ingest.ingest_batch(lines, table, load=1, arrival=(), by_day=True)
+    assert len(kept(spark, table)) == 9
+    stored_table = spark.read.parquet(table)
+    monday = news.accepted(news.parse_status(spark.createDataFrame([(status(1, created_at=times[1]),)], "value string")))
+    pruned = news._same_days(monday, stored_table)
+    assert sorted({str(r["day"]) for r in pruned.collect()}) == ["2017-01-15", "None"]
+    assert news.unseen(monday, stored_table).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        applicationId = "app"
+
+        def __init__(self, master):
+            self.master = master
+
+    class Session:
+        conf = {}
+
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Session("yarn"))
+    assert scratch_root(Session("local[2]")) == scratch_root(Session("local[2]"))
