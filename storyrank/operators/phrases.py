@@ -22,10 +22,10 @@ def pair_counts(corpus: DataFrame) -> DataFrame:
 
 
 def _neighbours(words: str) -> Column:
-    """array<struct<a,b>>: each word with the next one, NULL after the last."""
-    following = F.concat(
-        F.slice(words, F.lit(2), F.size(words)), F.array(F.lit(None).cast("string"))
-    )
+    """array<struct<a,b>>: each word with the next one, NULL after the last; empty for no words."""
+    size = F.size(words)
+    shifted = F.concat(F.slice(words, F.lit(2), size), F.array(F.lit(None).cast("string")))
+    following = F.slice(shifted, F.lit(1), size)
     return F.arrays_zip(F.col(words).alias("a"), following.alias("b"))
 
 

@@ -34,8 +34,17 @@ def table(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
     return [columns[i] for i in order], sorted(data, key=repr)
 
 
+# engine types that count as the same
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+
+
 def difference(spark_df, con, sql: str) -> str | None:
     """None when both results are the same table, else a short account of the first gap."""
+    mine_types = {name: TYPES.get(kind, kind) for name, kind in spark_df.dtypes}
+    described = con.execute(f"DESCRIBE {sql}").fetchall()
+    their_types = {row[0]: row[1] for row in described}
+    if mine_types != their_types:
+        return f"types {mine_types} against {their_types}"
     mine = table(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     result = con.execute(sql)
     theirs = table([d[0] for d in result.description], result.fetchall())
