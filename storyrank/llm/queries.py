@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from storyrank.llm import grace_dedup, simhash_gray
+from storyrank.llm import config_packing, grace_dedup, simhash_gray, token_files
 from storyrank.llm.common import table
+from storyrank.llm.tokens import TokenizerSpec
+from storyrank.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +44,21 @@ WINDOW same AS (PARTITION BY body)
 @query
 def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gray.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def _tokenizer(name: str) -> TokenizerSpec:
+    return TokenizerSpec.read(public_tokenizers.path(name))
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    tokenizer = _tokenizer("word_bpe_49k.json")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer, end_id=1)
+    return token_files.read_token_files(spark, folder)
+
+
+@query
+def op9_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = _tokenizer("byte_bpe_50k.json")
+    return config_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer, end_id=2)
