@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from storyrank.sources.scratch import stored
 
 BATCH_ROWS = 2_000
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 
 
 def small_batches(spark: SparkSession) -> None:

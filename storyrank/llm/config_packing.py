@@ -29,13 +29,11 @@ from storyrank.sources.scratch import stored
 
 @dataclass(frozen=True)
 class PackConfig:
-    """`step`: share of the scarcest demand that one filling covers; `gap`: stop at this excess
-    over the bound of the weights; `rounds`: most fillings priced."""
+    """`step`: share of a length that one round covers at most; `rate`: exponent of the weights."""
 
     capacity: int = 1024
-    step: float = 0.2
-    gap: float = 0.002
-    rounds: int = 4_000
+    step: float = 0.25
+    rate: float = 1.0
 
 
 # --------------------------------------------------------------------------- the plan
@@ -73,39 +71,36 @@ def best_filling(worth: np.ndarray, capacity: int) -> tuple[float, dict[int, int
 
 
 def fractional(counts: np.ndarray, cfg: PackConfig) -> tuple[dict[tuple, float], float]:
-    """Fillings with their fractional numbers that cover `counts`, and a lower bound.
+    """Fillings with their fractional numbers that cover `counts` exactly, and a lower bound.
 
-    `counts[l]` pieces have length l. The weights always give a feasible dual: their worth of all
-    pieces over the worth of the best filling bounds every packing from below.
+    `counts[l]` pieces have length l. A length is worth its size times a weight that falls
+    exponentially with the share of it that is covered; a covered length is worth nothing. Each
+    round takes the filling of highest worth, as often as covers `step` of its scarcest length.
+    The weights are a feasible dual too: their worth of all pieces over the worth of the best
+    filling bounds every packing from below.
     """
     lengths = np.flatnonzero(counts)
     demand = counts[lengths].astype(float)
-    covered = np.zeros(len(lengths))
+    left = demand.copy()
     place = {int(n): i for i, n in enumerate(lengths)}
     used: dict[tuple, float] = defaultdict(float)
-    rate = np.log(len(lengths) + 1) / max(cfg.gap * 20, 1e-9)
-    bound, total = float((lengths * demand).sum()) / cfg.capacity, 0.0
+    bound = float((lengths * demand).sum()) / cfg.capacity
     worth = np.zeros(cfg.capacity + 1)
-    for _ in range(cfg.rounds):
-        # weights fall with the share of the demand that is covered, from the piece's size
-        share = covered / demand
-        weight = lengths * demand * np.exp(-rate * np.maximum(share - share.min(), 0.0))
+    while left.any():
+        share = left / demand
+        price = np.where(left > 0, lengths * np.exp(cfg.rate * (share - share.max())), 0.0)
         worth[:] = 0.0
-        worth[lengths] = weight / demand
+        worth[lengths] = price
         value, filling = best_filling(worth, cfg.capacity)
-        bound = max(bound, float(weight.sum()) / value)
-        amount = min(cfg.step * demand[place[n]] / k for n, k in filling.items())
+        bound = max(bound, float((price * demand).sum()) / value)
+        amount = min(
+            min(max(cfg.step * demand[place[n]], 1.0), left[place[n]]) / k for n, k in filling.items()
+        )
         used[tuple(sorted(filling.items()))] += amount
-        total += amount
         for n, k in filling.items():
-            covered[place[n]] += k * amount
-        least = (covered / demand).min()
-        if least > 0 and total / least <= bound * (1 + cfg.gap):
-            break
-    least = (covered / demand).min()
-    if least == 0:
-        return {}, bound
-    return {f: x / least for f, x in used.items()}, bound
+            i = place[n]
+            left[i] = left[i] - k * amount if left[i] - k * amount > 1e-6 * demand[i] else 0.0
+    return used, bound
 
 
 def make_plan(counts: np.ndarray, cfg: PackConfig) -> Plan:

@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from storyrank.llm import config_packing, grace_dedup, simhash_gray, token_files
+from pyspark.sql import functions as F
+
+from storyrank.llm import (
+    config_packing,
+    grace_dedup,
+    linked_secrets,
+    simhash_gray,
+    token_files,
+    toxic_segments,
+)
 from storyrank.llm.common import table
 from storyrank.llm.tokens import TokenizerSpec
 from storyrank.sources.scratch import scratch_path
@@ -62,3 +70,24 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = _tokenizer("byte_bpe_50k.json")
     return config_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+
+
+@query
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxic_segments.score_texts(docs, labels)
+    return scored.select("row.doc_id", "held_out", "score", "predicted", "passages")
+
+
+@query
+def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linked_secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    text = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"]))
+    return found.select(
+        "doc_id", *[number(k) for k in ("assign", "access", "hex")], "base_sha256",
+        F.array_join(text, ",").alias("spans"),
+    )

@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 
 # white space around which a cut of the byte-level kind could change the pieces
 _RUNS = re.compile(r"\s\s|[^\S \n]|\x00")
-_TAIL = re.compile(r"(.*[A-Za-z])([.,]+)", re.DOTALL)
+_TAIL = re.compile(r"(.*[^\W_])([.,]+)", re.DOTALL)
 
 
 @dataclass(frozen=True)
@@ -44,8 +44,9 @@ class TokenizerSpec:
 class Encoder:
     """Ids of texts as little-endian bytes; remembers up to two generations of pieces."""
 
-    GENERATION = 300_000
+    GENERATION = 150_000
     LONGEST_KEPT = 64
+    CHUNK_CHARS = 2_000_000
 
     def __init__(self, spec: TokenizerSpec) -> None:
         from tokenizers import Tokenizer
@@ -58,7 +59,10 @@ class Encoder:
     def pieces(self, text: str) -> list[str] | None:
         """Parts that can be encoded one by one, None when the text must be encoded whole."""
         if not self.byte_level:
-            # this kind drops white space, so no token crosses it
+            # this kind drops white space, so no token crosses it, and lower-cases, where the
+            # letters of Latin-1 have one lower case each
+            if _latin1(text):
+                text = text.lower()
             return text.replace("\n", " ").split(" ")
         if _RUNS.search(text):
             return None
@@ -66,9 +70,20 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
+        out, chunk, size = [], [], 0
+        for text in texts:
+            chunk.append(text or "")
+            size += len(chunk[-1])
+            if size >= self.CHUNK_CHARS:
+                out.extend(self._encode(chunk))
+                chunk, size = [], 0
+        out.extend(self._encode(chunk))
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         parts, wanted = [], set()
         for text in texts:
-            found = self.pieces(text or "")
+            found = self.pieces(text)
             if found is not None:
                 wanted.update(found)
                 parts.append(found)
@@ -112,12 +127,14 @@ class Encoder:
 
     def _learn(self, wanted: set[str]) -> list[str]:
         """Make all wanted pieces known; returns those too long to be kept."""
-        missing = wanted - self.known.keys()
-        if len(self.known) + len(missing) > self.GENERATION:
-            self.older, self.known, missing = self.known, {}, wanted
-        for piece in missing & self.older.keys():
-            self.known[piece] = self.older[piece]
-        missing -= self.known.keys()
+        known, older = self.known, self.older
+        missing = [p for p in wanted if p not in known]
+        if len(known) + len(missing) > self.GENERATION:
+            older, known, missing = known, {}, wanted
+            self.older, self.known = older, known
+        seen = [p for p in missing if p in older]
+        known.update(zip(seen, map(older.__getitem__, seen)))
+        missing = {p for p in missing if p not in known}
         words = {p for p in missing if self._is_word(p)}
         split: dict[str, tuple[str, str]] = {}
         others = set()
@@ -130,15 +147,23 @@ class Encoder:
             else:
                 others.add(piece)
         for encode, fresh in ((self._word_ids, words), (self._ids, others)):
-            new = list(fresh - self.known.keys())
+            new = [p for p in fresh if p not in known]
             for begin in range(0, len(new), 1_000):
                 part = new[begin : begin + 1_000]
-                self.known.update(zip(part, encode(part)))
+                known.update(zip(part, encode(part)))
         for piece, (word, tail) in split.items():
-            self.known[piece] = self.known[word] + self.known[tail]
+            known[piece] = known[word] + known[tail]
         return [p for p in {*missing, *words, *others} if len(p) > self.LONGEST_KEPT]
 
 
+def _latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
