@@ -179,14 +179,14 @@ def token_pieces(
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(shipped)
-        encode, width = known.encode, known.dtype
+        encode = encoder(shipped).encode
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             origin, pieces, starts, lengths, crcs, nths = [], [], [], [], [], []
-            for i, found in enumerate(encode(batch.column(1).to_pylist())):
-                ids = np.append(np.frombuffer(found, width), end_id).astype("<u4")
+            found, begins = encode(batch.column(1))
+            for i, (first, last) in enumerate(zip(begins, begins[1:])):
+                ids = np.append(found[first:last], end_id).astype("<u4")
                 start, stop = 0, len(ids) % capacity or capacity
                 piece = 0
                 while start < len(ids):

@@ -12,6 +12,7 @@ from storyrank.llm import (
     config_packing,
     grace_dedup,
     linked_secrets,
+    pstable_neighbours,
     simhash_gray,
     token_files,
     toxic_segments,
@@ -91,3 +92,29 @@ def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[number(k) for k in ("assign", "access", "hex")], "base_sha256",
         F.array_join(text, ",").alias("spans"),
     )
+
+
+@query
+def op2_pstable_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable_neighbours.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_pstable_neighbours"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE list_sum(list_transform(embedding, x -> x * x)) > 0
+),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+),
+reach AS (
+  SELECT vec_id AS u, vec_id AS r FROM embeddings
+  UNION
+  SELECT reach.u, links.w AS r FROM reach JOIN links ON links.u = reach.r
+),
+component AS (SELECT u, min(r) AS component_id FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN component ON component.u = vec_id LEFT JOIN n ON n.u = vec_id
+"""

@@ -65,7 +65,6 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(shipped)
         encode, dtype = known.encode, known.dtype.str
-        end = np.array([end_id], dtype).tobytes()
         number = TaskContext.get().partitionId()
         name = f"part-{number:05d}-{uuid.uuid4().hex}"
         store, root = fs.FileSystem.from_uri(folder)
@@ -76,11 +75,9 @@ def write_token_files(
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{root}/{name}.ids")
-            found = encode(batch.column(1).to_pylist())
-            for tokens in found:
-                out.write(tokens)
-                out.write(end)
-            lengths.append(np.array([len(t) + len(end) for t in found], np.int64) // len(end))
+            found, begins = encode(batch.column(1))
+            out.write(np.insert(found, begins[1:], end_id).astype(dtype).tobytes())
+            lengths.append(np.diff(begins) + 1)
             ids.append(batch.column(0).fill_null(NULL_ID).to_numpy())
         if out is None:
             return

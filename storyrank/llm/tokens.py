@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-# white space around which a cut of the byte-level kind could change the pieces
-_RUNS = re.compile(r"\s\s|[^\S \n]|\x00")
+# fixed values: the white space of Unicode, as it stands in a class of a pattern
+_SPACE = (
+    r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+# white space in a text of the byte-level kind that does not allow cuts, and the mark of a cut
+_RUNS = rf"[{_SPACE}][{_SPACE}]|[\t\x0b-\r\x1c-\x1f\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{3000}}]|\x00"
 _TAIL = re.compile(r"(.*[^\W_])([.,]+)", re.DOTALL)
 
 
@@ -44,9 +49,8 @@ class TokenizerSpec:
 class Encoder:
     """Ids of texts as little-endian bytes; remembers up to two generations of pieces."""
 
-    GENERATION = 150_000
+    GENERATION = 300_000
     LONGEST_KEPT = 64
-    CHUNK_CHARS = 2_000_000
 
     def __init__(self, spec: TokenizerSpec) -> None:
         from tokenizers import Tokenizer
@@ -56,49 +60,52 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Parts that can be encoded one by one, None when the text must be encoded whole."""
-        if not self.byte_level:
-            # this kind drops white space, so no token crosses it, and lower-cases, where the
-            # letters of Latin-1 have one lower case each
-            if _latin1(text):
-                text = text.lower()
-            return text.replace("\n", " ").split(" ")
-        if _RUNS.search(text):
-            return None
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of each text; a null text has none."""
-        out, chunk, size = [], [], 0
-        for text in texts:
-            chunk.append(text or "")
-            size += len(chunk[-1])
-            if size >= self.CHUNK_CHARS:
-                out.extend(self._encode(chunk))
-                chunk, size = [], 0
-        out.extend(self._encode(chunk))
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        parts, wanted = [], set()
-        for text in texts:
-            found = self.pieces(text)
-            if found is not None:
-                wanted.update(found)
-                parts.append(found)
-            else:
-                parts.append(text)
-        long_ones = self._learn(wanted)
-        look, out = self.known.__getitem__, []
-        for part in parts:
-            if isinstance(part, str):
-                out.append(self._ids([part])[0])
-            else:
-                out.append(b"".join(map(look, part)))
+    def _pieces(self, texts: pa.Array) -> pa.Array:
+        """Parts of each text that can be encoded one by one."""
+        if self.byte_level:
+            marked = pc.replace_substring(texts, " ", "\x00 ")
+            marked = pc.replace_substring(marked, "\n", "\x00\n\x00")
+            return pc.split_pattern(marked, "\x00")
+        # this kind drops white space, so no token crosses it, and lower-cases
+        return pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text begins; null is empty."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        whole = np.zeros(0, np.int64)
+        if self.byte_level:
+            odd = pc.match_substring_regex(texts, _RUNS)
+            whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            texts, all_texts = pc.if_else(odd, "", texts), texts
+        lists = self._pieces(texts)
+        coded = lists.flatten().dictionary_encode()
+        values = self._values(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        pool = np.frombuffer(b"".join(values), self.dtype)
+        index = coded.indices.to_numpy()
+        counts = sizes[index]
+        ends = np.cumsum(counts)
+        # id number i of piece p stands at begin[p] + i of the pool
+        shift = (np.cumsum(sizes) - sizes)[index] - (ends - counts)
+        ids = pool[np.repeat(shift, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        firsts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        begins = np.concatenate([[0], ends])[firsts]
+        if len(whole):
+            parts = np.split(ids, begins[1:-1])
+            for i, found in zip(whole, self._ids([all_texts[int(i)].as_py() for i in whole])):
+                parts[i] = np.frombuffer(found, self.dtype)
+            ids = np.concatenate(parts)
+            begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, begins
+
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        long_ones = self._learn(pieces)
+        values = list(map(self.known.__getitem__, pieces))
         for piece in long_ones:
             del self.known[piece]
-        return out
+        return values
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -125,7 +132,7 @@ class Encoder:
             return piece[:1] == " " and piece[1:].isalpha()
         return piece.isalpha()
 
-    def _learn(self, wanted: set[str]) -> list[str]:
+    def _learn(self, wanted: list[str]) -> list[str]:
         """Make all wanted pieces known; returns those too long to be kept."""
         known, older = self.known, self.older
         missing = [p for p in wanted if p not in known]
@@ -156,14 +163,6 @@ class Encoder:
         return [p for p in {*missing, *words, *others} if len(p) > self.LONGEST_KEPT]
 
 
-def _latin1(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
