@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from storyrank.llm import (
     config_packing,
     grace_dedup,
+    hilbert_shards,
     linked_secrets,
+    pfair_mix,
     pstable_neighbours,
     simhash_gray,
     token_files,
@@ -118,3 +120,27 @@ n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN component ON component.u = vec_id LEFT JOIN n ON n.u = vec_id
 """
+
+
+@query
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the 40 shards differ by one at most; equal texts lie side by side in a cell."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", "n_chars",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    placed = hilbert_shards.hilbert_shards(
+        docs, ["source", "lang", "n_chars", "doc_id"], ["text_crc32", "doc_id"]
+    )
+    return placed.select(
+        "row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "hilbert",
+    )
+
+
+@query
+def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed with weights that grow with the root of a source's size."""
+    return pfair_mix.mix_sources(table(spark, sf_dir, "documents"))
