@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from storyrank.llm.common import small_batches
 from storyrank.sources.scratch import stored
 
 WORD = re.compile(r"[^\W\d_]+")
+PIECE = re.compile(r"[^ \t-\r]+")
 FOLDS = 5
 
 
@@ -55,45 +57,64 @@ class ToxicConfig:
 # ----------------------------------------------------------------------------- tokens
 
 
-def tokens(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return WORD.findall((text or "").lower())
+def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Tokens of all texts as numbers of distinct ones, where each text begins, and these.
+
+    A token is a lower-cased piece between ASCII white space; a null text has none.
+    """
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    firsts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    if "" in names:  # white space at the ends of a text leaves empty pieces
+        kept = codes != names.index("")
+        firsts = np.concatenate([[0], np.cumsum(kept)])[firsts]
+        codes = codes[kept]
+    return codes, firsts, names
 
 
 class Buckets(dict):
-    """Buckets of a word: its own, then those of its stems from the longest; of bounded size."""
+    """Buckets of the words of a token: for each word its own, then those of its stems from the
+    longest. Remembers a bounded number of tokens."""
 
     def __init__(self, cfg: ToxicConfig) -> None:
         super().__init__()
         self.cfg = cfg
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, token: str) -> list[list[int]]:
         if len(self) >= self.cfg.known_words:
             self.clear()
+        found = self[token] = [self._of(word) for word in WORD.findall(token)]
+        return found
+
+    def _of(self, word: str) -> list[int]:
         cfg = self.cfg
         found = [zlib.crc32(word.encode()) & (cfg.words - 1)]
         for letters in cfg.stem_letters:
             if len(word) > letters:
                 stem = zlib.crc32(word[:letters].encode(), letters)
                 found.append(cfg.words + (stem & ((1 << cfg.stem_bits) - 1)))
-        found = self[word] = tuple(found)
         return found
 
 
 class Scores(dict):
-    """Score of a word: the first significant of its own and its stems; of bounded size."""
+    """Score of a token, that of its worst word; a word scores by the first significant of its own
+    bucket and its stems. Remembers a bounded number of tokens."""
 
     def __init__(self, table: np.ndarray, cfg: ToxicConfig) -> None:
         super().__init__()
         self.table, self.buckets = table, Buckets(cfg)
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, token: str) -> float:
         cfg = self.buckets.cfg
         if len(self) >= cfg.known_words:
             self.clear()
             self.buckets.clear()
-        values = (self.table[i] for i in self.buckets[word])
-        found = self[word] = float(next((v for v in values if v), -cfg.token_cost))
+        worst = -cfg.token_cost
+        for places in self.buckets[token]:
+            values = (self.table[i] for i in places)
+            worst = max(worst, next((v for v in values if v), worst))
+        found = self[token] = float(worst)
         return found
 
 
@@ -111,12 +132,18 @@ def bucket_counts(docs: DataFrame, cfg: ToxicConfig) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, buckets = np.zeros((3, cfg.size), np.uint32), Buckets(cfg)
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = itertools.chain.from_iterable(map(buckets.__getitem__, set(tokens(text))))
-                held = np.unique(np.fromiter(found, np.int64))
-                total[0, held] += 1
-                if toxic is not None:
-                    total[1 if toxic else 2, held] += 1
+            codes, firsts, names = pieces(batch.column(0))
+            # each token once per text
+            text = np.repeat(np.arange(batch.num_rows), np.diff(firsts))
+            once = np.unique(text * max(len(names), 1) + codes)
+            text, codes = np.divmod(once, max(len(names), 1))
+            toxic = batch.column(1).fill_null(-1).to_numpy()[text]
+            found = [list(itertools.chain.from_iterable(buckets[n])) for n in names]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            places = np.fromiter(itertools.chain.from_iterable(found), np.int64, sizes.sum())
+            for row, chosen in ((0, codes), (1, codes[toxic == 1]), (2, codes[toxic == 0])):
+                uses = np.repeat(np.bincount(chosen, minlength=len(names)), sizes)
+                np.add.at(total[row], places, uses.astype(np.uint32))
         yield from _blocks(total, cfg)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,13 +257,15 @@ def scanned(docs: DataFrame, table: np.ndarray, cfg: ToxicConfig) -> DataFrame:
     def scan(texts: pa.Array) -> pa.Array:
         if not _SCORES or _SCORES[0][0] is not shipped.value:
             _SCORES[:] = [(shipped.value, Scores(shipped.value, cfg))]
-        look = _SCORES[0][1].__getitem__
-        sizes, found = [], []
-        for text in texts.to_pylist():
-            words = tokens(text)
-            sizes.append(len(words))
-            scores = np.fromiter(map(look, words), np.float32, len(words))
-            found.append(_in_text(text, maximal_segments(scores)))
+        codes, firsts, names = pieces(texts)
+        each = np.fromiter(map(_SCORES[0][1].__getitem__, names), np.float32, len(names))
+        scores = each[codes] if len(names) else np.zeros(0, np.float32)
+        gains = np.concatenate([[0], np.cumsum(scores > 0)])[firsts]
+        found: list[list] = [[] for _ in range(len(texts))]
+        for i in np.flatnonzero(np.diff(gains)).tolist():
+            segments = maximal_segments(scores[firsts[i] : firsts[i + 1]])
+            found[i] = _in_text(texts[i].as_py(), segments)
+        sizes = np.diff(firsts)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
         return pa.StructArray.from_arrays(
             [pa.array(sizes, pa.int64()), pa.array(found, kind)], ["n_tokens", "passages"]
@@ -248,14 +277,9 @@ def scanned(docs: DataFrame, table: np.ndarray, cfg: ToxicConfig) -> DataFrame:
 _SCORES: list = []  # the scores of this worker process, with the table they come from
 
 
-def _in_text(text: str | None, segments: list[tuple[int, int, float]]) -> list[tuple]:
+def _in_text(text: str, segments: list[tuple[int, int, float]]) -> list[tuple]:
     """Segments of tokens as spans of the text."""
-    if not segments:
-        return []
-    # lower-casing may change lengths, so that spans are taken from the text as it is
-    spans = [m.span() for m in WORD.finditer(text)]
-    if len(spans) != len(WORD.findall(text.lower())):
-        spans = [m.span() for m in WORD.finditer(text.lower())]
+    spans = [m.span() for m in PIECE.finditer(text)]
     return [(spans[a][0], spans[b - 1][1], score) for a, b, score in segments]
 
 
