@@ -18,6 +18,7 @@ from storyrank.llm import (
     simhash_gray,
     token_files,
     toxic_segments,
+    warc_derive,
 )
 from storyrank.llm.common import table
 from storyrank.llm.tokens import TokenizerSpec
@@ -104,7 +105,7 @@ def op2_pstable_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_pstable_neighbours"] = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE list_sum(list_transform(embedding, x -> x * x)) > 0
+  WHERE list_sum(list_transform(embedding, lambda x: x * x)) > 0
 ),
 links AS (
   SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id
@@ -144,3 +145,79 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed with weights that grow with the root of a source's size."""
     return pfair_mix.mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc_derive.derive_records(warc_derive.page_responses(table(spark, sf_dir, "pages")))
+    named = {
+        "warc_date": "WARC-Date",
+        "target_uri": "WARC-Target-URI",
+        "refers_to": "WARC-Refers-To",
+        "refers_to_date": "WARC-Refers-To-Date",
+        "payload_digest": "WARC-Payload-Digest",
+        "block_digest": "WARC-Block-Digest",
+        "content_type": "Content-Type",
+        "content_length": "Content-Length",
+    }
+    return made.select(
+        "row.page_id", "record_type", "record_id",
+        *[warc_derive.header(made, h).alias(c) for c, h in named.items()], "block",
+    )
+
+
+def _warc_oracle() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def strip(text: str, pattern: str, to: str = "''") -> str:
+        return f"regexp_replace({text}, {quoted(pattern)}, {to}, 'g')"
+
+    def urn(seed: str) -> str:
+        cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+        parts = ", ".join(f"substr(sha256({seed}), {a}, {n})" for a, n in cuts)
+        return f"'<urn:uuid:' || concat_ws('-', {parts}) || '>'"
+
+    page = "coalesce(html, '')"
+    for pattern in warc_derive.HIDDEN:
+        page = strip(page, pattern)
+    text = strip(strip("page", warc_derive.BREAK, "chr(10)"), warc_derive.TAG)
+    title = f"regexp_extract(page, {quoted(warc_derive.TITLE)}, 1)"
+    # the character references that the pages of these tables have
+    for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"),
+                       ("nbsp", " "), ("#39", "'"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', {quoted(sign)})"
+        title = f"replace({title}, '&{name};', {quoted(sign)})"
+    text = strip(strip(text, "[ \\t\\r\\f ]+", "' '"), " ?\\n[ \\n]*", "chr(10)")
+    title = f"trim({strip(title, '[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n' + chr(92) + 'f]+', quoted(' '))})"
+    lines = f"""list_concat(
+        list_filter(['source-digest: ' || source, 'title: ' || {title},
+            'language: ' || lower(regexp_extract(page, {quoted(warc_derive.LANGUAGE)}, 1))],
+            lambda x: x NOT LIKE '%: '),
+        list_transform(string_split(http, crlf), lambda x: 'http-header: ' || x),
+        list_transform(regexp_extract_all(page, {quoted(warc_derive.LINK)}, 1),
+            lambda x: 'outlink: ' || replace(x, '&amp;', '&')), [''])"""
+    return f"""
+WITH pages_in AS (
+  SELECT page_id, url, {page} AS page, 'sha256:' || sha256(coalesce(html, '')) AS source,
+    chr(13) || chr(10) AS crlf,
+    {urn("concat_ws(' ', 'response', CAST(page_id AS VARCHAR), url)")} AS response_id,
+    strftime(to_timestamp(1577836800 + coalesce(page_id, 0)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS date,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(coalesce(html, '')) AS http
+  FROM pages
+),
+made AS (
+  SELECT *, 'metadata' AS kind, 'application/warc-fields' AS media, list_reduce({lines}, lambda a, b: a || chr(13) || chr(10) || b) AS block
+  FROM pages_in
+  UNION ALL
+  SELECT *, 'conversion', 'text/plain; charset=utf-8', trim({text}, ' ' || chr(10)) FROM pages_in
+)
+SELECT page_id, kind AS record_type, {urn("concat_ws(' ', kind, response_id)")} AS record_id, date AS warc_date,
+  url AS target_uri, response_id AS refers_to, date AS refers_to_date, source AS payload_digest,
+  'sha256:' || sha256(block) AS block_digest, media AS content_type,
+  CAST(strlen(block) AS VARCHAR) AS content_length, block
+FROM made
+"""
+
+
+ORACLES["op1_warc_derive"] = _warc_oracle()

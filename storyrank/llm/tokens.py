@@ -22,7 +22,8 @@ _SPACE = (
 )
 # white space in a text of the byte-level kind that does not allow cuts, and the mark of a cut
 _RUNS = rf"[{_SPACE}][{_SPACE}]|[\t\x0b-\r\x1c-\x1f\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{3000}}]|\x00"
-_TAIL = re.compile(r"(.*[^\W_])([.,]+)", re.DOTALL)
+# a letter or digit, then marks other than the apostrophe of short forms
+_TAIL = re.compile(r"(.*[^\W_])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
 
 @dataclass(frozen=True)
@@ -101,66 +102,89 @@ class Encoder:
         return ids, begins
 
     def _values(self, pieces: list[str]) -> list[bytes]:
-        long_ones = self._learn(pieces)
-        values = list(map(self.known.__getitem__, pieces))
-        for piece in long_ones:
-            del self.known[piece]
+        """Ids of distinct pieces; what is new is learned."""
+        values = list(map(self.known.get, pieces))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if len(self.known) + len(missing) > self.GENERATION:
+            self.older, self.known = self.known, {}
+        fresh = []
+        for i, value in zip(missing, map(self.older.get, [pieces[i] for i in missing])):
+            if value is None:
+                fresh.append(i)
+            else:
+                values[i] = self.known[pieces[i]] = value
+        learned = self._encoded({pieces[i] for i in fresh})
+        for i in fresh:
+            values[i] = learned[pieces[i]]
+        self.known.update((p, v) for p, v in learned.items() if len(p) <= self.LONGEST_KEPT)
         return values
 
+    def _encoded(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces not known, and of the parts they were cut into."""
+        split: dict[str, tuple[str, str]] = {}
+        whole = set()
+        for piece in pieces:
+            match = None if piece.isalpha() or "<|" in piece else _TAIL.fullmatch(piece)
+            if match:
+                # letters or digits and the marks after them are never one token
+                split[piece] = match.groups()
+                whole.update(match.groups())
+            else:
+                whole.add(piece)
+        found = {p: self.known[p] for p in whole if p in self.known} if split else {}
+        plain, spaced, lines, others = [], [], [], []
+        for piece in whole:
+            if piece in found:
+                continue
+            word = piece[1:] if self.byte_level and piece[:1] == " " else piece
+            if not word.isalpha():
+                others.append(piece)
+            elif word.isascii():
+                plain.append(piece)
+            elif word is piece and self.byte_level:
+                lines.append(piece)
+            else:
+                spaced.append(piece)
+        todo = ((self._plain_ids, plain), (self._spaced_ids, spaced), (self._line_ids, lines), (self._ids, others))
+        for encode, group in todo:
+            for begin in range(0, len(group), 1_000):
+                part = group[begin : begin + 1_000]
+                found.update(zip(part, encode(part)))
+        for piece, (word, tail) in split.items():
+            found[piece] = found[word] + found[tail]
+        return found
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of pieces made of letters alone, after a space or not at all.
+    def _plain_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of ASCII letters, on which only the model of the tokenizer acts."""
+        tokenize = self.tokenizer.model.tokenize
+        # the byte-level alphabet writes a space as this letter
+        found = [[t.id for t in tokenize(w.replace(" ", "\u0120"))] for w in words]
+        return self._cut(np.array([i for ids in found for i in ids], self.dtype), list(map(len, found)))
+
+    def _cut(self, ids: np.ndarray, sizes: list[int]) -> list[bytes]:
+        ends = (np.cumsum(sizes) * self.dtype.itemsize).tolist()
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _spaced_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, a space before each; in one line each is one word."""
+        return self._in_line("".join(w if w[0] == " " else f" {w}" for w in words), words, 1)
+
+    def _line_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters at the beginning of a line; every other word is a line end."""
+        return self._in_line("\n".join(words), words, 2)
 
-        Encoded in one line each of them is one word to the tokenizer, which says where each ends.
-        """
-        # without a space before it, a first letter would stick to the word before
-        line = "".join(w if w[0] == " " else f" {w}" for w in words)
+    def _in_line(self, line: str, words: list[str], every: int) -> list[bytes]:
         found = self.tokenizer.encode(line, add_special_tokens=False)
         ids, word = np.array(found.ids, self.dtype), np.array(found.word_ids, np.int64)
         starts = np.flatnonzero(np.diff(word, prepend=-1))
-        if len(starts) != len(words):
+        if len(starts) != every * len(words) - (every - 1):
             return self._ids(words)
-        cuts = [*(starts * self.dtype.itemsize).tolist(), ids.nbytes]
-        whole = ids.tobytes()
-        return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def _is_word(self, piece: str) -> bool:
-        if self.byte_level:
-            return piece[:1] == " " and piece[1:].isalpha()
-        return piece.isalpha()
-
-    def _learn(self, wanted: list[str]) -> list[str]:
-        """Make all wanted pieces known; returns those too long to be kept."""
-        known, older = self.known, self.older
-        missing = [p for p in wanted if p not in known]
-        if len(known) + len(missing) > self.GENERATION:
-            older, known, missing = known, {}, wanted
-            self.older, self.known = older, known
-        seen = [p for p in missing if p in older]
-        known.update(zip(seen, map(older.__getitem__, seen)))
-        missing = {p for p in missing if p not in known}
-        words = {p for p in missing if self._is_word(p)}
-        split: dict[str, tuple[str, str]] = {}
-        others = set()
-        for piece in missing - words:
-            if match := _TAIL.fullmatch(piece):
-                # letters and the marks after them are never one token
-                word, tail = split[piece] = match.groups()
-                (words if self._is_word(word) else others).add(word)
-                others.add(tail)
-            else:
-                others.add(piece)
-        for encode, fresh in ((self._word_ids, words), (self._ids, others)):
-            new = [p for p in fresh if p not in known]
-            for begin in range(0, len(new), 1_000):
-                part = new[begin : begin + 1_000]
-                known.update(zip(part, encode(part)))
-        for piece, (word, tail) in split.items():
-            known[piece] = known[word] + known[tail]
-        return [p for p in {*missing, *words, *others} if len(p) > self.LONGEST_KEPT]
+        return self._cut(ids, np.diff([*starts, len(ids)]).tolist())[::every]
 
 
 _ENCODERS: dict[str, Encoder] = {}
