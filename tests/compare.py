@@ -35,7 +35,7 @@ def table(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
 
 
 # engine types that count as the same
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def difference(spark_df, con, sql: str) -> str | None:
