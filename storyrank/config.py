@@ -9,9 +9,11 @@ from storyrank.functions.stopwords import BASE_STOP_WORDS, EXTRA_STOP_WORDS
 
 @dataclass(frozen=True)
 class CleanConfig:
+    """`stem` and `lemmatise` each need their table; the whole job runs with `lemmatise`."""
+
     remove_stop: bool = True
     stem: bool = False
-    lemmatise: bool = True
+    lemmatise: bool = False
     min_word_length: int = 3
     stop_words: tuple[str, ...] = tuple(sorted({*BASE_STOP_WORDS, *EXTRA_STOP_WORDS}))
 
@@ -36,8 +38,8 @@ class LsaConfig:
     oversample: int = 10
     rounds: int = 5
     seed: int = 42
-    # size of the dense term basis (terms x width x 8 bytes) up to which it is broadcast
-    max_broadcast_bytes: int = 256 * 1024 * 1024
+    # size of the block of the dense term basis (terms x width x 8 bytes) that is broadcast at a time
+    max_block_bytes: int = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,7 @@ class WordVectorConfig:
 
 
 @dataclass(frozen=True)
-class HotNewsConfig:
+class PipelineConfig:
     clean: CleanConfig = field(default_factory=CleanConfig)
     lookup: LookupConfig = field(default_factory=LookupConfig)
     tfidf: TfIdfConfig = field(default_factory=TfIdfConfig)

@@ -76,7 +76,7 @@ def term_counts(words: Column) -> Column:
             ),
         )
 
-    counts = let(F.array_sort(words), runs)
+    counts = let(F.sort_array(F.array_compact(words)), runs)
     return F.filter(counts, lambda c: c["term"].isNotNull())
 
 

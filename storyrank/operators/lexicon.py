@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -35,54 +37,50 @@ def tag_table(tags: DataFrame) -> DataFrame:
     return tags.groupBy("token").agg(F.min("tag").alias("tag"))
 
 
-def replace_words(
-    docs: DataFrame, table: DataFrame, cfg: LookupConfig = LookupConfig(), key: str = "id_str"
-) -> DataFrame:
+def replace_words(docs: DataFrame, table: DataFrame, cfg: LookupConfig = LookupConfig()) -> DataFrame:
     """Map each element of array column `words` through `table`, keeping order and repeats.
 
     A table of proven size travels to the executors once and each Arrow batch is mapped in
-    place: no shuffle. A larger table is joined by shuffle instead; `key` is unique in `docs`.
+    place: no shuffle. A larger table is joined by shuffle instead. Both give the same rows,
+    whatever ids the documents have.
     """
     rows = table.limit(cfg.max_broadcast_rows + 1).toArrow()
     if rows.num_rows <= cfg.max_broadcast_rows:
-        return docs.withColumn("words", _mapper(docs, rows)(F.col("words")))
-    return _replace_by_join(docs, table, cfg, key)
+        return _replace_in_place(docs, rows)
+    return _replace_by_join(docs, table, cfg)
 
 
-def _mapper(docs: DataFrame, rows: pa.Table):
+def _replace_in_place(docs: DataFrame, rows: pa.Table) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(
-        (rows["token"].combine_chunks(), rows["replacement"].combine_chunks())
+        (rows["token"].to_pylist(), rows["replacement"].to_pylist())
     )
 
     @F.arrow_udf("array<string>")
-    def mapped(words: pa.Array) -> pa.Array:
-        flat = words.flatten()
-        token, replacement = (column.cast(flat.type) for column in shipped.value)
-        found = replacement.take(pc.index_in(flat, value_set=token))
-        new = pc.coalesce(found, flat)
-        sizes = pc.fill_null(pc.list_value_length(words), 0)
-        ends = pc.cumulative_sum(sizes).cast(pa.int32())
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        return pa.ListArray.from_arrays(offsets, new)
-
-    return mapped
-
-
-def _replace_by_join(
-    docs: DataFrame, table: DataFrame, cfg: LookupConfig, key: str
-) -> DataFrame:
-    keep = [c for c in docs.columns if c not in (key, "words")]
-    docs = stored(docs, "unmapped")
-    long = docs.select(key, *keep, F.posexplode_outer("words").alias("_pos", "token"))
-    word = F.coalesce("replacement", "token")
-    placed = F.when(word.isNotNull(), F.struct("_pos", word.alias("w")))
-    return (
+    def mapped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = dict(zip(*shipped.value))  # once per task
+        for words in batches:
+            coded = words.flatten().dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            new = pa.array([table.get(w, w) for w in names], pa.string()).take(coded.indices)
+            sizes = pc.fill_null(pc.list_value_length(words), 0)
+            ends = pc.cumulative_sum(sizes).cast(pa.int32())
+            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+            yield pa.ListArray.from_arrays(offsets, new)
+
+    return docs.withColumn("words", mapped(F.col("words")))
+
+
+def _replace_by_join(docs: DataFrame, table: DataFrame, cfg: LookupConfig) -> DataFrame:
+    # stored with its own key of a row: ids may repeat or be null
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "unmapped")
+    long = docs.select("_row", F.posexplode("words").alias("_pos", "token"))
+    placed = F.struct("_pos", F.coalesce("replacement", "token").alias("w"))
+    words = (
         lookup(long, stored(table, "lexicon"), ["token"], cfg, "left", small=False)
-        .groupBy(key)
-        .agg(
-            *[F.any_value(c).alias(c) for c in keep],
-            F.array_sort(F.collect_list(placed)).alias("_placed"),
-        )
-        .withColumn("words", F.transform("_placed", lambda s: s["w"]))
-        .select(docs.columns)
+        .groupBy("_row")
+        .agg(F.sort_array(F.collect_list(placed)).alias("_placed"))
+        .select("_row", F.transform("_placed", lambda s: s["w"]).alias("_words"))
     )
+    new = F.coalesce("_words", F.array().cast("array<string>")).alias("words")
+    kept = [c for c in docs.columns if c not in ("_row", "words")]
+    return docs.drop("words").join(words, "_row", "left").select(*kept, new)

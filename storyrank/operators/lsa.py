@@ -2,18 +2,15 @@
 
 With A the document-term matrix, `Q <- orth(A'A Q)` is repeated from a random start, then the
 small matrix `(AQ)'(AQ)` gives singular values and the rotation of Q to the right singular
-vectors (Halko, Martinsson and Tropp, 2011). A itself is only ever streamed. Two layouts:
-
-* the dense basis fits the broadcast bound: each task multiplies its own rows by the broadcast
-  basis and the products meet in a keyed reduction, block of terms by block of terms;
-* otherwise the basis is a table keyed by term and both products are joins followed by weighted
-  vector sums. The driver then sees only width x width numbers.
+vectors (Halko, Martinsson and Tropp, 2011). A itself is only ever streamed, the dense basis is
+handled in blocks of terms, and what meets on the driver is one block and width x width numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +22,7 @@ from pyspark.sql import functions as F
 from storyrank.config import LookupConfig, LsaConfig
 from storyrank.functions import vectors
 from storyrank.operators.features import tfidf_long, tfidf_rows
-from storyrank.operators.lookup import split_join
+from storyrank.operators.prefix import running_totals
 from storyrank.sources.scratch import stored
 
 CHUNK_NONZEROS = 2_048
@@ -48,106 +45,276 @@ def fit_lsa(
     lookup_cfg: LookupConfig = LookupConfig(),
 ) -> Lsa:
     """Factor the TF-IDF matrix of `words` (id_str, words, ...) over a stored `terms` table."""
-    n_terms = terms.count()
+    numbered = stored(
+        running_totals(terms.select("term", "idf", F.lit(1).cast("long").alias("one")), ["idf", "term"], ["one"])
+        .select("term", "idf", F.col("one_before").alias("number")),
+        "numbered-terms",
+    )
+    n_terms = numbered.count()
     if n_terms == 0:
         raise ValueError("no term is within the document frequency bounds")
-    width = min(cfg.components + cfg.oversample, n_terms)
-    if n_terms * width * 8 <= cfg.max_broadcast_bytes:
-        return _fit_broadcast(words, terms, width, cfg)
-    return _fit_keyed(words, terms, width, cfg, lookup_cfg)
-
-
-# ---------------------------------------------------------------- broadcast layout
+    docs = stored(_weighed(words, numbered, n_terms, lookup_cfg), "lsa-matrix")
+    return factor(docs, numbered, n_terms, cfg)
+
+
+def _weighed(words: DataFrame, numbered: DataFrame, n_terms: int, cfg: LookupConfig) -> DataFrame:
+    """Columns of `words` but `words`, a row key `_doc`, and the unit TF-IDF row (idx, val)."""
+    keyed = words.withColumn("_doc", F.monotonically_increasing_id())
+    if n_terms <= cfg.max_broadcast_rows:
+        return tfidf_rows(keyed, numbered.orderBy("number").select("term", "idf").toArrow())
+    keyed = stored(keyed, "lsa-words")
+    own = keyed.select(F.col("_doc").alias("id_str"), "words")
+    weights = tfidf_long(own, numbered.select("term", "idf"), cfg, small=False)
+    cell = F.struct(F.col("number").cast("int").alias("idx"), F.col("weight").alias("val"))
+    sparse = (
+        weights.join(numbered.select("term", "number"), "term")
+        .groupBy(F.col("id_str").alias("_doc"))
+        .agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    )
+    empty = F.array().cast("array<struct<idx:int,val:double>>")
+    cells = F.coalesce("cells", empty)
+    return keyed.drop("words").join(sparse, "_doc", "left").withColumns(
+        {"idx": F.transform(cells, lambda c: c["idx"]), "val": F.transform(cells, lambda c: c["val"])}
+    ).drop("cells")
 
 
-def _fit_broadcast(words: DataFrame, terms: DataFrame, width: int, cfg: LsaConfig) -> Lsa:
-    spark = words.sparkSession
-    # frequent terms first: the rows that most documents touch then sit close together
-    vocabulary = terms.select("term", "idf").orderBy("idf", "term").toArrow()
-    keep = [c for c in words.columns if c != "words"]
-    matrix = stored(tfidf_rows(words, vocabulary), "lsa-matrix")
+def factor(docs: DataFrame, numbered: DataFrame, n_terms: int, cfg: LsaConfig = LsaConfig()) -> Lsa:
+    """Factor a stored sparse matrix (_doc, idx, val, ...) whose columns are `numbered` terms.
 
-    start = np.random.default_rng(cfg.seed).standard_normal((vocabulary.num_rows, width))
-    q = start @ _whitener(start.T @ start)
+    The terms are cut into blocks of at most `max_block_bytes` of dense basis. One block of the
+    basis is in hand at a time, on the driver and as a broadcast; with a single block a product
+    needs no exchange of document vectors, with more each document sends one vector to each block
+    it touches. The start, the order of terms and the precision are the same in all cases.
+    """
+    width = min(cfg.components + cfg.oversample, n_terms)
+    size = max(cfg.max_block_bytes // (8 * width), 1)
+    basis = _Basis.start(numbered, n_terms, width, size, cfg.seed)
+    split = docs if basis.blocks == 1 else stored(_by_block(docs, size), "lsa-blocks")
     for _ in range(cfg.rounds):
-        z = _term_products(matrix, q)
-        q = z @ _whitener(z.T @ z)
-    rotation, singular = _rotation(_sketch_gram(matrix, q), cfg.components)
-    basis = q @ rotation
-
-    shipped = spark.sparkContext.broadcast(basis)
+        basis = basis.following(_products(split, basis))
+    sketch = None if basis.blocks == 1 else stored(_sketch(split, basis), "lsa-sketch")
+    gram = _sketch_gram(docs, basis) if sketch is None else _gram(sketch)
+    rotation, singular = _rotation(gram, cfg.components)
+    if sketch is None:
+        rows = _project(docs, basis, rotation)
+    else:
+        unit = sketch.select("_doc", _times(rotation)("y").alias("lsa"))
+        blank = F.array_repeat(F.lit(0.0), rotation.shape[1])
+        kept = [c for c in docs.columns if c not in ("_doc", "idx", "val")]
+        joined = docs.select("_doc", *kept).join(unit, "_doc", "left")
+        rows = stored(joined.select(*kept, F.coalesce("lsa", blank).alias("lsa")), "lsa-rows")
+    return Lsa(rows, basis.loadings(rotation), singular)
+
+
+# ------------------------------------------------------------------------- term blocks
+
+
+class _Basis:
+    """Orthonormal columns over all terms, of which one block of rows is loaded at a time."""
+
+    def __init__(self, numbered: DataFrame, n_terms: int, width: int, size: int, load) -> None:
+        self.numbered, self.n_terms, self.width, self.size = numbered, n_terms, width, size
+        self.blocks = -(-n_terms // size)
+        if self.blocks == 1:
+            only = load(0)
+            self.load = lambda _: only
+        else:
+            self.load = load
+        self.whiten = _whitener(sum(x.T @ x for x in map(self.load, range(self.blocks))))
+
+    @staticmethod
+    def start(numbered: DataFrame, n_terms: int, width: int, size: int, seed: int) -> _Basis:
+        """Random signs that depend on the term only."""
+        hashes = [F.xxhash64("term", F.lit(seed + k)).alias(f"h{k}") for k in range(-(-width // 64))]
+
+        def load(block: int) -> np.ndarray:
+            own = F.col("number").between(block * size, (block + 1) * size - 1)
+            rows = numbered.filter(own).orderBy("number").select(*hashes).toArrow()
+            words = np.stack([c.to_numpy() for c in rows.columns], axis=1)
+            bits = np.unpackbits(words.view(np.uint8), axis=1)[:, :width]
+            return 2.0 * bits - 1.0
+
+        return _Basis(numbered, n_terms, width, size, load)
+
+    def following(self, products: list[DataFrame]) -> _Basis:
+        """The basis of stored products, one table of payloads per block."""
+
+        def load(block: int) -> np.ndarray:
+            terms = min(self.size, self.n_terms - block * self.size)
+            out = np.zeros((-(-terms // BLOCK_TERMS), BLOCK_TERMS * self.width))
+            for row in products[block].toLocalIterator():
+                out[row["block"]] = np.frombuffer(row["payload"])
+            return out.reshape(-1, self.width)[:terms]
+
+        return _Basis(self.numbered, self.n_terms, self.width, self.size, load)
+
+    def block(self, number: int) -> np.ndarray:
+        return self.load(number) @ self.whiten
+
+    def loadings(self, rotation: np.ndarray) -> DataFrame:
+        """(term, loading)."""
+        spark, parts = self.numbered.sparkSession, []
+        for block in range(self.blocks):
+            own = F.col("number").between(block * self.size, (block + 1) * self.size - 1)
+            names = self.numbered.filter(own).orderBy("number").select("term").toArrow()["term"]
+            rows = pa.table({"term": names, "loading": _rows_to_list(self.block(block) @ rotation)})
+            parts.append(stored(spark.createDataFrame(rows), "lsa-basis"))
+        return reduce(DataFrame.unionByName, parts)
+
+
+def _by_block(docs: DataFrame, size: int) -> DataFrame:
+    """(_doc, block, idx, val): one row for each document and block of terms that it touches."""
+    cells = docs.select("_doc", F.explode(F.arrays_zip("idx", "val")).alias("c"))
+    inner = F.struct((F.col("c.idx") % size).cast("int").alias("idx"), F.col("c.val").alias("val"))
+    grouped = cells.groupBy("_doc", F.floor(F.col("c.idx") / size).cast("int").alias("block")).agg(
+        F.sort_array(F.collect_list(inner)).alias("cells")
+    )
+    return grouped.select(
+        "_doc", "block",
+        F.transform("cells", lambda c: c["idx"]).alias("idx"),
+        F.transform("cells", lambda c: c["val"]).alias("val"),
+    )
 
-    @F.arrow_udf("array<double>")
-    def project(idx: pa.Array, val: pa.Array) -> pa.Array:
-        out = np.zeros((len(idx), shipped.value.shape[1]))
-        for rows, dense, touched in _chunks(idx, val):
-            out[rows] = dense @ shipped.value[touched]
-        return _rows_to_list(_unit_rows(out))
 
-    rows = matrix.select(*keep, project("idx", "val").alias("lsa"))
-    loadings = pa.table({"term": vocabulary["term"], "loading": _rows_to_list(basis)})
-    return Lsa(rows, spark.createDataFrame(loadings), singular)
+def _products(split: DataFrame, basis: _Basis) -> list[DataFrame]:
+    """A'A Q as stored payloads of `BLOCK_TERMS` terms, a table for each block."""
+    if basis.blocks == 1:
+        rows = split.select("idx", "val")
+        return [_term_sums(rows, basis, 0, basis.block(0))]
+    sketch = stored(_sketch(split, basis), "lsa-sketch")
+    out = []
+    for block in range(basis.blocks):
+        own = split.filter(F.col("block") == block).select("_doc", "idx", "val")
+        out.append(_term_sums(own.join(sketch, "_doc").select("idx", "val", "y"), basis, block, None))
+    return out
 
 
-def _term_products(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
-    """A'A q, reduced per block of terms on the executors.
+def _term_sums(rows: DataFrame, basis: _Basis, block: int, q: np.ndarray | None) -> DataFrame:
+    """Sum of a' y over rows (idx, val[, y]); y is a Q when it is not given.
 
-    Single precision: this product only steers the subspace, the singular values and factors come
-    from the double-precision pass that follows.
+    There are as many partial results as cores, however many splits the input has.
     """
-    shipped = matrix.sparkSession.sparkContext.broadcast(q.astype(np.float32))
-    shape = q.shape
+    context, width = rows.sparkSession.sparkContext, basis.width
+    terms = min(basis.size, basis.n_terms - block * basis.size)
+    pieces = -(-terms // BLOCK_TERMS)
+    shipped = None if q is None else context.broadcast(q)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, basis = np.zeros((blocks * BLOCK_TERMS, width), np.float32), shipped.value
+        total = np.zeros((pieces * BLOCK_TERMS, width))
         for batch in batches:
-            for _, dense, touched in _chunks(batch.column(0), batch.column(1), np.float32):
-                total[touched] += dense.T @ (dense @ basis[touched])
-        in_use = np.flatnonzero(total.reshape(blocks, -1).any(axis=1))
-        yield _payloads(in_use, total.reshape(blocks, -1)[in_use])
+            given = _list_to_rows(batch.column(2)) if shipped is None and batch.num_rows else None
+            for at, dense, touched in _chunks(batch.column(0), batch.column(1)):
+                y = dense @ shipped.value[touched] if given is None else given[at]
+                total[touched] += dense.T @ y
+        whole = total.reshape(pieces, -1)
+        in_use = np.flatnonzero(whole.any(axis=1))
+        yield _payloads(in_use, whole[in_use])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(payload.as_buffer(), np.float32)
-                sums[block] = sums[block] + part if block in sums else part.astype(np.float64)
+            for piece, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(payload.as_buffer())
+                sums[piece] = sums[piece] + part if piece in sums else part
         if sums:
             yield _payloads(np.array(list(sums)), np.stack(list(sums.values())))
 
-    n_terms, width = q.shape
-    blocks = -(-n_terms // BLOCK_TERMS)
-    parts = matrix.select("idx", "val").mapInArrow(partial, "block int, payload binary")
-    reduced = parts.repartition("block").mapInArrow(summed, "block int, payload binary").toArrow()
-    shipped.unpersist()
-    z = np.zeros((blocks, BLOCK_TERMS * width))
-    for block, payload in zip(reduced["block"].to_pylist(), reduced["payload"]):
-        z[block] = np.frombuffer(payload.as_buffer())
-    return z.reshape(-1, width)[:n_terms]
+    parts = rows.coalesce(context.defaultParallelism).mapInArrow(partial, "block int, payload binary")
+    done = parts.repartition("block").mapInArrow(summed, "block int, payload binary")
+    out = stored(done, "lsa-products")
+    if shipped is not None:
+        shipped.unpersist()
+    return out
+
+
+def _sketch(split: DataFrame, basis: _Basis) -> DataFrame:
+    """(_doc, y): rows of A Q, the sum of what each touched block gives."""
+    context, parts = split.sparkSession.sparkContext, []
+    for block in range(basis.blocks):
+        shipped = context.broadcast(basis.block(block))
+        own = split.filter(F.col("block") == block).select("_doc", "idx", "val")
+        part = own.mapInArrow(_row_products(shipped), "_doc long, y array<double>")
+        parts.append(stored(part, "lsa-partial"))
+        shipped.unpersist()
+    total = Summarizer.sum(array_to_vector("y"))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("_doc").agg(vector_to_array(total).alias("y"))
+
+
+def _row_products(shipped):
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, shipped.value.shape[1]))
+            for at, dense, touched in _chunks(batch.column(1), batch.column(2)):
+                out[at] = dense @ shipped.value[touched]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _rows_to_list(out)], ["_doc", "y"])
 
-
-def _payloads(block: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    payload = pa.array([row.tobytes() for row in values], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), payload], ["block", "payload"])
+    return products
 
 
-def _sketch_gram(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
-    """(Aq)'(Aq)."""
-    shipped = matrix.sparkSession.sparkContext.broadcast(q)
+def _sketch_gram(docs: DataFrame, basis: _Basis) -> np.ndarray:
+    """(AQ)'(AQ) with the basis in one block."""
+    context, width = docs.sparkSession.sparkContext, basis.width
+    shipped = context.broadcast(basis.block(0))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = np.zeros((q_width, q_width))
+        gram = np.zeros((width, width))
         for batch in batches:
             for _, dense, touched in _chunks(batch.column(0), batch.column(1)):
                 sketch = dense @ shipped.value[touched]
                 gram += sketch.T @ sketch
         yield _numbered_rows(gram)
 
-    q_width = q.shape[1]
-    return _sum_rows(matrix.select("idx", "val").mapInArrow(partial, "i int, v array<double>"))
+    rows = docs.select("idx", "val").coalesce(context.defaultParallelism)
+    return _sum_rows(rows.mapInArrow(partial, "i int, v array<double>"))
+
 
+def _gram(sketch: DataFrame) -> np.ndarray:
+    """Y'Y of the array column `y`."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = None
+        for batch in batches:
+            if batch.num_rows:
+                y = _list_to_rows(batch.column(0))
+                gram = y.T @ y if gram is None else gram + y.T @ y
+        if gram is not None:
+            yield _numbered_rows(gram)
+
+    return _sum_rows(sketch.select("y").mapInArrow(partial, "i int, v array<double>"))
+
+
+def _project(docs: DataFrame, basis: _Basis, rotation: np.ndarray) -> DataFrame:
+    """Rows with their unit vector `lsa`, with the basis in one block."""
+    shipped = docs.sparkSession.sparkContext.broadcast(basis.block(0) @ rotation)
+
+    @F.arrow_udf("array<double>")
+    def project(idx: pa.Array, val: pa.Array) -> pa.Array:
+        out = np.zeros((len(idx), shipped.value.shape[1]))
+        for at, dense, touched in _chunks(idx, val):
+            out[at] = dense @ shipped.value[touched]
+        return _rows_to_list(_unit_rows(out))
+
+    kept = [c for c in docs.columns if c not in ("_doc", "idx", "val")]
+    return docs.select(*kept, project("idx", "val").alias("lsa"))
+
+
+def _times(factor: np.ndarray):
+    """Column function: array row times a small matrix, scaled to length one."""
+
+    @F.arrow_udf("array<double>")
+    def product(rows: pa.Array) -> pa.Array:
+        return _rows_to_list(_unit_rows(_list_to_rows(rows) @ factor))
 
-def _chunks(idx: pa.Array, val: pa.Array, dtype=np.float64):
+    return product
+
+
+def _payloads(block: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    payload = pa.array([row.tobytes() for row in values], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), payload], ["block", "payload"])
+
+
+def _chunks(idx: pa.Array, val: pa.Array):
     """Split a batch of sparse rows into runs of about CHUNK_NONZEROS entries.
 
     A run is short enough that its rows, restricted to the terms they touch, make a small dense
@@ -164,92 +331,12 @@ def _chunks(idx: pa.Array, val: pa.Array, dtype=np.float64):
         stop = max(int(np.searchsorted(ends, first + CHUNK_NONZEROS, side="right")), begin + 1)
         last = int(ends[stop - 1])
         touched, column = np.unique(terms[first:last], return_inverse=True)
-        dense = np.zeros((stop - begin, len(touched)), dtype)
+        dense = np.zeros((stop - begin, len(touched)))
         dense[np.repeat(np.arange(stop - begin), sizes[begin:stop]), column] = weights[first:last]
         yield filled[begin:stop], dense, touched
         begin, first = stop, last
 
 
-# -------------------------------------------------------------------- keyed layout
-
-
-def _fit_keyed(
-    words: DataFrame, terms: DataFrame, width: int, cfg: LsaConfig, lookup_cfg: LookupConfig
-) -> Lsa:
-    keep = [c for c in words.columns if c != "words"]
-    weights = stored(
-        tfidf_long(words.select("id_str", "words"), terms, lookup_cfg, small=False), "lsa-weights"
-    )
-
-    # every weight row is one document of its term, so document frequency is the heat of a term
-    heat = terms.select("term", F.col("df").alias("n"))
-    max_hot = cfg.max_broadcast_bytes // (width * 8)
-
-    def sketch(q: DataFrame) -> DataFrame:
-        """(id_str, y): rows of A q."""
-        joined = split_join(weights, q, ["term"], max_hot, heat=heat)
-        y = Summarizer.sum(F.col("q"), F.col("weight"))
-        return joined.groupBy("id_str").agg(vector_to_array(y).alias("y"))
-
-    q = _orthonormal(stored(terms.select("term", _signs(width, cfg.seed).alias("q")), "lsa-start"))
-    for _ in range(cfg.rounds):
-        joined = weights.join(sketch(q), "id_str").select("term", "weight", array_to_vector("y").alias("y"))
-        product = Summarizer.sum(F.col("y"), F.col("weight"))
-        z = joined.groupBy("term").agg(vector_to_array(product).alias("q"))
-        q = _orthonormal(stored(z, "lsa-products"))
-
-    y = stored(sketch(q), "lsa-sketch")
-    rotation, singular = _rotation(_gram(y.select("y")), cfg.components)
-    scores = y.select("id_str", _times(rotation, scale_rows=True)("y").alias("lsa"))
-    blank = F.array_repeat(F.lit(0.0), rotation.shape[1])
-    rows = (
-        words.select(*keep)
-        .join(scores, "id_str", "left")
-        .withColumn("lsa", F.coalesce("lsa", blank))
-    )
-    basis = q.select("term", _times(rotation)(vector_to_array("q")).alias("loading"))
-    return Lsa(stored(rows, "lsa-rows"), stored(basis, "lsa-basis"), singular)
-
-
-def _signs(width: int, seed: int):
-    """Random +1/-1 start vector of a term; depends on the term only, not on the layout."""
-    return F.transform(
-        F.sequence(F.lit(seed), F.lit(seed + width - 1)),
-        lambda i: F.when(F.xxhash64("term", i).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0),
-    )
-
-
-def _orthonormal(z: DataFrame) -> DataFrame:
-    """(term, q vector) with orthonormal columns; directions without weight become zero."""
-    return z.select("term", array_to_vector(_times(_whitener(_gram(z.select("q"))))("q")).alias("q"))
-
-
-def _times(factor: np.ndarray, scale_rows: bool = False):
-    """Column function: array row times a small matrix."""
-
-    @F.arrow_udf("array<double>")
-    def product(rows: pa.Array) -> pa.Array:
-        out = _list_to_rows(rows) @ factor
-        return _rows_to_list(_unit_rows(out) if scale_rows else out)
-
-    return product
-
-
-def _gram(rows: DataFrame) -> np.ndarray:
-    """X'X of the array column of `rows`."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = None
-        for batch in batches:
-            if batch.num_rows:
-                x = _list_to_rows(batch.column(0))
-                gram = x.T @ x if gram is None else gram + x.T @ x
-        if gram is not None:
-            yield _numbered_rows(gram)
-
-    return _sum_rows(rows.mapInArrow(partial, "i int, v array<double>"))
-
-
 # ----------------------------------------------------------------------- small parts
 
 

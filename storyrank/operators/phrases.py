@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,15 +67,58 @@ def merge_phrases(
 ) -> DataFrame:
     """(id_str, words): array column `words` with accepted pairs joined, left to right.
 
-    In a run of overlapping accepted pairs every second one is taken, starting with the first,
-    which is what a greedy reader does. The windows span one document each.
+    A greedy reader takes a pair when it is accepted and goes on after it. A table of proven size
+    travels to the executors and every document is read in place; a larger one is joined by
+    shuffle. Documents without words keep their row.
     """
-    positions = docs.select("id_str", F.posexplode(_neighbours("words")).alias("pos", "p"))
-    long = positions.select("id_str", "pos", "p.a", "p.b")
+    pairs = accepted.select("a", "b").limit(lookup_cfg.max_broadcast_rows + 1).toArrow()
+    if pairs.num_rows <= lookup_cfg.max_broadcast_rows:
+        return _merge_in_place(docs, pairs, cfg)
+    return _merge_by_join(docs, accepted, cfg, lookup_cfg)
+
+
+def _merge_in_place(docs: DataFrame, pairs: pa.Table, cfg: PhraseConfig) -> DataFrame:
+    shipped = docs.sparkSession.sparkContext.broadcast((pairs["a"].to_pylist(), pairs["b"].to_pylist()))
+    delimiter = cfg.delimiter
+
+    @F.arrow_udf("array<string>")
+    def merged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = set(zip(*shipped.value))  # once per task
+        for words in batches:
+            read = (_read(w or [], known, delimiter) for w in words.to_pylist())
+            yield pa.array(list(read), pa.list_(pa.string()))
+
+    return docs.select("id_str", merged("words").alias("words"))
+
+
+def _read(words: list[str], known: set[tuple[str, str]], delimiter: str) -> list[str]:
+    out, at = [], 0
+    while at < len(words):
+        pair = tuple(words[at : at + 2])
+        if pair in known:
+            out.append(delimiter.join(pair))
+            at += 1
+        else:
+            out.append(words[at])
+        at += 1
+    return out
+
+
+def _merge_by_join(
+    docs: DataFrame, accepted: DataFrame, cfg: PhraseConfig, lookup_cfg: LookupConfig
+) -> DataFrame:
+    """In a run of overlapping accepted pairs every second one is taken, starting with the first,
+    which is what the greedy reader does. The windows span one document each."""
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "unmerged")
+    positions = docs.select("_row", F.posexplode(_neighbours("words")).alias("pos", "p"))
+    long = positions.select("_row", "pos", "p.a", "p.b")
     known = accepted.select("a", "b", F.lit(True).alias("hit"))
-    marked = lookup(long, known, ["a", "b"], lookup_cfg, how="left")
+    # the last word of a text has no pair to look up, and no null key goes into the join
+    inner = lookup(long.filter(F.col("b").isNotNull()), known, ["a", "b"], lookup_cfg, how="left", small=False)
+    last = long.filter(F.col("b").isNull()).withColumn("hit", F.lit(None).cast("boolean"))
+    marked = inner.unionByName(last)
 
-    in_order = Window.partitionBy("id_str").orderBy("pos")
+    in_order = Window.partitionBy("_row").orderBy("pos")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap = F.coalesce(F.last(F.when(F.col("hit").isNull(), F.col("pos")), True).over(so_far), F.lit(-1))
     taken = F.col("hit").isNotNull() & ((F.col("pos") - gap - 1) % 2 == 0)
@@ -82,7 +128,8 @@ def merge_phrases(
         .filter(~F.col("used"))
     )
     word = F.when(F.col("taken"), F.concat_ws(cfg.delimiter, "a", "b")).otherwise(F.col("a"))
-    gathered = read.groupBy("id_str").agg(
-        F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))).alias("_placed")
+    gathered = read.groupBy("_row").agg(
+        F.sort_array(F.collect_list(F.struct("pos", word.alias("w")))).alias("_placed")
     )
-    return gathered.select("id_str", F.transform("_placed", lambda s: s["w"]).alias("words"))
+    words = F.transform(F.coalesce("_placed", F.array().cast("array<struct<pos:int,w:string>>")), lambda s: s["w"])
+    return docs.select("_row", "id_str").join(gathered, "_row", "left").select("id_str", words.alias("words"))

@@ -36,7 +36,10 @@ def fit_topics(words: DataFrame, cfg: TopicConfig = TopicConfig()) -> Topics:
     # at most cfg.max_features terms reach the driver
     vocabulary = [r["term"] for r in frequent_terms(words, cfg.min_df, cfg.max_features).collect()]
     counts = stored(count_vectors(words, vocabulary), "term-counts")
-    lda = LDA(k=cfg.k, maxIter=cfg.max_iter, seed=cfg.seed, optimizer="online")
+    # every iteration reads all posts
+    lda = LDA(
+        k=cfg.k, maxIter=cfg.max_iter, seed=cfg.seed, optimizer="online", subsamplingRate=1.0
+    )
     return Topics(lda.fit(counts), vocabulary, counts)
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyrank.config import HotNewsConfig
+from storyrank.config import PipelineConfig
 from storyrank.operators import cluster, corpus, features, lsa, rank
 from storyrank.operators.clean import clean_posts
 from storyrank.sources.scratch import stored
@@ -26,7 +26,7 @@ class Clustered:
 
 def build_corpus(
     news: DataFrame,
-    cfg: HotNewsConfig = HotNewsConfig(),
+    cfg: PipelineConfig = PipelineConfig(),
     stems: DataFrame | None = None,
     lemmas: DataFrame | None = None,
 ) -> DataFrame:
@@ -35,13 +35,13 @@ def build_corpus(
     return stored(corpus.distinct_texts(cleaned), "corpus")
 
 
-def corpus_terms(texts: DataFrame, cfg: HotNewsConfig = HotNewsConfig()) -> tuple[DataFrame, DataFrame]:
+def corpus_terms(texts: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> tuple[DataFrame, DataFrame]:
     """(words, terms) of a stored corpus; the term table is stored too."""
     words = features.tfidf_words(texts, cfg.tfidf)
     return words, stored(features.term_stats(words, texts.count(), cfg.tfidf), "terms")
 
 
-def cluster_posts(texts: DataFrame, cfg: HotNewsConfig = HotNewsConfig()) -> Clustered:
+def cluster_posts(texts: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> Clustered:
     """TF-IDF, LSA and k-means over a stored corpus (id_str, seq, rt_cnt, clean)."""
     _, terms = corpus_terms(texts, cfg)
     second = features.text.without(features.text.split_words(F.col("clean")), cfg.tfidf.stop_words)
@@ -58,7 +58,7 @@ def scored_candidates(
     texts: DataFrame,
     terms: DataFrame,
     tags: DataFrame | None = None,
-    cfg: HotNewsConfig = HotNewsConfig(),
+    cfg: PipelineConfig = PipelineConfig(),
 ) -> DataFrame:
     """Candidates of each cluster with their score; a few posts per cluster."""
     chosen = stored(rank.candidates(members, cfg.rank), "candidates")
@@ -75,7 +75,7 @@ def rank_posts(
     terms: DataFrame,
     news: DataFrame,
     tags: DataFrame | None = None,
-    cfg: HotNewsConfig = HotNewsConfig(),
+    cfg: PipelineConfig = PipelineConfig(),
 ) -> DataFrame:
     """Best post of each of the hottest clusters."""
     best = rank.winners(scored_candidates(members, texts, terms, tags, cfg))
@@ -84,7 +84,7 @@ def rank_posts(
 
 def hot_news(
     news: DataFrame,
-    cfg: HotNewsConfig = HotNewsConfig(),
+    cfg: PipelineConfig = PipelineConfig(),
     lemmas: DataFrame | None = None,
     tags: DataFrame | None = None,
 ) -> DataFrame:

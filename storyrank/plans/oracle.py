@@ -220,7 +220,7 @@ def _rebuilt(source: str) -> str:
 def _counts() -> str:
     rows = {
         "posts": "count(*) FROM posts",
-        "cleaned_posts": "count(*) FROM cleaned",
+        "cleaned_posts": "count(clean) FROM cleaned",
         "distinct_texts": "count(*) FROM corpus",
         "empty_texts": "count(*) FROM corpus WHERE clean = ''",
         "distinct_words": "count(DISTINCT word) FROM words",
@@ -250,6 +250,19 @@ _ASCII_LINE = (
     "CAST(n.rt_cnt AS VARCHAR))"
 )
 
+# posts with the noun pass, then the verb pass over their own vocabulary
+_LEMMATISED = (
+    f"WITH w AS (SELECT id_str, seq, source, {_content_words('tweet')} AS words FROM posts), "
+    "p AS (SELECT id_str, generate_subscripts(words, 1) AS pos, unnest(words) AS token FROM w), "
+    "v AS (SELECT DISTINCT token FROM p), "
+    "n AS (SELECT id_str, pos, regexp_replace(token, 's$', '') AS token FROM p), "
+    "l AS (SELECT n.id_str, n.pos, CASE WHEN v.token IS NULL THEN n.token "
+    "ELSE regexp_replace(n.token, '(ing|ed)$', '') END AS token FROM n LEFT JOIN v ON n.token = v.token) "
+    "SELECT w.id_str, w.seq, w.source, coalesce(string_agg(l.token, ' ' ORDER BY l.pos), '') AS clean "
+    f"FROM w LEFT JOIN (SELECT * FROM l WHERE length(token) >= {CleanConfig().min_word_length}) l "
+    "ON w.id_str = l.id_str GROUP BY w.id_str, w.seq, w.source"
+)
+
 # conversation turns in the shape of posts
 _TURNS = (
     "SELECT conv_id || '-' || turn AS id_str, text AS tweet, "
@@ -288,6 +301,14 @@ ORACLES: dict[str, str] = {
         "news",
     ),
     "news_upsert": _sql(_UPSERTED, "news"),
+    "news_upsert_moved_day": _sql(
+        _UPSERTED.replace(
+            "tweet, ctime,",
+            "tweet, CASE WHEN lang = 'en' THEN ctime WHEN seq % 2 = 0 THEN 'no time' "
+            "ELSE 'Sun Jan 01 00:00:00 +0000 2017' END AS ctime,",
+        ),
+        "news",
+    ),
     "stream_ingest": _sql(_UPSERTED, "news"),
     "news_view": _sql(
         "SELECT id_str, tweet, ctime, rt_cnt, CAST(floor(epoch(ts)) AS BIGINT) AS created_epoch FROM news",
@@ -304,7 +325,8 @@ ORACLES: dict[str, str] = {
     ),
     "phrase_scores": _sql("SELECT a, b, n, round(score, 4) AS score FROM phrases", "phrases"),
     "phrase_merge": _sql(
-        "SELECT id_str, string_agg(w, ' ' ORDER BY pos) AS phrased FROM merged GROUP BY id_str", "merged"
+        "SELECT c.id_str, coalesce(string_agg(w, ' ' ORDER BY pos), '') AS phrased "
+        "FROM corpus c LEFT JOIN merged m ON c.id_str = m.id_str GROUP BY c.id_str", "merged"
     ),
     "centroid_distance": _sql(
         "SELECT vec_id, cluster, round(dist, 4) AS dist FROM own_dist", "own_dist"
@@ -344,5 +366,5 @@ ORACLES: dict[str, str] = {
         "JOIN news n ON b.id_str = n.id_str",
         "best",
         "events_by_source",
-    ),
+    ).replace(f"({_PARTS['cleaned']})", f"({_LEMMATISED})"),
 }

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from storyrank.config import (
     CleanConfig,
     ClusterConfig,
-    HotNewsConfig,
     PhraseConfig,
+    PipelineConfig,
     RankConfig,
     TopicConfig,
     WordVectorConfig,
@@ -28,6 +28,8 @@ from storyrank.sources.reports import report_lines
 from storyrank.sources.scratch import scratch_path, stored
 from storyrank.streaming import ingest
 
+WHOLE_JOB = PipelineConfig(clean=CleanConfig(lemmatise=True))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -36,6 +38,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def _lexicons(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored (lemmas, tags) of the words of the posts and of their lemmas."""
+    tokens = stored(views.vocabulary(clean_posts(posts)), "vocabulary")
+    lemmas = stored(views.suffix_lemmas(tokens), "lemmas")
+    words = tokens.unionByName(lemmas.select(F.col("lemma").alias("token"))).distinct()
+    return lemmas, stored(views.suffix_tags(words), "tags")
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored corpus (clean, id_str, seq)."""
     return plan.build_corpus(views.posts(spark, sf_dir).select("id_str", "tweet", "seq"))
@@ -61,7 +71,8 @@ def clean_corpus_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_corpus_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = views.decorated(spark, sf_dir).select("id_str", "tweet")
     tokens = stored(views.vocabulary(clean_posts(posts)), "vocabulary")
-    return clean_posts(posts, lemmas=views.suffix_lemmas(tokens)).select("id_str", "clean")
+    cfg = CleanConfig(lemmatise=True)
+    return clean_posts(posts, cfg, lemmas=views.suffix_lemmas(tokens)).select("id_str", "clean")
 
 
 @query
@@ -90,7 +101,7 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         DataFrame.unionByName,
         [
             corpus.metric(posts, "posts"),
-            corpus.metric(posts, "cleaned_posts", F.count("id_str")),
+            corpus.metric(clean_posts(posts), "cleaned_posts", F.count("clean")),
             corpus.metric(texts, "distinct_texts"),
             corpus.metric(texts, "empty_texts", empty),
             corpus.metric(corpus.word_counts(docs), "distinct_words"),
@@ -134,6 +145,19 @@ def news_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news_source.read_news(spark, path).select("id_str", "tweet", "ctime", "rt_cnt")
 
 
+@query
+def news_upsert_moved_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `news_upsert`, but the second load carries other days and unreadable times."""
+    rows = views.news(spark, sf_dir)
+    path = scratch_path(spark, "news")
+    moved = F.when(F.col("seq") % 2 == 0, "no time").otherwise("Sun Jan 01 00:00:00 +0000 2017")
+    first = views.status_lines(rows.filter(F.col("lang") == "en"))
+    second = views.status_lines(rows.withColumn("ctime", moved), extra_reposts=1)
+    for load, lines in enumerate([first, second]):
+        ingest.ingest_batch(lines, path, load=load, arrival=())
+    return news_source.read_news(spark, path).select("id_str", "tweet", "ctime", "rt_cnt")
+
+
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statuses land as files, are streamed in, land again with other counts after a restart."""
@@ -269,10 +293,13 @@ def hot_clusters_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.top_events(labelled.join(reposts, "vec_id"))
 
 
-def _source_clusters(spark: SparkSession, sf_dir: str):
+def _source_clusters(spark: SparkSession, sf_dir: str, lemmatise: bool = False):
     """Corpus with the source as cluster: (texts, terms, tags, members)."""
     rows = views.news(spark, sf_dir).select("id_str", "tweet", "seq", "source", "rt_cnt")
-    texts = plan.build_corpus(rows)
+    if lemmatise:
+        texts = plan.build_corpus(rows, WHOLE_JOB, lemmas=_lexicons(rows)[0])
+    else:
+        texts = plan.build_corpus(rows)
     words, terms = plan.corpus_terms(texts)
     labelled = texts.select("id_str", "seq", "rt_cnt", F.col("source").alias("cluster"))
     weights = stored(features.tfidf_long(words, terms), "weights")
@@ -309,8 +336,8 @@ def cluster_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hot_news_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The final report with the source as cluster."""
-    texts, terms, tags, members = _source_clusters(spark, sf_dir)
+    """The final report with the source as cluster, with lemmas and tags."""
+    texts, terms, tags, members = _source_clusters(spark, sf_dir, lemmatise=True)
     final = plan.rank_posts(members, texts, terms, views.news(spark, sf_dir), tags)
     return report_lines(final).select("event_rank", "cluster", "rt_sum", "id_str", "rt_cnt", "line")
 
@@ -320,9 +347,10 @@ def hot_news_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hot_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job: clean, weigh, reduce, cluster, rank."""
+    """The whole job with lemmas and tags: clean, weigh, reduce, cluster, rank."""
     rows = views.news(spark, sf_dir).select("id_str", "tweet", "ctime", "rt_cnt", "seq")
-    return plan.hot_news(rows)
+    lemmas, tags = _lexicons(rows.select("id_str", "tweet"))
+    return plan.hot_news(rows, WHOLE_JOB, lemmas, tags)
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> plan.Clustered:

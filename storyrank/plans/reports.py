@@ -1,16 +1,18 @@
 """The whole job with every report written out.
 
-    spark-submit --py-files storyrank.zip -m storyrank.plans.reports NEWS_TABLE OUTPUT_FOLDER
+    spark-submit ... -m storyrank.plans.reports NEWS OUTPUT [--lemmas TABLE] [--tags TABLE]
+
+LEMMAS holds (token, pos, lemma), TAGS holds (token, tag), both as Parquet.
 """
 
 from __future__ import annotations
 
-import sys
+import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyrank.config import HotNewsConfig
+from storyrank.config import CleanConfig, PipelineConfig
 from storyrank.operators import cluster, corpus, rank
 from storyrank.operators.clean import clean_posts
 from storyrank.plans import hot_news as plan
@@ -23,7 +25,7 @@ from storyrank.sources.scratch import stored
 def write_reports(
     news: DataFrame,
     out: str,
-    cfg: HotNewsConfig = HotNewsConfig(),
+    cfg: PipelineConfig = PipelineConfig(),
     lemmas: DataFrame | None = None,
     tags: DataFrame | None = None,
 ) -> None:
@@ -52,9 +54,16 @@ def write_reports(
 
 
 def main() -> None:
-    table, out = sys.argv[1:3]
+    parser = argparse.ArgumentParser()
+    parser.add_argument("news")
+    parser.add_argument("output")
+    parser.add_argument("--lemmas")
+    parser.add_argument("--tags")
+    args = parser.parse_args()
     spark = SparkSession.builder.appName("storyrank").getOrCreate()
-    write_reports(read_news(spark, table), out)
+    lemmas, tags = (spark.read.parquet(p) if p else None for p in (args.lemmas, args.tags))
+    cfg = PipelineConfig(clean=CleanConfig(lemmatise=lemmas is not None))
+    write_reports(read_news(spark, args.news), args.output, cfg, lemmas, tags)
 
 
 if __name__ == "__main__":

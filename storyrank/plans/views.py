@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyrank.sources.spread import spread
-
 CTIME_FORMAT = "EEE MMM dd HH:mm:ss '+0000' yyyy"
 
 
@@ -17,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts: (id_str, tweet, seq, source, lang)."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return spread(documents, "doc_id").select(
+    return documents.select(
         F.col("doc_id").cast("string").alias("id_str"),
         F.col("text").alias("tweet"),
         F.col("doc_id").alias("seq"),

@@ -14,7 +14,6 @@ from storyrank.functions import text
 # Arrival order of landed text files; `LINE` then numbers the lines of one file split.
 FILE_ARRIVAL = ("landed_at", "file", "file_start")
 LINE = "_line"
-MAX_PRUNED_DAYS = 1000
 
 
 def with_arrival(lines: DataFrame) -> DataFrame:
@@ -82,11 +81,8 @@ def unseen(posts: DataFrame, table: DataFrame, cfg: LookupConfig = LookupConfig(
 
     The table is the large side and only its ids are read. When the posts are few their ids are
     broadcast into that scan and only the ids found come back, so the table is not shuffled;
-    otherwise both sides are joined by shuffle. Of a table partitioned by `day` only the days of
-    the posts are read.
+    otherwise both sides are joined by shuffle. An id counts as seen whatever its other fields.
     """
-    if "day" in table.columns:
-        table = _same_days(posts, table)
     ids = table.select("id_str")
     few = posts.select("id_str").limit(cfg.max_broadcast_rows + 1).count() <= cfg.max_broadcast_rows
     if few:
@@ -95,31 +91,15 @@ def unseen(posts: DataFrame, table: DataFrame, cfg: LookupConfig = LookupConfig(
     return posts.join(ids, "id_str", "left_anti")
 
 
-def _same_days(posts: DataFrame, table: DataFrame) -> DataFrame:
-    """Prune `table` to the days of `posts`, unless those are very many."""
-    found = posts.select(_day().alias("day")).distinct().limit(MAX_PRUNED_DAYS + 1).collect()
-    if len(found) > MAX_PRUNED_DAYS:
-        return table
-    days = [r["day"] for r in found if r["day"] is not None]
-    return table.filter(F.col("day").isin(days) | F.col("day").isNull())
-
-
-def _day() -> Column:
-    return F.to_date("created_at")
-
-
-def create_news(spark: SparkSession, path: str, by_day: bool = False) -> None:
+def create_news(spark: SparkSession, path: str) -> None:
     """Create the table when it is absent; leave it alone when it exists."""
-    empty = spark.createDataFrame([], schema.NEWS)
-    _write(empty, path, "ignore", by_day)
+    _write(spark.createDataFrame([], schema.NEWS), path, "ignore")
 
 
-def _write(rows: DataFrame, path: str, mode: str, by_day: bool) -> None:
+def _write(rows: DataFrame, path: str, mode: str) -> None:
     rows = rows.select(schema.NEWS.fieldNames())
-    if by_day:
-        rows.withColumn("day", _day()).write.mode(mode).partitionBy("day").parquet(path)
-    else:
-        rows.write.mode(mode).parquet(path)
+    # lets a look-up of ids skip row groups
+    rows.write.mode(mode).option("parquet.bloom.filter.enabled#id_str", "true").parquet(path)
 
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:
@@ -134,18 +114,14 @@ def append_news(
     load: int,
     arrival: Sequence[str] = FILE_ARRIVAL,
     cfg: LookupConfig = LookupConfig(),
-    by_day: bool = False,
 ) -> None:
     """Append accepted posts with unseen ids, in arrival order: `arrival` columns, then line.
 
     The table itself is the memory of what was seen, so running a load again after a failure
     adds only what the failed attempt did not. One writer per table at a time.
-
-    `by_day` keeps the table partitioned by day of creation, so that a load looks for its ids in
-    its own days only. It asks that repeats of an id carry the same creation time.
     """
     spark = parsed.sparkSession
-    create_news(spark, path, by_day)
+    create_news(spark, path)
     numbered = accepted(parsed).withColumn(LINE, F.monotonically_increasing_id())
     order = [*arrival, LINE]
     posts = first_versions(numbered, order).persist()
@@ -156,6 +132,6 @@ def append_news(
             .withColumn("load", F.lit(load).cast("long"))
             .withColumn("position", F.monotonically_increasing_id())
         )
-        _write(ordered, path, "append", by_day)
+        _write(ordered, path, "append")
     finally:
         posts.unpersist()

@@ -65,15 +65,14 @@ FIRST = [status(1, 10), status(2, 20), "oops", status(1, 11)]
 SECOND = [status(2, 99), status(3, 30), '{"text":"x"}', status(3, 31)]
 
 
-@pytest.mark.parametrize("by_day", [False, True], ids=["flat", "by day"])
 @pytest.mark.parametrize("cfg", [LookupConfig(), LookupConfig(max_broadcast_rows=0)], ids=["few", "many"])
-def test_stream_keeps_first_versions_across_a_restart(spark, tmp_path, cfg, by_day):
+def test_stream_keeps_first_versions_across_a_restart(spark, tmp_path, cfg):
     landing, table, rejects = (str(tmp_path / n) for n in ("landing", "news", "rejects"))
 
     def run():
         source = ingest.landed_stream(spark, landing, files_per_batch=1)
         ingest.ingest_stream(
-            source, table, str(tmp_path / "checkpoint"), rejects, available_now=True, cfg=cfg, by_day=by_day
+            source, table, str(tmp_path / "checkpoint"), rejects, available_now=True, cfg=cfg
         ).awaitTermination()
 
     land(landing, "b.json", FIRST, at=1_000_000_000)
@@ -103,6 +102,16 @@ def test_a_load_that_runs_again_adds_only_what_is_missing(spark, tmp_path):
     assert len(kept(spark, table)) == 20
 
 
+@pytest.mark.parametrize("cfg", [LookupConfig(), LookupConfig(max_broadcast_rows=0)], ids=["few", "many"])
+def test_an_id_that_comes_back_with_another_time_is_stored_once(spark, tmp_path, cfg):
+    table = str(tmp_path / "news")
+    times = ["Sat Jan 14 03:25:04 +0000 2017", "Sun Jan 15 03:25:04 +0000 2017", "no time"]
+    for load, time in enumerate(times):
+        lines = spark.createDataFrame([(status(1, load, created_at=time),), (status(2 + load, load, created_at=time),)], "value string")
+        ingest.ingest_batch(lines, table, load=load, arrival=(), cfg=cfg)
+    assert kept(spark, table) == [("1", 0), ("2", 0), ("3", 1), ("4", 2)]
+
+
 def test_backfill_and_live_in_one_query(spark, tmp_path):
     backfill, live, table = (str(tmp_path / n) for n in ("backfill", "live", "news"))
     land(backfill, "p.json", FIRST, at=1_000_000_000)
@@ -203,20 +212,6 @@ def test_whole_job_writes_every_report(spark, sf_dir, tmp_path):
     assert spark.read.option("header", True).csv(f"{out}/cluster_terms").count() == 25
 
 
-def test_only_the_days_of_a_load_are_probed(spark, tmp_path):
-    table = str(tmp_path / "news")
-    times = ["Sat Jan 14 03:25:04 +0000 2017", "Sun Jan 15 05:45:04 +0000 2017", "never"]
-    lines = spark.createDataFrame([(status(i, i, created_at=times[i % 3]),) for i in range(9)], "value string")
-    ingest.ingest_batch(lines, table, arrival=(), by_day=True)
-    ingest.ingest_batch(lines, table, load=1, arrival=(), by_day=True)
-    assert len(kept(spark, table)) == 9
-    stored_table = spark.read.parquet(table)
-    monday = news.accepted(news.parse_status(spark.createDataFrame([(status(1, created_at=times[1]),)], "value string")))
-    pruned = news._same_days(monday, stored_table)
-    assert sorted({str(r["day"]) for r in pruned.collect()}) == ["2017-01-15", "None"]
-    assert news.unseen(monday, stored_table).count() == 0
-
-
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     class Context:
         applicationId = "app"

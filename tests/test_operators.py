@@ -62,13 +62,18 @@ def test_split_join_of_hot_and_missing_keys(spark, how, max_hot):
 
 
 def test_replace_words_layouts_agree(spark):
+    # ids repeat and are null: each row keeps its own words
     df = spark.createDataFrame(
-        [("1", 1, ["b", "a", "b"]), ("2", 2, []), ("3", 3, ["z", "a"])], "id_str string, seq int, words array<string>"
-    )
+        [("1", 1, ["b", "a", "b"]), ("2", 2, []), ("3", 3, ["z", "a"]), ("1", 4, ["b"]), (None, 5, ["a"]), (None, 6, [])],
+        "id_str string, seq int, words array<string>",
+    ).repartition(3)
     table = spark.createDataFrame([("a", "x"), ("b", "y")], "token string, replacement string")
-    want = [("1", 1, ["y", "x", "y"]), ("2", 2, []), ("3", 3, ["z", "x"])]
+    want = [
+        ("1", 1, ["y", "x", "y"]), ("2", 2, []), ("3", 3, ["z", "x"]), ("1", 4, ["y"]), (None, 5, ["x"]), (None, 6, []),
+    ]
     for cfg in (LookupConfig(), NEVER_BROADCAST):
-        assert rows(lexicon.replace_words(df, table, cfg)) == want
+        got = lexicon.replace_words(df, table, cfg).orderBy("seq").select("id_str", "seq", "words")
+        assert [tuple(r) for r in got.collect()] == want
 
 
 def test_top_per_group_with_a_hot_group(spark):
@@ -175,7 +180,8 @@ def test_phrase_merge_reads_greedily(spark, cfg):
     pairs = spark.createDataFrame(sorted(accepted), "a string, b string")
     docs = docs_of(spark, texts).select("id_str", text.split_words(F.col("clean")).alias("words"))
     got = {r["id_str"]: r["words"] for r in phrases.merge_phrases(docs, pairs, lookup_cfg=cfg).collect()}
-    assert got == {str(i): greedy(t.split(), accepted) for i, t in enumerate(texts) if t}
+    # posts without words keep their row
+    assert got == {str(i): greedy(t.split(), accepted) for i, t in enumerate(texts)}
     assert got["0"] == ["a_b", "c_d"]
 
 

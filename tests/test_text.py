@@ -64,11 +64,15 @@ def test_lexicons(spark):
         "token string, pos string, lemma string",
     )
     posts = ["running geese said axes hello"]
-    assert cleaned(spark, posts, lemmas=lemmas) == [["run", "goo", "say", "hello"]]
+    on = CleanConfig(lemmatise=True)
+    assert cleaned(spark, posts, on, lemmas=lemmas) == [["run", "goo", "say", "hello"]]
     stems = spark.createDataFrame([("hello", "hell"), ("said", "sa")], "token string, stem string")
     assert cleaned(spark, posts, CleanConfig(stem=True), stems=stems) == [["running", "geese", "axes", "hell"]]
     off = CleanConfig(remove_stop=False)
     assert cleaned(spark, posts, off, lemmas=lemmas) == [["running", "geese", "said", "axes", "hello"]]
+    for asked in (on, CleanConfig(stem=True)):
+        with pytest.raises(ValueError, match="table is missing"):
+            cleaned(spark, posts, asked)
 
 
 def test_stop_word_lists(spark):
