@@ -11,10 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storyrank.llm.common import row_of, running_totals
+from storyrank.llm.common import row_of
+from storyrank.operators.prefix import running_totals
 
 
 @dataclass(frozen=True)

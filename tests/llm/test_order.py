@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from storyrank.llm import hilbert_shards as hilbert
 from storyrank.llm import pfair_mix as mix
 from storyrank.llm import queries
-from storyrank.llm.common import component_labels, running_totals
+from storyrank.llm.common import component_labels
+from storyrank.operators.prefix import running_totals
 from storyrank.sources.scratch import scratch_path
 from tests.llm.helpers import DOCUMENTS, ROWS, frame, groups
 
