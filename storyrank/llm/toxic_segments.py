@@ -9,7 +9,6 @@ scores, its size from held-back clean texts, and each passage counts by what it
 
 from __future__ import annotations
 
-import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,9 +23,10 @@ from pyspark.sql import functions as F
 from storyrank.llm.common import small_batches
 from storyrank.sources.scratch import stored
 
-WORD = re.compile(r"[^\W\d_]+")
 PIECE = re.compile(r"[^ \t-\r]+")
 FOLDS = 5
+# fixed values: marks and digits around a word
+MARKS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~«»“”„‘’‚…–—¿¡、。，！？"
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,6 @@ class ToxicConfig:
     token_cost: float = 0.2
     passages: float = 0.05
     block: int = 4_096
-    known_words: int = 120_000
 
     @property
     def words(self) -> int:
@@ -57,65 +56,47 @@ class ToxicConfig:
 # ----------------------------------------------------------------------------- tokens
 
 
-def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Tokens of all texts as numbers of distinct ones, where each text begins, and these.
 
     A token is a lower-cased piece between ASCII white space; a null text has none.
     """
     lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
     coded = lists.flatten().dictionary_encode()
-    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    names, codes = coded.dictionary, coded.indices.to_numpy()
     firsts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    if "" in names:  # white space at the ends of a text leaves empty pieces
-        kept = codes != names.index("")
+    empty = pc.index(names, "").as_py()
+    if empty >= 0:  # white space at the ends of a text leaves empty pieces
+        kept = codes != empty
         firsts = np.concatenate([[0], np.cumsum(kept)])[firsts]
         codes = codes[kept]
     return codes, firsts, names
 
 
-class Buckets(dict):
-    """Buckets of the words of a token: for each word its own, then those of its stems from the
-    longest. Remembers a bounded number of tokens."""
-
-    def __init__(self, cfg: ToxicConfig) -> None:
-        super().__init__()
-        self.cfg = cfg
-
-    def __missing__(self, token: str) -> list[list[int]]:
-        if len(self) >= self.cfg.known_words:
-            self.clear()
-        found = self[token] = [self._of(word) for word in WORD.findall(token)]
-        return found
-
-    def _of(self, word: str) -> list[int]:
-        cfg = self.cfg
-        found = [zlib.crc32(word.encode()) & (cfg.words - 1)]
-        for letters in cfg.stem_letters:
-            if len(word) > letters:
-                stem = zlib.crc32(word[:letters].encode(), letters)
-                found.append(cfg.words + (stem & ((1 << cfg.stem_bits) - 1)))
-        return found
-
-
-class Scores(dict):
-    """Score of a token, that of its worst word; a word scores by the first significant of its own
-    bucket and its stems. Remembers a bounded number of tokens."""
-
-    def __init__(self, table: np.ndarray, cfg: ToxicConfig) -> None:
-        super().__init__()
-        self.table, self.buckets = table, Buckets(cfg)
-
-    def __missing__(self, token: str) -> float:
-        cfg = self.buckets.cfg
-        if len(self) >= cfg.known_words:
-            self.clear()
-            self.buckets.clear()
-        worst = -cfg.token_cost
-        for places in self.buckets[token]:
-            values = (self.table[i] for i in places)
-            worst = max(worst, next((v for v in values if v), worst))
-        found = self[token] = float(worst)
-        return found
+def buckets(names: pa.Array, cfg: ToxicConfig) -> np.ndarray:
+    """One row per token: bucket of its word, then of the word's stems from the longest, -1 where
+    there is none. The word is the token without the marks and digits at its ends."""
+    words = pc.utf8_trim(names, characters=MARKS)
+    letters = pc.utf8_length(words).to_numpy()
+    out = np.full((len(names), 1 + len(cfg.stem_letters)), -1, np.int64)
+    own = np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.int64, len(words))
+    out[:, 0] = np.where(letters > 0, own & (cfg.words - 1), -1)
+    for column, size in enumerate(cfg.stem_letters, 1):
+        coded = pc.utf8_slice_codeunits(words, 0, size).dictionary_encode()
+        stems = coded.dictionary.to_pylist()
+        hashed = np.fromiter((zlib.crc32(x.encode(), size) for x in stems), np.int64, len(stems))
+        place = cfg.words + (hashed & ((1 << cfg.stem_bits) - 1))
+        if len(names):
+            out[:, column] = np.where(letters > size, place[coded.indices.to_numpy()], -1)
+    return out
+
+
+def scores_of(names: pa.Array, table: np.ndarray, cfg: ToxicConfig) -> np.ndarray:
+    """Score of each token: the first of its buckets that says something, else the common cost."""
+    out = np.zeros(len(names), np.float32)
+    for column in buckets(names, cfg).T:
+        out = np.where((out == 0) & (column >= 0), table[column], out)
+    return np.where(out == 0, np.float32(-cfg.token_cost), out)
 
 
 # ------------------------------------------------------------------------------ model
@@ -130,20 +111,19 @@ def bucket_counts(docs: DataFrame, cfg: ToxicConfig) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, buckets = np.zeros((3, cfg.size), np.uint32), Buckets(cfg)
+        total = np.zeros((3, cfg.size), np.uint32)
         for batch in batches:
             codes, firsts, names = pieces(batch.column(0))
             # each token once per text
             text = np.repeat(np.arange(batch.num_rows), np.diff(firsts))
-            once = np.unique(text * max(len(names), 1) + codes)
-            text, codes = np.divmod(once, max(len(names), 1))
+            text, codes = np.divmod(np.unique(text * max(len(names), 1) + codes), max(len(names), 1))
             toxic = batch.column(1).fill_null(-1).to_numpy()[text]
-            found = [list(itertools.chain.from_iterable(buckets[n])) for n in names]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            places = np.fromiter(itertools.chain.from_iterable(found), np.int64, sizes.sum())
+            places = buckets(names, cfg)
             for row, chosen in ((0, codes), (1, codes[toxic == 1]), (2, codes[toxic == 0])):
-                uses = np.repeat(np.bincount(chosen, minlength=len(names)), sizes)
-                np.add.at(total[row], places, uses.astype(np.uint32))
+                uses = np.bincount(chosen, minlength=len(names)).astype(np.uint32)
+                for column in places.T:
+                    held = (column >= 0) & (uses > 0)
+                    np.add.at(total[row], column[held], uses[held])
         yield from _blocks(total, cfg)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,11 +235,8 @@ def scanned(docs: DataFrame, table: np.ndarray, cfg: ToxicConfig) -> DataFrame:
 
     @F.arrow_udf("struct<n_tokens: long, passages: array<struct<start: int, stop: int, score: double>>>")
     def scan(texts: pa.Array) -> pa.Array:
-        if not _SCORES or _SCORES[0][0] is not shipped.value:
-            _SCORES[:] = [(shipped.value, Scores(shipped.value, cfg))]
         codes, firsts, names = pieces(texts)
-        each = np.fromiter(map(_SCORES[0][1].__getitem__, names), np.float32, len(names))
-        scores = each[codes] if len(names) else np.zeros(0, np.float32)
+        scores = scores_of(names, shipped.value, cfg)[codes] if len(names) else np.zeros(0, np.float32)
         gains = np.concatenate([[0], np.cumsum(scores > 0)])[firsts]
         found: list[list] = [[] for _ in range(len(texts))]
         for i in np.flatnonzero(np.diff(gains)).tolist():
@@ -274,9 +251,6 @@ def scanned(docs: DataFrame, table: np.ndarray, cfg: ToxicConfig) -> DataFrame:
     return docs.withColumn("scan", scan("text"))
 
 
-_SCORES: list = []  # the scores of this worker process, with the table they come from
-
-
 def _in_text(text: str, segments: list[tuple[int, int, float]]) -> list[tuple]:
     """Segments of tokens as spans of the text."""
     spans = [m.span() for m in PIECE.finditer(text)]
