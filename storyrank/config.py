@@ -82,8 +82,9 @@ class WordVectorConfig:
     size: int = 50
     window: int = 7
     min_count: int = 4
-    max_iter: int = 4
-    partitions: int = 8
+    sample: float = 1e-4
+    negatives: int = 5
+    rounds: int = 5
     similar: int = 10
     seed: int = 42
 

@@ -1,4 +1,10 @@
-"""Word and document vectors."""
+"""Word and document vectors from co-occurrence counts.
+
+Words that stand within a window of each other are counted, the counts become positive pointwise
+mutual information, and the matrix of these is factored by the same blocked SVD as the documents
+(Levy and Goldberg, 2014: shifted by ln k it stands for k negative samples). No text, vocabulary
+or matrix meets on the driver.
+"""
 
 from __future__ import annotations
 
@@ -6,33 +12,88 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyrank.config import WordVectorConfig
+from storyrank.config import LookupConfig, LsaConfig, WordVectorConfig
+from storyrank.operators import lsa
+from storyrank.operators.corpus import word_counts
+from storyrank.operators.lookup import lookup
+from storyrank.operators.prefix import running_totals
 from storyrank.operators.topk import top_per_group
+from storyrank.sources.scratch import stored
 
 
-def shuffled(sentences: DataFrame, seed: int) -> DataFrame:
-    """Sentences in a random but repeatable order."""
-    draw = F.xxhash64("words", F.lit(seed))
-    return sentences.repartition(draw).sortWithinPartitions(draw)
-
+def window_pairs(sentences: DataFrame, window: int) -> DataFrame:
+    """(a, b, n): how often `a` stands before or after `b`, at most `window` words away.
 
-def fit_word_vectors(sentences: DataFrame, cfg: WordVectorConfig = WordVectorConfig()) -> Word2VecModel:
-    """Train on the array column `words`."""
-    estimator = Word2Vec(
-        vectorSize=cfg.size, windowSize=cfg.window, minCount=cfg.min_count, maxIter=cfg.max_iter,
-        numPartitions=cfg.partitions, seed=cfg.seed, inputCol="words", outputCol="vector",
+    Counted over array column `words` of whole texts, inside each row before the shuffle.
+    """
+    zipped = []
+    for gap in range(1, window + 1):
+        size = F.greatest(F.size("words") - gap, F.lit(0))
+        first, second = F.slice("words", F.lit(1), size), F.slice("words", F.lit(1 + gap), size)
+        zipped.append(F.arrays_zip(first.alias("a"), second.alias("b")))
+    pairs = sentences.select(F.explode(F.concat(*zipped)).alias("p")).groupBy("p.a", "p.b")
+    counted = stored(pairs.agg(F.count("*").alias("n")), "window-pairs")
+    turned = counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
+    return counted.unionByName(turned).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _kept_share(count: Column, total: float, sample: float) -> Column:
+    """Expected share of a word that subsampling at rate `sample` keeps."""
+    ratio = F.lit(sample) * total / count
+    return F.least(F.sqrt(ratio) + ratio, F.lit(1.0))
+
+
+def pointwise_information(
+    sentences: DataFrame,
+    cfg: WordVectorConfig = WordVectorConfig(),
+    lookup_cfg: LookupConfig = LookupConfig(),
+) -> tuple[DataFrame, DataFrame]:
+    """((a, b, value), words): positive information of word pairs, and the words counted often
+    enough. Frequent words count by the share that subsampling is expected to keep of them."""
+    known = stored(word_counts(sentences, cfg.min_count), "known-words")
+    total = float(known.agg(F.sum("count")).first()[0] or 1)
+    shares = known.select("word", _kept_share(F.col("count"), total, cfg.sample).alias("share"))
+    pairs = window_pairs(sentences, cfg.window)
+    for side in ("a", "b"):
+        own = shares.select(F.col("word").alias(side), F.col("share").alias(f"share_{side}"))
+        pairs = lookup(pairs, own, [side], lookup_cfg)
+    pairs = stored(
+        pairs.select("a", "b", (F.col("n") * F.col("share_a") * F.col("share_b")).alias("w")), "pair-weights"
     )
-    return estimator.fit(shuffled(sentences.select("words"), cfg.seed))
-
-
-def word_vectors(model: Word2VecModel) -> DataFrame:
-    """(word, vector array)."""
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    sums = stored(pairs.groupBy("a").agg(F.sum("w").alias("sum_a")), "pair-sums")
+    whole = float(sums.agg(F.sum("sum_a")).first()[0] or 1)
+    pairs = lookup(pairs, sums, ["a"], lookup_cfg)
+    pairs = lookup(pairs, sums.select(F.col("a").alias("b"), F.col("sum_a").alias("sum_b")), ["b"], lookup_cfg)
+    lift = F.log(F.col("w") * whole / (F.col("sum_a") * F.col("sum_b"))) - F.log(F.lit(float(cfg.negatives)))
+    return pairs.select("a", "b", lift.alias("value")).filter(F.round("value", 6) > 0), known
+
+
+def fit_word_vectors(
+    sentences: DataFrame,
+    cfg: WordVectorConfig = WordVectorConfig(),
+    lookup_cfg: LookupConfig = LookupConfig(),
+) -> DataFrame:
+    """(word, vector array) of the words of column `words`; stored."""
+    values, known = pointwise_information(sentences, cfg, lookup_cfg)
+    ordered = known.select((-F.col("count")).alias("rank"), F.col("word").alias("term"), F.lit(1).cast("long").alias("one"))
+    numbered = running_totals(ordered, ["rank", "term"], ["one"])
+    numbered = stored(numbered.select("term", F.col("one_before").alias("number")), "numbered-words")
+    n_words = numbered.count()
+    if n_words == 0:
+        return sentences.sparkSession.createDataFrame([], "word string, vector array<double>")
+    cells = values
+    for side, name in (("a", "_doc"), ("b", "idx")):
+        cells = lookup(cells, numbered.select(F.col("term").alias(side), F.col("number").alias(name)), [side], lookup_cfg)
+    cells = stored(cells.select("_doc", F.col("idx").cast("int").alias("idx"), F.col("value").alias("val")), "word-matrix")
+    words = numbered.select(F.col("number").alias("_doc"), F.col("term").alias("word"))
+    shape = LsaConfig(components=cfg.size, rounds=cfg.rounds, seed=cfg.seed)
+    found = lsa.factor_cells(words, cells, numbered, n_words, shape)
+    return stored(found.rows.select("word", F.col("lsa").alias("vector")), "word-vectors")
 
 
 def similar_words(vectors: DataFrame, examples: Sequence[str], n: int = 10) -> DataFrame:
@@ -65,7 +126,19 @@ def similar_words(vectors: DataFrame, examples: Sequence[str], n: int = 10) -> D
     )
 
 
-def document_vectors(model: Word2VecModel, docs: DataFrame) -> DataFrame:
-    """(id_str, vector): mean of the word vectors of each document."""
-    averaged = model.transform(docs.select("id_str", "words"))
-    return averaged.select("id_str", vector_to_array("vector").alias("vector"))
+def document_vectors(
+    vectors: DataFrame, docs: DataFrame, lookup_cfg: LookupConfig = LookupConfig()
+) -> DataFrame:
+    """(id_str, vector): mean of the word vectors over all words of a document; unknown words and
+    documents without known words count as zero."""
+    keyed = stored(docs.select("id_str", "words", F.monotonically_increasing_id().alias("_doc")), "vector-docs")
+    width = F.lit(vectors.select(F.size("vector")).first()[0] if vectors.head(1) else 0)
+    long = keyed.select("_doc", F.explode("words").alias("word"))
+    summed = (
+        lookup(long, vectors, ["word"], lookup_cfg)
+        .groupBy("_doc")
+        .agg(vector_to_array(Summarizer.sum(array_to_vector("vector"))).alias("total"))
+    )
+    mean = F.transform("total", lambda x: x / F.size("words"))
+    blank = F.array_repeat(F.lit(0.0), width)
+    return keyed.join(summed, "_doc", "left").select("id_str", F.coalesce(mean, blank).alias("vector"))

@@ -86,24 +86,55 @@ def factor(docs: DataFrame, numbered: DataFrame, n_terms: int, cfg: LsaConfig =
     needs no exchange of document vectors, with more each document sends one vector to each block
     it touches. The start, the order of terms and the precision are the same in all cases.
     """
+    basis = _start(numbered, n_terms, cfg)
+    if basis.blocks == 1:
+        return _factor_whole(docs, basis, cfg)
+    cells = docs.select("_doc", F.explode(F.arrays_zip("idx", "val")).alias("c")).select("_doc", "c.*")
+    return _factor_split(docs.drop("idx", "val"), cells, basis, cfg)
+
+
+def factor_cells(
+    docs: DataFrame, cells: DataFrame, numbered: DataFrame, n_terms: int, cfg: LsaConfig = LsaConfig()
+) -> Lsa:
+    """As `factor`, for a matrix in long form: rows (_doc, ...) and stored cells (_doc, idx, val).
+
+    Cells are gathered by row and block, so no more than a block of them come together.
+    """
+    basis = _start(numbered, n_terms, cfg)
+    if basis.blocks > 1:
+        return _factor_split(docs, cells, basis, cfg)
+    gathered = _by_block(cells, basis.size).drop("block")
+    joined = docs.join(gathered, "_doc", "left").withColumns({
+        "idx": F.coalesce("idx", F.array().cast("array<int>")),
+        "val": F.coalesce("val", F.array().cast("array<double>")),
+    })
+    return _factor_whole(stored(joined, "lsa-matrix"), basis, cfg)
+
+
+def _start(numbered: DataFrame, n_terms: int, cfg: LsaConfig) -> _Basis:
     width = min(cfg.components + cfg.oversample, n_terms)
     size = max(cfg.max_block_bytes // (8 * width), 1)
-    basis = _Basis.start(numbered, n_terms, width, size, cfg.seed)
-    split = docs if basis.blocks == 1 else stored(_by_block(docs, size), "lsa-blocks")
+    return _Basis.start(numbered, n_terms, width, size, cfg.seed)
+
+
+def _factor_whole(docs: DataFrame, basis: _Basis, cfg: LsaConfig) -> Lsa:
+    for _ in range(cfg.rounds):
+        basis = basis.following(_products(docs, basis))
+    rotation, singular = _rotation(_sketch_gram(docs, basis), cfg.components)
+    return Lsa(_project(docs, basis, rotation), basis.loadings(rotation), singular)
+
+
+def _factor_split(docs: DataFrame, cells: DataFrame, basis: _Basis, cfg: LsaConfig) -> Lsa:
+    split = stored(_by_block(cells, basis.size), "lsa-blocks")
     for _ in range(cfg.rounds):
         basis = basis.following(_products(split, basis))
-    sketch = None if basis.blocks == 1 else stored(_sketch(split, basis), "lsa-sketch")
-    gram = _sketch_gram(docs, basis) if sketch is None else _gram(sketch)
-    rotation, singular = _rotation(gram, cfg.components)
-    if sketch is None:
-        rows = _project(docs, basis, rotation)
-    else:
-        unit = sketch.select("_doc", _times(rotation)("y").alias("lsa"))
-        blank = F.array_repeat(F.lit(0.0), rotation.shape[1])
-        kept = [c for c in docs.columns if c not in ("_doc", "idx", "val")]
-        joined = docs.select("_doc", *kept).join(unit, "_doc", "left")
-        rows = stored(joined.select(*kept, F.coalesce("lsa", blank).alias("lsa")), "lsa-rows")
-    return Lsa(rows, basis.loadings(rotation), singular)
+    sketch = stored(_sketch(split, basis), "lsa-sketch")
+    rotation, singular = _rotation(_gram(sketch), cfg.components)
+    unit = sketch.select("_doc", _times(rotation)("y").alias("lsa"))
+    blank = F.array_repeat(F.lit(0.0), rotation.shape[1])
+    joined = docs.join(unit, "_doc", "left")
+    rows = joined.select(*[c for c in docs.columns if c != "_doc"], F.coalesce("lsa", blank).alias("lsa"))
+    return Lsa(stored(rows, "lsa-rows"), basis.loadings(rotation), singular)
 
 
 # ------------------------------------------------------------------------- term blocks
@@ -162,11 +193,10 @@ class _Basis:
         return reduce(DataFrame.unionByName, parts)
 
 
-def _by_block(docs: DataFrame, size: int) -> DataFrame:
+def _by_block(cells: DataFrame, size: int) -> DataFrame:
     """(_doc, block, idx, val): one row for each document and block of terms that it touches."""
-    cells = docs.select("_doc", F.explode(F.arrays_zip("idx", "val")).alias("c"))
-    inner = F.struct((F.col("c.idx") % size).cast("int").alias("idx"), F.col("c.val").alias("val"))
-    grouped = cells.groupBy("_doc", F.floor(F.col("c.idx") / size).cast("int").alias("block")).agg(
+    inner = F.struct((F.col("idx") % size).cast("int").alias("idx"), "val")
+    grouped = cells.groupBy("_doc", F.floor(F.col("idx") / size).cast("int").alias("block")).agg(
         F.sort_array(F.collect_list(inner)).alias("cells")
     )
     return grouped.select(

@@ -11,6 +11,7 @@ from storyrank.config import (
     RankConfig,
     TfIdfConfig,
     TopicConfig,
+    WordVectorConfig,
 )
 
 _WHITESPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
@@ -41,6 +42,7 @@ def _content_words(post: str) -> str:
 
 
 _TF, _RANK, _TOPIC, _PHRASE = TfIdfConfig(), RankConfig(), TopicConfig(), PhraseConfig()
+_WORD = WordVectorConfig()
 
 _MARKED = (
     "concat('RT @user', doc_id, ': ', text, ' #tag', doc_id % 7, ' https://t.co/', doc_id)"
@@ -90,6 +92,19 @@ _PARTS: dict[str, str] = {
     "FROM offsets",
     "merged": "SELECT id_str, pos, CASE WHEN taken THEN a || '_' || b ELSE a END AS w "
     "FROM reading WHERE NOT used",
+    # pairs of words within a window
+    "known": "SELECT a AS word, n, least(1.0, sqrt(r) + r) AS share FROM "
+    f"(SELECT a, n, {_WORD.sample} * sum(n) OVER () / n AS r FROM (SELECT a, count(*) AS n FROM placed "
+    f"WHERE a <> '' GROUP BY a HAVING count(*) >= {_WORD.min_count}))",
+    "near": "SELECT x.a, y.a AS b FROM placed x JOIN placed y ON x.id_str = y.id_str "
+    f"AND x.pos <> y.pos AND abs(x.pos - y.pos) <= {_WORD.window} WHERE x.a <> '' AND y.a <> ''",
+    "near_weights": "SELECT p.a, p.b, p.n * k.share * l.share AS w FROM "
+    "(SELECT a, b, count(*) AS n FROM near GROUP BY a, b) p "
+    "JOIN known k ON p.a = k.word JOIN known l ON p.b = l.word",
+    "near_sums": "SELECT a, sum(w) AS s FROM near_weights GROUP BY a",
+    "ppmi": "SELECT w.a, w.b, ln(w.w * (SELECT sum(s) FROM near_sums) / (x.s * y.s)) "
+    f"- ln({_WORD.negatives}) AS value FROM near_weights w "
+    "JOIN near_sums x ON w.a = x.a JOIN near_sums y ON w.b = y.a",
     # vectors with given labels
     "dims": "SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, "
     "unnest(embedding)::DOUBLE AS v FROM embeddings",
@@ -164,6 +179,11 @@ _NEEDS: dict[str, tuple[str, ...]] = {
     "offsets": ("islands",),
     "reading": ("offsets",),
     "merged": ("reading",),
+    "known": ("placed",),
+    "near": ("placed",),
+    "near_weights": ("known", "near"),
+    "near_sums": ("near_weights",),
+    "ppmi": ("near_sums",),
     "centres": ("dims",),
     "every_dist": ("centres",),
     "own_dist": ("every_dist",),
@@ -328,6 +348,9 @@ ORACLES: dict[str, str] = {
         "SELECT c.id_str, coalesce(string_agg(w, ' ' ORDER BY pos), '') AS phrased "
         "FROM corpus c LEFT JOIN merged m ON c.id_str = m.id_str GROUP BY c.id_str", "merged"
     ),
+    "cooccurrence_ppmi": _sql(
+        "SELECT a, b, round(value, 4) AS value FROM ppmi WHERE round(value, 6) > 0", "ppmi"
+    ),
     "centroid_distance": _sql(
         "SELECT vec_id, cluster, round(dist, 4) AS dist FROM own_dist", "own_dist"
     ),

@@ -403,11 +403,18 @@ def _sentences(spark: SparkSession, sf_dir: str, phrased: bool) -> DataFrame:
 def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest words of the six most frequent words, over phrase-merged text."""
     sentences = _sentences(spark, sf_dir, phrased=True)
-    vectors = embed.word_vectors(embed.fit_word_vectors(sentences))
+    vectors = embed.fit_word_vectors(sentences)
     common = corpus.word_counts(sentences).orderBy(F.col("count").desc(), "word").limit(6)
     return embed.similar_words(vectors, [r["word"] for r in common.collect()])
 
 
+@query
+def cooccurrence_ppmi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive pointwise information of word pairs, the matrix the word vectors come from."""
+    values, _ = embed.pointwise_information(_sentences(spark, sf_dir, phrased=False))
+    return values.select("a", "b", F.round("value", 4).alias("value"))
+
+
 @query
 def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _sentences(spark, sf_dir, phrased=False)

@@ -4,12 +4,10 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from storyrank.config import ClusterConfig, LookupConfig, LsaConfig, TfIdfConfig, TopicConfig, WordVectorConfig
 from storyrank.operators import cluster, embed, features, lsa, topics
 from storyrank.plans import queries, views
-from storyrank.sources.reports import save_model
 
 
 @pytest.fixture(scope="module")
@@ -42,19 +40,18 @@ def dense_tfidf(corpus, terms):
 CFG = LsaConfig(components=8, oversample=10, rounds=6)
 
 
-def space(corpus, terms, blocks, lookup_cfg=LookupConfig()):
+def space(corpus, terms, blocks, lookup_cfg=LookupConfig(), rounds=6):
     """Singular values, rows in order of id and loadings by term, with the basis in so many blocks."""
     width, n = min(18, terms.count()), terms.count()
-    cfg = LsaConfig(components=8, oversample=10, rounds=6, max_block_bytes=-(-n // blocks) * width * 8)
+    cfg = LsaConfig(components=8, oversample=10, rounds=rounds, max_block_bytes=-(-n // blocks) * width * 8)
     found = lsa.fit_lsa(corpus, terms, cfg, lookup_cfg)
     rows = {int(r["id_str"]): r["lsa"] for r in found.rows.collect()}
     basis = {r["term"]: r["loading"] for r in found.basis.collect()}
     return found.singular_values, np.array([rows[i] for i in sorted(rows)]), np.array([basis[t] for t in sorted(basis)])
 
 
-@pytest.mark.parametrize("blocks, bound", [(1, 1_000_000), (3, 1_000_000), (20, 1_000_000), (3, 5)])
-def test_lsa_is_the_same_in_any_number_of_blocks(corpus, terms, blocks, bound):
-    values, rows, basis = space(corpus, terms, blocks, LookupConfig(max_broadcast_rows=bound))
+def test_lsa_matches_an_exact_svd(corpus, terms):
+    values, rows, basis = space(corpus, terms, 1)
     a = dense_tfidf(corpus, terms)
     _, s, vt = np.linalg.svd(a, full_matrices=False)
     assert np.all(np.diff(values) <= 1e-9)
@@ -62,7 +59,12 @@ def test_lsa_is_the_same_in_any_number_of_blocks(corpus, terms, blocks, bound):
     norms = np.linalg.norm(rows, axis=1)
     assert norms[:150] == pytest.approx(1.0) and norms[150] == 0
     assert basis.T @ basis == pytest.approx(np.eye(8), abs=1e-9)
-    one_values, one_rows, one_basis = space(corpus, terms, 1)
+
+
+@pytest.mark.parametrize("blocks, bound", [(3, 1_000_000), (20, 1_000_000), (3, 5)])
+def test_lsa_is_the_same_in_any_number_of_blocks(corpus, terms, blocks, bound):
+    one_values, one_rows, one_basis = space(corpus, terms, 1, rounds=1)
+    values, rows, basis = space(corpus, terms, blocks, LookupConfig(max_broadcast_rows=bound), rounds=1)
     assert values == pytest.approx(one_values, rel=1e-6)
     assert rows @ rows.T == pytest.approx(one_rows @ one_rows.T, abs=1e-6)
     assert np.abs((basis * one_basis).sum(axis=0)) == pytest.approx(1.0, abs=1e-6)
@@ -126,25 +128,39 @@ def test_topics(corpus):
     assert {r["term"] for r in words} <= set(found.vocabulary)
 
 
-def test_word_vectors(corpus, tmp_path):
-    cfg = WordVectorConfig(size=10, min_count=2, max_iter=1, partitions=1)
-    model = embed.fit_word_vectors(corpus, cfg)
-    vectors = embed.word_vectors(model)
-    assert {len(r["vector"]) for r in vectors.collect()} == {10}
+@pytest.mark.parametrize("bound", [1_000_000, 3], ids=["small", "joined"])
+def test_word_vectors(corpus, bound):
+    cfg, found = WordVectorConfig(size=6, min_count=2, sample=1.0, negatives=1), LookupConfig(max_broadcast_rows=bound)
+    vectors = embed.fit_word_vectors(corpus, cfg, found)
+    known = {r["word"]: np.array(r["vector"]) for r in vectors.collect()}
+    assert {len(v) for v in known.values()} == {6} and "zzz" not in known
+    # words of one theme stand together, so they are near
+    like = [known["t0w0"] @ known[f"t0w{i}"] for i in range(1, 12)]
+    unlike = [known["t0w0"] @ known[f"t3w{i}"] for i in range(12)]
+    assert min(like) > max(unlike)
     similar = embed.similar_words(vectors, ["t0w0", "nowhere"], 5).orderBy("rank").collect()
     assert [r["example"] for r in similar] == ["t0w0"] * 5
     assert similar[0]["word"] == "t0w0" and similar[0]["similarity"] == pytest.approx(1.0)
     falling = [r["similarity"] for r in similar]
     assert falling == sorted(falling, reverse=True)
     assert embed.similar_words(vectors, ["nowhere"]).count() == 0
-    averaged = {r["id_str"]: r["vector"] for r in embed.document_vectors(model, corpus).collect()}
-    known = {r["word"]: np.array(r["vector"]) for r in vectors.collect()}
-    one = next(r for r in corpus.collect() if r["id_str"] == "0")
-    mean = sum((known[w] for w in one["words"] if w in known), np.zeros(10)) / len(one["words"])
-    assert averaged["0"] == pytest.approx(mean.tolist(), abs=1e-5)
-    save_model(model, str(tmp_path / "w2v"))
-    loaded = type(model).load(str(tmp_path / "w2v"))
-    assert loaded.getVectors().count() == vectors.count()
+    averaged = {r["id_str"]: r["vector"] for r in embed.document_vectors(vectors, corpus, found).collect()}
+    for r in corpus.collect():
+        mean = sum((known[w] for w in r["words"] if w in known), np.zeros(6)) / len(r["words"])
+        assert averaged[r["id_str"]] == pytest.approx(mean.tolist(), abs=1e-9)
+
+
+def test_window_pairs_equal_counting(spark):
+    draw = random.Random(3)
+    texts = [draw.choices("abcde", k=draw.randint(0, 25)) for _ in range(20)]
+    want = {}
+    for words in texts:
+        for i, a in enumerate(words):
+            for j, b in enumerate(words):
+                if i != j and abs(i - j) <= 3:
+                    want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame([(w,) for w in texts], "words array<string>").repartition(3)
+    assert {(r["a"], r["b"]): r["n"] for r in embed.window_pairs(df, 3).collect()} == want
 
 
 def test_flat_maps(spark, sf_dir):
@@ -157,10 +173,3 @@ def test_flat_maps(spark, sf_dir):
     assert spread == pytest.approx(s[:2], rel=1e-6)
     units = [np.linalg.norm(r["pca"]) for r in queries.pca_embed(spark, sf_dir).collect()]
     assert units == pytest.approx([1.0] * len(units))
-
-
-def test_shuffled_sentences_are_whole_and_repeatable(corpus):
-    once, again = (embed.shuffled(corpus, 3).collect() for _ in range(2))
-    assert once == again
-    assert sorted(r["id_str"] for r in once) == sorted(r["id_str"] for r in corpus.collect())
-    assert embed.shuffled(corpus, 3).filter(F.size("words") == 0).count() == 0
