@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from storyrank.config import (
     CleanConfig,
+    ClusterConfig,
     PhraseConfig,
     RankConfig,
     TfIdfConfig,
@@ -42,7 +43,7 @@ def _content_words(post: str) -> str:
 
 
 _TF, _RANK, _TOPIC, _PHRASE = TfIdfConfig(), RankConfig(), TopicConfig(), PhraseConfig()
-_WORD = WordVectorConfig()
+_WORD, _CLUSTER = WordVectorConfig(), ClusterConfig()
 
 _MARKED = (
     "concat('RT @user', doc_id, ': ', text, ' #tag', doc_id % 7, ' https://t.co/', doc_id)"
@@ -390,4 +391,45 @@ ORACLES: dict[str, str] = {
         "best",
         "events_by_source",
     ).replace(f"({_PARTS['cleaned']})", f"({_LEMMATISED})"),
+    # model steps and invariants
+    "nearest_vectors": (
+        "SELECT example, CAST(rank AS INTEGER) AS rank, word, round(similarity, 4) AS similarity FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY example ORDER BY similarity DESC, word) AS rank FROM ("
+        "SELECT CAST(x.vec_id AS VARCHAR) AS example, CAST(y.vec_id AS VARCHAR) AS word, "
+        "list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS similarity "
+        "FROM embeddings x, embeddings y WHERE x.vec_id < 6)) WHERE rank <= 10"
+    ),
+    "kmeans_step": _sql(
+        "SELECT cluster, CAST(i - 1 AS INTEGER) AS i, round(avg(v), 4) AS v FROM dims JOIN "
+        "(SELECT vec_id, arg_min(cluster, dist) AS cluster FROM every_dist GROUP BY vec_id) USING (vec_id) "
+        "GROUP BY cluster, i",
+        "every_dist",
+    ),
+    "lsa_norms": _sql(
+        "SELECT id_str, CASE WHEN w.id_str IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm "
+        "FROM corpus LEFT JOIN (SELECT DISTINCT id_str FROM weights) w USING (id_str)",
+        "weights",
+    ),
+    "kmeans_total": _sql(
+        "SELECT count(*) AS posts, count(*) AS clustered, count(*) AS ids FROM corpus", "corpus"
+    ),
+    "cluster_term_ranks": (
+        "SELECT CAST(c.range AS INTEGER) AS cluster, CAST(r.range AS INTEGER) AS rank "
+        f"FROM range({_CLUSTER.k}) c, range(1, 11) r"
+    ),
+    "topic_docs": _sql(
+        "SELECT DISTINCT id_str, 1.0::DOUBLE AS total FROM counted SEMI JOIN "
+        "(SELECT term FROM counted GROUP BY term "
+        f"HAVING count(*) >= {_TOPIC.min_df} ORDER BY sum(tf) DESC, term LIMIT {_TOPIC.max_features}) "
+        "USING (term)",
+        "counted",
+    ),
+    "topic_word_ranks": (
+        "SELECT CAST(t.range AS INTEGER) AS topic, CAST(r.range AS INTEGER) AS rank "
+        f"FROM range({_TOPIC.k}) t, range(1, {_TOPIC.words_per_topic + 1}) r"
+    ),
+    "vector_words": _sql(
+        f"SELECT word, {_WORD.size} AS width FROM words GROUP BY word HAVING count(*) >= {_WORD.min_count}",
+        "words",
+    ),
 }

@@ -17,7 +17,7 @@ from storyrank.config import (
     TopicConfig,
     WordVectorConfig,
 )
-from storyrank.functions import text
+from storyrank.functions import text, vectors
 from storyrank.operators import cluster, corpus, embed, features, lsa, phrases, rank, topics
 from storyrank.operators.clean import clean_posts
 from storyrank.operators.lookup import lookup
@@ -443,3 +443,68 @@ def map_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = [(i, list(c)) for i, c in enumerate(model.clusterCenters())]
     measured = cluster.all_distances(members, centres, "vector")
     return lsa.flat_map(measured.select("vec_id", "cluster", "distances"), "distances")
+
+
+# ------------------------------------------- model steps and invariants that SQL can check
+
+
+@query
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of the first six, by the look-up that finds similar words."""
+    rows = views.vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("word"), "vector")
+    near = embed.similar_words(rows, [str(i) for i in range(6)])
+    return near.select("example", "rank", "word", F.round("similarity", 4).alias("similarity"))
+
+
+@query
+def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of k-means from the centres of the labels: new centre of each vector's cluster."""
+    centres = [(r["cluster"], r["centre"]) for r in _label_centres(spark, sf_dir).collect()]
+    measured = cluster.all_distances(views.vectors(spark, sf_dir), centres, "vector")
+    ids = F.array(*[F.lit(c) for c, _ in sorted(centres)])
+    nearest = F.get(ids, vectors.argmax(F.transform("distances", lambda d: -d)))
+    moved = cluster.mean_centres(measured.withColumn("nearest", nearest), "nearest", "vector")
+    long = moved.select("cluster", F.posexplode("centre").alias("i", "v"))
+    return long.select("cluster", "i", F.round("v", 4).alias("v"))
+
+
+@query
+def lsa_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with a vocabulary term have a unit row, others a zero row."""
+    norm = F.round(vectors.l2_norm(F.col("lsa")), 6).alias("norm")
+    return lsa_rows(spark, sf_dir).select("id_str", norm)
+
+
+@query
+def kmeans_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every post of the corpus has one of the clusters and a distance."""
+    known = F.col("cluster").between(0, ClusterConfig().k - 1) & (F.col("dist") >= 0)
+    return kmeans_assign(spark, sf_dir).agg(
+        F.count("*").alias("posts"), F.count_if(known).alias("clustered"),
+        F.count_distinct("id_str").alias("ids"),
+    )
+
+
+@query
+def cluster_term_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_top_terms(spark, sf_dir).select("cluster", "rank")
+
+
+@query
+def topic_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with one of the topic terms have a topic; the shares add up to one."""
+    total = F.aggregate("mix", F.lit(0.0), lambda a, b: a + b)
+    whole = F.round(total, 6).alias("total")
+    return lda_assign(spark, sf_dir).select("id_str", whole)
+
+
+@query
+def topic_word_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lda_topics(spark, sf_dir).select("topic", "rank")
+
+
+@query
+def vector_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words counted often enough have a vector; it has length one unless nothing is known of it."""
+    found = embed.fit_word_vectors(_sentences(spark, sf_dir, phrased=False))
+    return found.select("word", F.size("vector").alias("width"))
