@@ -180,7 +180,8 @@ def _warc_oracle() -> str:
     page = "coalesce(html, '')"
     for pattern in warc_derive.HIDDEN:
         page = strip(page, pattern)
-    text = strip(strip("page", warc_derive.BREAK, "chr(10)"), warc_derive.TAG)
+    text = strip("page", "[ \\t\\r\\n\\f]+", "' '")
+    text = strip(strip(text, warc_derive.BREAK, "chr(10)"), warc_derive.TAG)
     title = f"regexp_extract(page, {quoted(warc_derive.TITLE)}, 1)"
     # the character references that the pages of these tables have
     for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"),

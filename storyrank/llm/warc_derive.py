@@ -52,8 +52,10 @@ def visible(page: Column) -> Column:
 
 
 def plain_text(page: Column) -> Column:
-    """Text of a page whose hidden parts are gone: one line per block, single blanks."""
-    text = F.regexp_replace(F.regexp_replace(page, BREAK, "\n"), TAG, "")
+    """Text of a page whose hidden parts are gone: one line per block, single blanks. Line ends of
+    the source are blanks."""
+    text = F.regexp_replace(page, "[ \t\r\n\f]+", " ")
+    text = F.regexp_replace(F.regexp_replace(text, BREAK, "\n"), TAG, "")
     text = F.regexp_replace(unescaped(text), "[ \t\r\f ]+", " ")
     return F.trim(F.regexp_replace(text, " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
