@@ -124,9 +124,9 @@ def mixed_rows(
     """All rows of `df`, columns as they were, in mixed order: partition after partition."""
     rows = stored(_keyed(df, source_col, order, text_col), "mix-rows")
     placed = _placed(rows.drop("row"), weights, cfg).select("uid", "position")
-    return rows.select("uid", "row").join(placed, "uid").repartitionByRange("position").sortWithinPartitions(
-        "position"
-    ).select("row.*")
+    # both sides grow with the input, so the plan is the same at every size
+    joined = rows.select("uid", "row").hint("merge").join(placed, "uid")
+    return joined.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
 def _keyed(df: DataFrame, source_col: str, order: tuple[str, ...], text_col: str) -> DataFrame:
