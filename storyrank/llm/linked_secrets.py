@@ -38,10 +38,13 @@ IDENT = re.compile(
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""",
     re.IGNORECASE | re.ASCII,
 )
-KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,88}={0,2}(?![A-Za-z0-9+/=_-])")
+NAME = re.compile(r"[A-Za-z0-9_.-]*\Z")  # what stands before IDENT in the same name
+# '=' and ':' may stand before a key: NAME=key, NAME: key
+KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])")
 ADDRESS = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~%@:\[\]-]{3,253}", re.ASCII)
 SERVER = re.compile(
-    r"""\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,253}""", re.ASCII
+    r"""(?<![A-Za-z0-9])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,253}""",
+    re.IGNORECASE | re.ASCII,
 )
 SECTION = re.compile(r"\n\s*\n")
 
@@ -86,11 +89,12 @@ def _place(span: tuple[str, int, int]) -> tuple[int, int]:
 
 def weak_spans(text: str, strong: list[tuple[str, int, int]], cfg: LinkConfig) -> list[tuple[str, int, int]]:
     """Weak candidates that do not lie within a strong span."""
+    lower = text.lower()
     found = [("key", *m.span()) for m in KEY.finditer(text) if _dense(m[0], cfg.entropy)]
-    if _has(text.lower(), ("user", "login", "account", "client", "accesskey", "access_key", "tenant")):
-        found += [("ident", *m.span()) for m in IDENT.finditer(text)]
+    if _has(lower, ("user", "login", "account", "client", "accesskey", "access_key", "tenant")):
+        found += [("ident", *m.span()) for m in IDENT.finditer(text) if not _names_secret(text, m.start())]
     addresses = [m.span() for m in ADDRESS.finditer(text)] if "://" in text else []
-    if _has(text, ("host", "endpoint", "server")):
+    if _has(lower, ("host", "endpoint", "server")):
         servers = (m.span() for m in SERVER.finditer(text))
         addresses += [s for s in servers if not any(a <= s[0] < b for a, b in addresses)]
     found += [("endpoint", *s) for s in addresses]
@@ -98,6 +102,11 @@ def weak_spans(text: str, strong: list[tuple[str, int, int]], cfg: LinkConfig) -
     return [s for s in found if not any(a <= s[1] and s[2] <= b for a, b in taken)]
 
 
+def _names_secret(text: str, at: int) -> bool:
+    """Whether the name that goes on at `at` says secret, as SECRET_ACCESS_KEY does."""
+    return "secret" in NAME.search(text[max(at - 64, 0) : at])[0].lower()
+
+
 def _dense(value: str, least: float) -> bool:
     """Digits, both cases and enough entropy: words and paths have not."""
     if not (re.search("[0-9]", value) and re.search("[a-z]", value) and re.search("[A-Z]", value)):
