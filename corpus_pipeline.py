@@ -7,6 +7,7 @@ returns and reads it again for the next one, so that a lost executor repeats one
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +39,28 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their places in sequences."""
+    """Token pieces of all documents with their places in sequences, which keep the mixed order."""
     tokenizer = TokenizerSpec.read(public_tokenizers.path("byte_bpe_50k.json"))
-    return config_packing.pack_documents(docs, tokenizer, end_id=2)
+    return config_packing.pack_in_order(in_row_order(docs), tokenizer, 2, ["file", "part_of_file", "line"])
+
+
+def in_row_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text and what orders the rows: number of the written file, then the row in it.
+
+    Readers deal files and their splits by size, so the tasks of a scan are not in this order. Rows
+    that do not come from files stand in the order of their partitions.
+    """
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.regexp_extract(name, pattern, 1).try_cast("long")
+    try:
+        return docs.select(
+            "doc_id", "text", number(r"part-(\d+)").alias("file"),
+            number(r"-c(\d+)\.").alias("part_of_file"), F.col("_metadata.row_index").alias("line"),
+        )
+    except AnalysisException:
+        none = F.lit(0).cast("long")
+        line = F.monotonically_increasing_id()
+        return docs.select("doc_id", "text", none.alias("file"), none.alias("part_of_file"), line.alias("line"))
 
 
 STAGES = [

@@ -5,14 +5,15 @@ large the input is. Over it the linear program "fewest sequences so that each le
 has a column for every way to fill a sequence. Multiplicative weights solve it: lengths that are
 covered least are worth most, and a knapsack dynamic program finds the filling of highest worth.
 The fractional counts are rounded down and what is left is placed best fit, by groups of equal
-lengths. The result is a short table of runs, by which each piece finds its own place.
+lengths. The result is a short table of runs, by which each piece finds its own place. Rows in a
+given order are packed window by window, so that their sequences keep it.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,16 +25,19 @@ from pyspark.sql import functions as F
 
 from storyrank.llm.common import small_batches
 from storyrank.llm.tokens import TokenizerSpec, encoder
+from storyrank.operators.prefix import running_totals
 from storyrank.sources.scratch import stored
 
 
 @dataclass(frozen=True)
 class PackConfig:
-    """`step`: share of a length that one round covers at most; `rate`: exponent of the weights."""
+    """`step`: share of a length that one round covers at most; `rate`: exponent of the weights;
+    `window`: pieces that are packed together when sequences keep an order."""
 
     capacity: int = 1024
     step: float = 0.25
     rate: float = 1.0
+    window: int = 8_192
 
 
 # --------------------------------------------------------------------------- the plan
@@ -164,19 +168,23 @@ def token_pieces(
     capacity: int,
     text_col: str = "text",
     id_col: str = "doc_id",
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Stored pieces of all texts: doc_id, piece, start, length, ids_crc32, part, nth.
 
-    `part` is the task that made a piece and `nth` its number among those of its length there.
+    `part` is the task that made a piece and `nth` its number among those of its length there. The
+    columns of `order` follow as _order0, _order1 and so on.
     """
     small_batches(df.sparkSession)
     shipped = tokenizer.ship(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    places = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order)]
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *places)
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long"
     )
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", *rows.columns[2:]]
+    schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[2:])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shipped).encode
@@ -198,12 +206,14 @@ def token_pieces(
                     nths.append(int(seen[stop - start]))
                     seen[stop - start] += 1
                     piece, start, stop = piece + 1, stop, stop + capacity
-            docs = batch.column(0).take(pa.array(origin, pa.int64()))
+            origins = pa.array(origin, pa.int64())
+            docs = batch.column(0).take(origins)
             others = [
                 pa.array(pieces, pa.int32()),
                 *[pa.array(v, pa.int64()) for v in (starts, lengths, crcs)],
                 pa.array([part] * len(origin), pa.int32()),
                 pa.array(nths, pa.int64()),
+                *[c.take(origins) for c in batch.columns[2:]],
             ]
             yield pa.RecordBatch.from_arrays([docs, *others], names)
 
@@ -227,12 +237,7 @@ def place_pieces(pieces: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame
 
     @F.arrow_udf("struct<sequence_id: long, offset: long>")
     def placed(length: pa.Array, rank: pa.Array) -> pa.Array:
-        n, r = length.to_numpy(), rank.to_numpy()
-        table = shipped.value
-        key = table[:, 0] * SPAN + table[:, 1]
-        run = table[np.searchsorted(key, n * SPAN + r, side="right") - 1]
-        nth = r - run[:, 1]
-        sequence, offset = run[:, 4] + nth // run[:, 3], run[:, 5] + nth % run[:, 3] * n
+        sequence, offset = _in_runs(shipped.value, length.to_numpy(), rank.to_numpy())
         return pa.StructArray.from_arrays(
             [pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"]
         )
@@ -246,6 +251,14 @@ def place_pieces(pieces: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame
 SPAN = 1 << 50  # above any number of pieces
 
 
+def _in_runs(table: np.ndarray, n: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of pieces of length `n` and rank `r` by the sorted runs of a plan."""
+    key = table[:, 0] * SPAN + table[:, 1]
+    run = table[np.searchsorted(key, n * SPAN + r, side="right") - 1]
+    nth = r - run[:, 1]
+    return run[:, 4] + nth // run[:, 3], run[:, 5] + nth % run[:, 3] * n
+
+
 def pack_documents(
     df: DataFrame,
     tokenizer: TokenizerSpec,
@@ -263,3 +276,55 @@ def pack_documents(
     without gaps, those filled by one piece come last.
     """
     return place_pieces(token_pieces(df, tokenizer, end_id, cfg.capacity, text_col, id_col), cfg)
+
+
+def pack_in_order(
+    df: DataFrame,
+    tokenizer: TokenizerSpec,
+    end_id: int,
+    order: Sequence[str],
+    cfg: PackConfig = PackConfig(),
+    text_col: str = "text",
+    id_col: str = "doc_id",
+) -> DataFrame:
+    """As `pack_documents`, with sequences in the order of their documents.
+
+    Each `window` consecutive pieces are packed by a plan of their own, so a sequence holds pieces of
+    one window only; sequences are numbered by windows, then by their first piece in `order`. The
+    columns of `order` should tell rows apart: rows that tie take some order.
+    """
+    pieces = token_pieces(df, tokenizer, end_id, cfg.capacity, text_col, id_col, order).drop("part", "nth")
+    places = [c for c in pieces.columns if c.startswith("_order")]
+    numbered = running_totals(pieces.withColumn("rank", F.lit(1).cast("long")), [*places, "piece"], ["rank"])
+    ranked = numbered.drop("rank", *places).withColumn(
+        "window", F.floor(F.col("rank_before") / cfg.window).cast("long")
+    )
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32", "window"]
+
+    def placed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank_before")
+        n = table["length"].to_numpy()
+        plan = make_plan(np.bincount(n, minlength=cfg.capacity + 1), cfg)
+        runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 6)
+        by_length = np.argsort(n, kind="stable")
+        nth = np.empty(len(n), np.int64)  # rank among the pieces of its length
+        nth[by_length] = np.arange(len(n)) - np.searchsorted(n[by_length], n[by_length])
+        sequence, offset = _in_runs(runs, n, nth)
+        _, firsts, own = np.unique(sequence, return_index=True, return_inverse=True)
+        number = np.argsort(np.argsort(firsts))[own]
+        out = table.select(kept)
+        return out.append_column("nth", pa.array(number)).append_column("offset", pa.array(offset))
+
+    windows = -(-pieces.count() // cfg.window)
+    dealt = ranked.repartition(min(max(windows, 1), 4_096), "window").groupBy("window")
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    schema = (
+        f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, window long, nth long, offset long"
+    )
+    packed = stored(dealt.applyInArrow(placed, schema), "packed")
+    totals = packed.groupBy("window").agg((F.max("nth") + 1).alias("n"))  # a row per window
+    before = W.orderBy("window").rowsBetween(W.unboundedPreceding, -1)
+    bases = totals.select("window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return packed.join(bases, "window").select(
+        *kept[:-1], (F.col("base") + F.col("nth")).alias("sequence_id"), "offset"
+    )

@@ -3,11 +3,13 @@ from __future__ import annotations
 from collections import defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from storyrank.llm import toxic_segments
 from storyrank.llm.pfair_mix import MixConfig
+from storyrank.sources.scratch import scratch_path
 from tests.llm.helpers import DOCUMENTS, ROWS, ascii_lower, crc, frame, groups, simhash
 from tests.llm.test_order import plain_mix
 from tests.llm.test_tokens import check_packing
@@ -68,3 +70,31 @@ def test_no_rows_pass_all_stages(spark, sf_dir):
     for _, fn in corpus_pipeline.STAGES:
         stage = fn(spark, stage, sf_dir)
         assert stage.count() == 0
+
+
+def test_sequences_keep_the_order_of_the_mix(spark, sf_dir):
+    # three rows of a to one of b up to a point, then b alone; later files are the larger ones
+    ids = list(range(30_000))
+    source = {i: "a" if i < 20_000 and i % 4 else "b" for i in ids}
+    text = {i: "word " * ((7 if source[i] == "a" else 90) + i % 5) for i in ids}
+    df = spark.createDataFrame([(i, text[i], "en", source[i], len(text[i])) for i in ids], DOCUMENTS)
+    mixed = df.withColumn("part", F.floor(F.sqrt(F.col("doc_id") / 1_000)).cast("int"))
+    path = scratch_path(spark, "mixed")
+    mixed.repartitionByRange(6, "part").sortWithinPartitions("doc_id").drop("part").write.parquet(path)
+    docs = spark.read.parquet(path)
+    rows = corpus_pipeline.in_row_order(docs).orderBy("file", "part_of_file", "line").collect()
+    assert [r["doc_id"] for r in rows] == ids
+
+    found = corpus_pipeline.packed(spark, docs, sf_dir).collect()
+    assert len(found) == len(ids)
+    check_packing(found, 1024)
+    order = sorted(found, key=lambda r: (r["sequence_id"], r["offset"]))
+    assert {r["sequence_id"] for r in found} == set(range(order[-1]["sequence_id"] + 1))
+    # a piece stays within its window of 8,192, so shares of sources follow the mix
+    assert all(at // 8_192 == r["doc_id"] // 8_192 for at, r in enumerate(order))
+    for end in range(8_192, 16_385, 8_192):
+        assert sum(source[r["doc_id"]] == "a" for r in order[:end]) == end * 3 // 4
+    firsts = {}
+    for r in order:
+        firsts[r["sequence_id"]] = min(firsts.get(r["sequence_id"], r["doc_id"]), r["doc_id"])
+    assert list(firsts.values()) == sorted(firsts.values())
