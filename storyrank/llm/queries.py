@@ -15,7 +15,10 @@ from storyrank.llm import (
     linked_secrets,
     pfair_mix,
     pstable_neighbours,
+    segment_resampling,
     simhash_gray,
+    spectral_whitening,
+    string_kernels,
     token_files,
     toxic_segments,
     warc_derive,
@@ -222,3 +225,27 @@ FROM made
 
 
 ORACLES["op1_warc_derive"] = _warc_oracle()
+
+
+@query
+def op11_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = string_kernels.identify_languages(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op12_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    drawn = segment_resampling.resample(docs, target)
+    return drawn.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_spectral_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each vector and component."""
+    rows = spectral_whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return rows.select("row.vec_id", "n", "deviation", "identity_error", parts).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation",
+        F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error",
+    )
