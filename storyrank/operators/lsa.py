@@ -2,15 +2,16 @@
 
 With A the document-term matrix, `Q <- orth(A'A Q)` is repeated from a random start, then the
 small matrix `(AQ)'(AQ)` gives singular values and the rotation of Q to the right singular
-vectors (Halko, Martinsson and Tropp, 2011). A itself is only ever streamed, the dense basis is
-handled in blocks of terms, and what meets on the driver is one block and width x width numbers.
+vectors (Halko, Martinsson and Tropp, 2011). A itself is only ever streamed, and the dense basis
+lies in a table of pieces. Tasks orthonormalise it by its Gram matrix, the last time twice (Yamamoto
+et al., 2015: CholeskyQR2), so width x width numbers meet on the driver, and the basis itself only
+where it is proven to fit one block, to be broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,13 @@ from storyrank.sources.scratch import stored
 
 CHUNK_NONZEROS = 2_048
 BLOCK_TERMS = 64
+PIECES = "piece int, payload binary"
+# pieces in one Arrow batch
+SENT_PIECES = 64
+# cells for each term that make another partial product worth its size
+PARTIAL_CELLS = 16
+# cells of a lane
+LANE_CELLS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -46,7 +54,11 @@ def fit_lsa(
 ) -> Lsa:
     """Factor the TF-IDF matrix of `words` (id_str, words, ...) over a stored `terms` table."""
     numbered = stored(
-        running_totals(terms.select("term", "idf", F.lit(1).cast("long").alias("one")), ["idf", "term"], ["one"])
+        # in order of a hash, so that frequent terms are dealt evenly to the blocks
+        running_totals(
+            terms.select("term", "idf", F.xxhash64("term").alias("dealt"), F.lit(1).cast("long").alias("one")),
+            ["dealt", "term"], ["one"],
+        )
         .select("term", "idf", F.col("one_before").alias("number")),
         "numbered-terms",
     )
@@ -81,10 +93,11 @@ def _weighed(words: DataFrame, numbered: DataFrame, n_terms: int, cfg: LookupCon
 def factor(docs: DataFrame, numbered: DataFrame, n_terms: int, cfg: LsaConfig = LsaConfig()) -> Lsa:
     """Factor a stored sparse matrix (_doc, idx, val, ...) whose columns are `numbered` terms.
 
-    The terms are cut into blocks of at most `max_block_bytes` of dense basis. One block of the
-    basis is in hand at a time, on the driver and as a broadcast; with a single block a product
-    needs no exchange of document vectors, with more each document sends one vector to each block
-    it touches. The start, the order of terms and the precision are the same in all cases.
+    The basis is a stored table of pieces; it is made, multiplied and orthonormalised in tasks. When
+    it is proven to fit `max_block_bytes` it is broadcast and a product needs no exchange of
+    documents. Otherwise the matrix is cut into lanes, one for each block of terms and slice of the
+    documents: every cell lies in one lane, each lane gets its block once, and a round is one job.
+    The start, the order of terms and the precision are the same in all cases.
     """
     basis = _start(numbered, n_terms, cfg)
     if basis.blocks == 1:
@@ -114,21 +127,30 @@ def factor_cells(
 def _start(numbered: DataFrame, n_terms: int, cfg: LsaConfig) -> _Basis:
     width = min(cfg.components + cfg.oversample, n_terms)
     size = max(cfg.max_block_bytes // (8 * width), 1)
+    if size < n_terms:
+        # whole pieces, except for blocks smaller than one
+        size = size // BLOCK_TERMS * BLOCK_TERMS or size
     return _Basis.start(numbered, n_terms, width, size, cfg.seed)
 
 
 def _factor_whole(docs: DataFrame, basis: _Basis, cfg: LsaConfig) -> Lsa:
-    for _ in range(cfg.rounds):
-        basis = basis.following(_products(docs, basis))
-    rotation, singular = _rotation(_sketch_gram(docs, basis), cfg.components)
-    return Lsa(_project(docs, basis, rotation), basis.loadings(rotation), singular)
+    """The basis fits in one block, which is shipped to every task."""
+    cells = docs.agg(F.sum(F.size("idx"))).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    # a partial product is as large as the basis: no more of them than their cells pay for
+    tasks = min(max(cells // (PARTIAL_CELLS * basis.n_terms), 1), cores)
+    for done in range(cfg.rounds):
+        basis = basis.following(_whole_products(docs, basis, tasks), last=done == cfg.rounds - 1)
+    shipped = docs.sparkSession.sparkContext.broadcast(basis.whole())
+    rotation, singular = _rotation(_sketch_gram(docs, shipped, basis.width), cfg.components)
+    return Lsa(_project(docs, shipped, rotation), basis.loadings(rotation), singular)
 
 
 def _factor_split(docs: DataFrame, cells: DataFrame, basis: _Basis, cfg: LsaConfig) -> Lsa:
-    split = stored(_by_block(cells, basis.size), "lsa-blocks")
-    for _ in range(cfg.rounds):
-        basis = basis.following(_products(split, basis))
-    sketch = stored(_sketch(split, basis), "lsa-sketch")
+    tiles, slices = _tiles(cells, basis)
+    for done in range(cfg.rounds):
+        basis = basis.following(_lane_products(tiles, slices, basis), last=done == cfg.rounds - 1)
+    sketch = stored(_sketch(tiles, slices, basis), "lsa-sketch")
     rotation, singular = _rotation(_gram(sketch), cfg.components)
     unit = sketch.select("_doc", _times(rotation)("y").alias("lsa"))
     blank = F.array_repeat(F.lit(0.0), rotation.shape[1])
@@ -137,60 +159,119 @@ def _factor_split(docs: DataFrame, cells: DataFrame, basis: _Basis, cfg: LsaConf
     return Lsa(stored(rows, "lsa-rows"), basis.loadings(rotation), singular)
 
 
-# ------------------------------------------------------------------------- term blocks
+# ------------------------------------------------------------------------------ basis
 
 
 class _Basis:
-    """Orthonormal columns over all terms, of which one block of rows is loaded at a time."""
+    """Orthonormal columns over all terms: stored pieces (piece, payload), times `whiten`.
 
-    def __init__(self, numbered: DataFrame, n_terms: int, width: int, size: int, load) -> None:
-        self.numbered, self.n_terms, self.width, self.size = numbered, n_terms, width, size
+    A piece holds the rows of `unit` consecutive terms; a block of `size` terms is what a task holds
+    at a time. Only width x width numbers come to the driver.
+    """
+
+    def __init__(self, pieces, numbered, n_terms: int, width: int, size: int, last: bool = False) -> None:
+        self.pieces, self.numbered = pieces, numbered
+        self.n_terms, self.width, self.size = n_terms, width, size
         self.blocks = -(-n_terms // size)
-        if self.blocks == 1:
-            only = load(0)
-            self.load = lambda _: only
-        else:
-            self.load = load
-        self.whiten = _whitener(sum(x.T @ x for x in map(self.load, range(self.blocks))))
+        self.unit = min(BLOCK_TERMS, size)
+        self.whiten = _whitener(self._gram(np.eye(width)))
+        if last:
+            # once more: the first pass leaves what rounding of the squares has cost
+            self.whiten = self.whiten @ _whitener(self._gram(self.whiten))
 
     @staticmethod
     def start(numbered: DataFrame, n_terms: int, width: int, size: int, seed: int) -> _Basis:
         """Random signs that depend on the term only."""
+        unit = min(BLOCK_TERMS, size)
         hashes = [F.xxhash64("term", F.lit(seed + k)).alias(f"h{k}") for k in range(-(-width // 64))]
+        piece = F.floor(F.col("number") / unit).cast("int").alias("piece")
+
+        def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                words = np.stack([c.to_numpy() for c in batch.columns[2:]], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)[:, :width]
+                at = batch.column(1).to_numpy() % unit
+                for number, row, sign in zip(batch.column(0).to_pylist(), at, 2.0 * bits - 1.0):
+                    if number not in sums:
+                        sums[number] = np.zeros((unit, width))
+                    sums[number][row] = sign
+            if sums:
+                yield _payloads(np.array(list(sums)), np.stack([x.ravel() for x in sums.values()]))
+
+        rows = numbered.select(piece, "number", *hashes).repartition("piece")
+        pieces = stored(rows.mapInArrow(signs, PIECES), "lsa-pieces")
+        return _Basis(pieces, numbered, n_terms, width, size)
+
+    def following(self, pieces: DataFrame, last: bool = False) -> _Basis:
+        return _Basis(pieces, self.numbered, self.n_terms, self.width, self.size, last)
+
+    def _gram(self, factor: np.ndarray) -> np.ndarray:
+        width = self.width
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gram = np.zeros((width, width))
+            for batch in batches:
+                for payload in batch.column(0):
+                    x = np.frombuffer(payload.as_buffer()).reshape(-1, width) @ factor
+                    gram += x.T @ x
+            yield _numbered_rows(gram)
 
-        def load(block: int) -> np.ndarray:
-            own = F.col("number").between(block * size, (block + 1) * size - 1)
-            rows = numbered.filter(own).orderBy("number").select(*hashes).toArrow()
-            words = np.stack([c.to_numpy() for c in rows.columns], axis=1)
-            bits = np.unpackbits(words.view(np.uint8), axis=1)[:, :width]
-            return 2.0 * bits - 1.0
+        return _sum_rows(self.pieces.select("payload").mapInArrow(partial, "i int, v array<double>"))
 
-        return _Basis(numbered, n_terms, width, size, load)
+    def whole(self) -> np.ndarray:
+        """The basis in one array; only for one that fits a block."""
+        table = self.pieces.toArrow()
+        out = np.zeros((-(-self.n_terms // self.unit), self.unit * self.width))
+        for number, payload in zip(table["piece"].to_pylist(), table["payload"]):
+            out[number] = np.frombuffer(payload.as_buffer())
+        return out.reshape(-1, self.width)[: self.n_terms] @ self.whiten
 
-    def following(self, products: list[DataFrame]) -> _Basis:
-        """The basis of stored products, one table of payloads per block."""
+    def loadings(self, rotation: np.ndarray) -> DataFrame:
+        """(term, loading), unpacked in tasks."""
+        turn, unit, width = self.whiten @ rotation, self.unit, self.width
 
-        def load(block: int) -> np.ndarray:
-            terms = min(self.size, self.n_terms - block * self.size)
-            out = np.zeros((-(-terms // BLOCK_TERMS), BLOCK_TERMS * self.width))
-            for row in products[block].toLocalIterator():
-                out[row["block"]] = np.frombuffer(row["payload"])
-            return out.reshape(-1, self.width)[:terms]
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    rows = np.frombuffer(payload.as_buffer()).reshape(-1, width) @ turn
+                    numbers = pa.array(number * unit + np.arange(unit, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([numbers, _rows_to_list(rows)], ["number", "loading"])
 
-        return _Basis(self.numbered, self.n_terms, self.width, self.size, load)
+        rows = self.pieces.select("piece", "payload").mapInArrow(unpack, "number long, loading array<double>")
+        return self.numbered.select("number", "term").join(rows, "number").select("term", "loading")
 
-    def block(self, number: int) -> np.ndarray:
-        return self.load(number) @ self.whiten
 
-    def loadings(self, rotation: np.ndarray) -> DataFrame:
-        """(term, loading)."""
-        spark, parts = self.numbered.sparkSession, []
-        for block in range(self.blocks):
-            own = F.col("number").between(block * self.size, (block + 1) * self.size - 1)
-            names = self.numbered.filter(own).orderBy("number").select("term").toArrow()["term"]
-            rows = pa.table({"term": names, "loading": _rows_to_list(self.block(block) @ rotation)})
-            parts.append(stored(spark.createDataFrame(rows), "lsa-basis"))
-        return reduce(DataFrame.unionByName, parts)
+# --------------------------------------------------------------------------- products
+
+
+def _whole_products(docs: DataFrame, basis: _Basis, tasks: int) -> DataFrame:
+    """Stored pieces of A'A Q, with Q in every task: one pass over the matrix."""
+    context, width = docs.sparkSession.sparkContext, basis.width
+    pieces, unit = -(-basis.n_terms // basis.unit), basis.unit
+    shipped = context.broadcast(basis.whole())
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shipped.value
+        total = np.zeros((pieces * unit, width))
+        for batch in batches:
+            for _, dense, touched in _chunks(batch.column(0), batch.column(1)):
+                total[touched] += dense.T @ (dense @ q[touched])
+        yield from _used_pieces(total, unit, 0)
+
+    parts = docs.select("idx", "val").coalesce(tasks).mapInArrow(partial, PIECES)
+    out = stored(_summed_pieces(parts) if tasks > 1 else parts, "lsa-pieces")
+    shipped.unpersist()
+    return out
+
+
+def _tiles(cells: DataFrame, basis: _Basis) -> tuple[DataFrame, int]:
+    """Stored (lane, _doc, idx, val) with positions inside the block, and slices per block."""
+    split = _by_block(cells, basis.size)
+    cores = cells.sparkSession.sparkContext.defaultParallelism
+    slices = max(cells.count() // (basis.blocks * LANE_CELLS), cores // basis.blocks, 1)
+    lane = F.col("block") * slices + F.pmod(F.xxhash64("_doc"), F.lit(slices)).cast("int")
+    return stored(split.select(lane.cast("int").alias("lane"), "_doc", "idx", "val"), "lsa-tiles"), slices
 
 
 def _by_block(cells: DataFrame, size: int) -> DataFrame:
@@ -206,86 +287,112 @@ def _by_block(cells: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _products(split: DataFrame, basis: _Basis) -> list[DataFrame]:
-    """A'A Q as stored payloads of `BLOCK_TERMS` terms, a table for each block."""
-    if basis.blocks == 1:
-        rows = split.select("idx", "val")
-        return [_term_sums(rows, basis, 0, basis.block(0))]
-    sketch = stored(_sketch(split, basis), "lsa-sketch")
-    out = []
-    for block in range(basis.blocks):
-        own = split.filter(F.col("block") == block).select("_doc", "idx", "val")
-        out.append(_term_sums(own.join(sketch, "_doc").select("idx", "val", "y"), basis, block, None))
-    return out
+def _sketch(tiles: DataFrame, slices: int, basis: _Basis) -> DataFrame:
+    """(_doc, y): rows of A Q. Each lane receives its block of the basis, then its rows."""
+    size, unit, width, whiten = basis.size, basis.unit, basis.width, basis.whiten
+    per_block = -(-size // unit)
+    block = F.floor(F.col("piece") / per_block).cast("int")
+    own = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    pieces = basis.pieces.select(block.alias("block"), "piece", "payload", own.alias("slice")).select(
+        (F.col("block") * slices + F.col("slice")).alias("lane"), F.lit(0).alias("kind"),
+        F.col("piece").cast("long").alias("id"), "payload",
+        F.lit(None).cast("array<int>").alias("idx"), F.lit(None).cast("array<double>").alias("val"),
+    )
+    rows = tiles.select(
+        "lane", F.lit(1).alias("kind"), F.col("_doc").alias("id"),
+        F.lit(None).cast("binary").alias("payload"), "idx", "val",
+    )
 
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, q, ready = None, None, False
+        for batch in batches:
+            for part in _same(batch, 2):
+                if part.column(0)[0].as_py() != lane:
+                    lane, q, ready = part.column(0)[0].as_py(), np.zeros((per_block * unit, width)), False
+                if part.column(1)[0].as_py() == 0:
+                    for piece, payload in zip(part.column(2).to_pylist(), part.column(3)):
+                        at = piece % per_block * unit
+                        q[at : at + unit] = np.frombuffer(payload.as_buffer()).reshape(-1, width)
+                    continue
+                if not ready:
+                    q, ready = q @ whiten, True
+                out = np.zeros((part.num_rows, width))
+                for at, dense, touched in _chunks(part.column(4), part.column(5)):
+                    out[at] = dense @ q[touched]
+                yield pa.RecordBatch.from_arrays([part.column(2), _rows_to_list(out)], ["_doc", "y"])
+
+    lanes = basis.blocks * slices
+    met = pieces.unionByName(rows).repartitionById(lanes, F.col("lane")).sortWithinPartitions("lane", "kind")
+    parts = met.mapInArrow(products, "_doc long, y array<double>")
+    total = Summarizer.sum(array_to_vector("y"))
+    return parts.groupBy("_doc").agg(vector_to_array(total).alias("y"))
 
-def _term_sums(rows: DataFrame, basis: _Basis, block: int, q: np.ndarray | None) -> DataFrame:
-    """Sum of a' y over rows (idx, val[, y]); y is a Q when it is not given.
 
-    There are as many partial results as cores, however many splits the input has.
-    """
-    context, width = rows.sparkSession.sparkContext, basis.width
-    terms = min(basis.size, basis.n_terms - block * basis.size)
-    pieces = -(-terms // BLOCK_TERMS)
-    shipped = None if q is None else context.broadcast(q)
+def _lane_products(tiles: DataFrame, slices: int, basis: _Basis) -> DataFrame:
+    """Stored pieces of A'A Q by lanes, in one job."""
+    size, unit, width = basis.size, basis.unit, basis.width
+    per_block = -(-size // unit)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((pieces * BLOCK_TERMS, width))
+        lane, total = None, None
         for batch in batches:
-            given = _list_to_rows(batch.column(2)) if shipped is None and batch.num_rows else None
-            for at, dense, touched in _chunks(batch.column(0), batch.column(1)):
-                y = dense @ shipped.value[touched] if given is None else given[at]
-                total[touched] += dense.T @ y
-        whole = total.reshape(pieces, -1)
-        in_use = np.flatnonzero(whole.any(axis=1))
-        yield _payloads(in_use, whole[in_use])
+            for part in _same(batch, 1):
+                if part.column(0)[0].as_py() != lane:
+                    if lane is not None:
+                        yield from _used_pieces(total, unit, lane // slices * per_block)
+                    lane, total = part.column(0)[0].as_py(), np.zeros((per_block * unit, width))
+                y = _list_to_rows(part.column(3))
+                for at, dense, touched in _chunks(part.column(1), part.column(2)):
+                    total[touched] += dense.T @ y[at]
+        if lane is not None:
+            yield from _used_pieces(total, unit, lane // slices * per_block)
+
+    joined = tiles.join(_sketch(tiles, slices, basis), "_doc").select("lane", "idx", "val", "y")
+    met = joined.repartitionById(basis.blocks * slices, F.col("lane")).sortWithinPartitions("lane")
+    parts = met.mapInArrow(partial, PIECES)
+    return stored(_summed_pieces(parts) if slices > 1 else parts, "lsa-pieces")
+
+
+def _same(batch: pa.RecordBatch, columns: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where one of its first whole-number columns changes."""
+    if batch.num_rows:
+        keys = np.stack([batch.column(c).to_numpy() for c in range(columns)])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for begin, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            yield batch.slice(begin, end - begin)
+
+
+def _used_pieces(total: np.ndarray, unit: int, first: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of a dense part that are not all zero, numbered from `first`."""
+    whole = total.reshape(len(total) // unit, -1)
+    in_use = np.flatnonzero(whole.any(axis=1))
+    for begin in range(0, len(in_use), SENT_PIECES):
+        own = in_use[begin : begin + SENT_PIECES]
+        yield _payloads(own + first, whole[own])
+
+
+def _summed_pieces(parts: DataFrame) -> DataFrame:
+    """One piece for each number, the sum of its parts."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        number, total = None, None
         for batch in batches:
             for piece, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 part = np.frombuffer(payload.as_buffer())
-                sums[piece] = sums[piece] + part if piece in sums else part
-        if sums:
-            yield _payloads(np.array(list(sums)), np.stack(list(sums.values())))
-
-    parts = rows.coalesce(context.defaultParallelism).mapInArrow(partial, "block int, payload binary")
-    done = parts.repartition("block").mapInArrow(summed, "block int, payload binary")
-    out = stored(done, "lsa-products")
-    if shipped is not None:
-        shipped.unpersist()
-    return out
+                if piece != number:
+                    if number is not None:
+                        yield _payloads(np.array([number]), total[None])
+                    number, total = piece, part.copy()
+                else:
+                    total += part
+        if number is not None:
+            yield _payloads(np.array([number]), total[None])
 
+    return parts.repartition("piece").sortWithinPartitions("piece").mapInArrow(summed, PIECES)
 
-def _sketch(split: DataFrame, basis: _Basis) -> DataFrame:
-    """(_doc, y): rows of A Q, the sum of what each touched block gives."""
-    context, parts = split.sparkSession.sparkContext, []
-    for block in range(basis.blocks):
-        shipped = context.broadcast(basis.block(block))
-        own = split.filter(F.col("block") == block).select("_doc", "idx", "val")
-        part = own.mapInArrow(_row_products(shipped), "_doc long, y array<double>")
-        parts.append(stored(part, "lsa-partial"))
-        shipped.unpersist()
-    total = Summarizer.sum(array_to_vector("y"))
-    every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy("_doc").agg(vector_to_array(total).alias("y"))
-
-
-def _row_products(shipped):
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros((batch.num_rows, shipped.value.shape[1]))
-            for at, dense, touched in _chunks(batch.column(1), batch.column(2)):
-                out[at] = dense @ shipped.value[touched]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _rows_to_list(out)], ["_doc", "y"])
-
-    return products
 
-
-def _sketch_gram(docs: DataFrame, basis: _Basis) -> np.ndarray:
+def _sketch_gram(docs: DataFrame, shipped, width: int) -> np.ndarray:
     """(AQ)'(AQ) with the basis in one block."""
-    context, width = docs.sparkSession.sparkContext, basis.width
-    shipped = context.broadcast(basis.block(0))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((width, width))
@@ -295,7 +402,7 @@ def _sketch_gram(docs: DataFrame, basis: _Basis) -> np.ndarray:
                 gram += sketch.T @ sketch
         yield _numbered_rows(gram)
 
-    rows = docs.select("idx", "val").coalesce(context.defaultParallelism)
+    rows = docs.select("idx", "val")
     return _sum_rows(rows.mapInArrow(partial, "i int, v array<double>"))
 
 
@@ -314,15 +421,14 @@ def _gram(sketch: DataFrame) -> np.ndarray:
     return _sum_rows(sketch.select("y").mapInArrow(partial, "i int, v array<double>"))
 
 
-def _project(docs: DataFrame, basis: _Basis, rotation: np.ndarray) -> DataFrame:
-    """Rows with their unit vector `lsa`, with the basis in one block."""
-    shipped = docs.sparkSession.sparkContext.broadcast(basis.block(0) @ rotation)
+def _project(docs: DataFrame, basis, rotation: np.ndarray) -> DataFrame:
+    """Rows with their unit vector `lsa`, with the shipped basis in one block."""
 
     @F.arrow_udf("array<double>")
     def project(idx: pa.Array, val: pa.Array) -> pa.Array:
-        out = np.zeros((len(idx), shipped.value.shape[1]))
+        out = np.zeros((len(idx), rotation.shape[1]))
         for at, dense, touched in _chunks(idx, val):
-            out[at] = dense @ shipped.value[touched]
+            out[at] = dense @ basis.value[touched] @ rotation
         return _rows_to_list(_unit_rows(out))
 
     kept = [c for c in docs.columns if c not in ("_doc", "idx", "val")]
@@ -339,9 +445,9 @@ def _times(factor: np.ndarray):
     return product
 
 
-def _payloads(block: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+def _payloads(piece: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     payload = pa.array([row.tobytes() for row in values], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), payload], ["block", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), payload], ["piece", "payload"])
 
 
 def _chunks(idx: pa.Array, val: pa.Array):

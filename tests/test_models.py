@@ -62,14 +62,45 @@ def test_lsa_matches_an_exact_svd(corpus, terms):
 
 
 @pytest.mark.parametrize("blocks, bound", [(3, 1_000_000), (20, 1_000_000), (3, 5)])
-def test_lsa_is_the_same_in_any_number_of_blocks(corpus, terms, blocks, bound):
-    one_values, one_rows, one_basis = space(corpus, terms, 1, rounds=1)
-    values, rows, basis = space(corpus, terms, blocks, LookupConfig(max_broadcast_rows=bound), rounds=1)
+@pytest.mark.parametrize("rounds", [1, LsaConfig().rounds])
+def test_lsa_is_the_same_in_any_number_of_blocks(corpus, terms, blocks, bound, rounds):
+    one_values, one_rows, one_basis = space(corpus, terms, 1, rounds=rounds)
+    values, rows, basis = space(corpus, terms, blocks, LookupConfig(max_broadcast_rows=bound), rounds=rounds)
     assert values == pytest.approx(one_values, rel=1e-6)
     assert rows @ rows.T == pytest.approx(one_rows @ one_rows.T, abs=1e-6)
     assert np.abs((basis * one_basis).sum(axis=0)) == pytest.approx(1.0, abs=1e-6)
 
 
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_lsa_rows_have_the_inner_products_of_the_exact_factors(corpus, terms, blocks):
+    """Six themes stand out of the noise: rows in their space do not depend on the solver."""
+    n, width = terms.count(), min(18, terms.count())
+    cfg = LsaConfig(components=6, oversample=12, rounds=8, max_block_bytes=-(-n // blocks) * width * 8)
+    found = lsa.fit_lsa(corpus, terms, cfg)
+    rows = {int(r["id_str"]): r["lsa"] for r in found.rows.collect()}
+    a = dense_tfidf(corpus, terms)
+    _, _, vt = np.linalg.svd(a, full_matrices=False)
+    exact = a @ vt[:6].T
+    exact /= np.maximum(np.linalg.norm(exact, axis=1, keepdims=True), 1e-300)
+    mine = np.array([rows[i] for i in sorted(rows)])
+    assert mine @ mine.T == pytest.approx(exact @ exact.T, abs=1e-4)
+
+
+def test_a_basis_in_blocks_stays_off_the_driver(corpus, terms, monkeypatch):
+    """Only the vocabulary that is proven small may be brought to the driver."""
+    n = terms.count()
+    cfg = LsaConfig(components=8, oversample=10, rounds=2, max_block_bytes=-(-n // 4) * 18 * 8)
+    monkeypatch.setattr(lsa._Basis, "whole", None)
+    rows = []
+    frame = type(corpus)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: rows.append(collect(self)) or rows[-1])
+    monkeypatch.setattr(frame, "toLocalIterator", None)
+    monkeypatch.setattr(frame, "toArrow", None)
+    lsa.fit_lsa(corpus, terms, cfg, LookupConfig(max_broadcast_rows=5))
+    assert max(map(len, rows)) <= 18
+
+
 def test_lsa_with_fewer_terms_than_components(spark):
     data = [(str(i), ["a", "b"] if i % 2 else ["a"]) for i in range(10)]
     words = spark.createDataFrame(data, "id_str string, words array<string>")
