@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyrank import schema
 from storyrank.config import LookupConfig
 from storyrank.functions import text
+from storyrank.sources import files
+from storyrank.sources.members import (
+    MemberConfig,
+    add_filters,
+    buckets_for,
+    id_hash,
+    may_hold,
+    with_part,
+)
+from storyrank.sources.scratch import stored
 
 # Arrival order of landed text files; `LINE` then numbers the lines of one file split.
 FILE_ARRIVAL = ("landed_at", "file", "file_start")
@@ -76,30 +87,40 @@ def first_versions(posts: DataFrame, arrival: Sequence[str]) -> DataFrame:
     return posts.groupBy("id_str").agg(best).select("id_str", "first.*")
 
 
-def unseen(posts: DataFrame, table: DataFrame, cfg: LookupConfig = LookupConfig()) -> DataFrame:
-    """Posts whose id is not in `table`.
-
-    The table is the large side and only its ids are read. When the posts are few their ids are
-    broadcast into that scan and only the ids found come back, so the table is not shuffled;
-    otherwise both sides are joined by shuffle. An id counts as seen whatever its other fields.
+def unseen(
+    posts: DataFrame,
+    path: str,
+    n_ids: int,
+    cfg: LookupConfig = LookupConfig(),
+    members: MemberConfig = MemberConfig(),
+) -> DataFrame:
+    """Posts whose id is not in the table at `path`; `n_ids` of them, each id once.
+
+    A small load asks the membership index and reads only the parts that may hold one of its ids; of
+    these only the id column. A larger one reads the ids of the whole table: with ids broadcast into
+    that scan while they are few, by shuffle beyond. All ways give the same posts: an id counts as
+    seen whatever its other fields.
     """
-    ids = table.select("id_str")
-    few = posts.select("id_str").limit(cfg.max_broadcast_rows + 1).count() <= cfg.max_broadcast_rows
-    if few:
-        wanted = F.broadcast(posts.select("id_str").distinct())
+    spark = posts.sparkSession
+    if n_ids <= min(members.probe_ids, cfg.max_broadcast_rows):
+        hashes = posts.select(id_hash("id_str").alias("h")).toArrow()["h"].to_numpy()
+        found = may_hold(spark, path, hashes, members)
+        if not found:
+            return posts
+        ids = spark.read.schema(schema.NEWS).parquet(*found).select("id_str")
+    else:
+        ids = spark.read.schema(schema.NEWS).parquet(path).select("id_str")
+    if n_ids <= cfg.max_broadcast_rows:
+        wanted = F.broadcast(posts.select("id_str"))
         ids = F.broadcast(ids.join(wanted, "id_str", "left_semi").distinct())
     return posts.join(ids, "id_str", "left_anti")
 
 
 def create_news(spark: SparkSession, path: str) -> None:
     """Create the table when it is absent; leave it alone when it exists."""
-    _write(spark.createDataFrame([], schema.NEWS), path, "ignore")
-
-
-def _write(rows: DataFrame, path: str, mode: str) -> None:
-    rows = rows.select(schema.NEWS.fieldNames())
-    # lets a look-up of ids skip row groups
-    rows.write.mode(mode).option("parquet.bloom.filter.enabled#id_str", "true").parquet(path)
+    if not files.exists(spark, path):
+        empty = spark.createDataFrame([], schema.NEWS)
+        empty.write.mode("ignore").parquet(f"{path.rstrip('/')}/part=none")
 
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:
@@ -108,30 +129,53 @@ def read_news(spark: SparkSession, path: str) -> DataFrame:
     return table.withColumn("seq", F.struct("load", "position")).drop("load", "position")
 
 
+def numbered_arrivals(rows: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    """Replace `arrival` and `LINE` of stored rows by a `position` in arrival order, without a sort.
+
+    The values of `arrival` tell file splits apart: one row for each split is put in order, and the
+    lines of a split are numbered already. A split takes 2^33 places, as the line numbers do.
+    """
+    line = F.col(LINE).bitwiseAND((1 << 33) - 1)
+    if not arrival:
+        return rows.withColumn("position", F.col(LINE)).drop(LINE)
+    splits = rows.select(*arrival).distinct()
+    order = F.row_number().over(Window.orderBy(*arrival)).cast("long")
+    ordered = splits.select(*[F.col(a).alias(f"_{a}") for a in arrival], order.alias("_split"))
+    same = reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in arrival])
+    placed = rows.join(ordered, same)
+    return placed.withColumn("position", F.col("_split") * (1 << 33) + line).select(
+        *[c for c in rows.columns if c not in (*arrival, LINE)], "position"
+    )
+
+
 def append_news(
     parsed: DataFrame,
     path: str,
     load: int,
     arrival: Sequence[str] = FILE_ARRIVAL,
     cfg: LookupConfig = LookupConfig(),
+    members: MemberConfig = MemberConfig(),
 ) -> None:
-    """Append accepted posts with unseen ids, in arrival order: `arrival` columns, then line.
+    """Append accepted posts with unseen ids; their order is that of `arrival`, then line.
 
-    The table itself is the memory of what was seen, so running a load again after a failure
-    adds only what the failed attempt did not. One writer per table at a time.
+    `parsed` is a stored table with column `LINE`. Posts are dealt by the hash of their id into parts
+    of at most about `ids_per_file`, and a filter of each part goes to the membership index before
+    the part itself is written. The table is the memory of what was seen, so running a load again
+    after a failure adds only what the failed attempt did not. One writer per table at a time.
     """
     spark = parsed.sparkSession
     create_news(spark, path)
-    numbered = accepted(parsed).withColumn(LINE, F.monotonically_increasing_id())
-    order = [*arrival, LINE]
-    posts = first_versions(numbered, order).persist()
-    try:
-        fresh = unseen(posts, spark.read.schema(schema.NEWS).parquet(path), cfg)
-        ordered = (
-            fresh.orderBy(*order)
-            .withColumn("load", F.lit(load).cast("long"))
-            .withColumn("position", F.monotonically_increasing_id())
-        )
-        _write(ordered, path, "append")
-    finally:
-        posts.unpersist()
+    posts = stored(first_versions(numbered_arrivals(accepted(parsed), arrival), ["position"]), "load")
+    n_ids = posts.count()
+    if n_ids == 0:
+        return
+    fresh = unseen(posts, path, n_ids, cfg, members)
+    buckets = buckets_for(n_ids, members)
+    named = with_part(fresh.withColumn("load", F.lit(load).cast("long")), load, buckets)
+    named = stored(named.select(*schema.NEWS.fieldNames(), "bucket", "part"), "fresh")
+    if named.isEmpty():
+        return
+    add_filters(named, path, buckets, members)
+    # a task for each part; rows in order of arrival
+    dealt = named.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("part", "position")
+    dealt.drop("bucket").write.mode("append").partitionBy("part").parquet(path)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from storyrank.config import LookupConfig
 from storyrank.sources import news
+from storyrank.sources.members import MemberConfig
+from storyrank.sources.scratch import stored
 
 
 def landed_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -26,10 +29,15 @@ def ingest_batch(
     load: int = -1,
     arrival: Sequence[str] = news.FILE_ARRIVAL,
     cfg: LookupConfig = LookupConfig(),
+    members: MemberConfig = MemberConfig(),
 ) -> None:
-    """Load one batch of status lines, for example a backfill, before any stream batch."""
-    parsed = news.parse_status(lines)
-    news.append_news(parsed, table, load, arrival, cfg)
+    """Load one batch of status lines, for example a backfill, before any stream batch.
+
+    Every line is read and parsed once, into a scratch table that all steps start from.
+    """
+    numbered = lines.withColumn(news.LINE, F.monotonically_increasing_id())
+    parsed = stored(news.parse_status(numbered), "parsed")
+    news.append_news(parsed, table, load, arrival, cfg, members)
     if rejects is not None:
         # one folder per load: a load that runs again replaces its own rejects
         news.rejected(parsed).write.mode("overwrite").json(f"{rejects}/load={load}")
@@ -44,6 +52,7 @@ def ingest_stream(
     available_now: bool = False,
     interval: str = "10 seconds",
     cfg: LookupConfig = LookupConfig(),
+    members: MemberConfig = MemberConfig(),
 ) -> StreamingQuery:
     """Write a stream of status lines to the news table, each id once, first version wins.
 
@@ -53,7 +62,7 @@ def ingest_stream(
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, table, rejects, batch_id, arrival, cfg)
+        ingest_batch(batch, table, rejects, batch_id, arrival, cfg, members)
 
     writer = lines.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     if available_now:

@@ -3,12 +3,14 @@ from __future__ import annotations
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from storyrank.config import LookupConfig
 from storyrank.sources import corpus as corpus_files
 from storyrank.sources import news, reports
+from storyrank.sources.members import MemberConfig, add_filters, hits, make_filter
 from storyrank.sources.scratch import scratch_root, stored
 from storyrank.streaming import ingest
 
@@ -112,6 +114,92 @@ def test_an_id_that_comes_back_with_another_time_is_stored_once(spark, tmp_path,
     assert kept(spark, table) == [("1", 0), ("2", 0), ("3", 1), ("4", 2)]
 
 
+def opened(monkeypatch):
+    """Parts of the table that the loads from here on open, a list for each load."""
+    seen = []
+    asked = news.may_hold
+    monkeypatch.setattr(news, "may_hold", lambda *a, **b: seen.append(asked(*a, **b)) or seen[-1])
+    return seen
+
+
+def load(spark, table, load, ids, **more):
+    lines = spark.createDataFrame([(status(i, load),) for i in ids], "value string")
+    ingest.ingest_batch(lines, table, load=load, arrival=(), **more)
+
+
+def test_a_small_load_opens_few_parts_however_large_the_table(spark, tmp_path, monkeypatch):
+    table, seen = str(tmp_path / "news"), opened(monkeypatch)
+    cfg = MemberConfig(ids_per_file=40, merge_every=8)
+    files, done = [], 0
+    for grown in (3, 30):
+        for number in range(done, grown):
+            load(spark, table, number, range(1_000 * number, 1_000 * number + 120), members=cfg)
+        done = grown
+        files.append(len(spark.read.parquet(table).inputFiles()))
+        load(spark, table, 100 + grown, [7, 2_005, "new", f"other{grown}"], members=cfg)
+        # one part for each of the two known ids, and now and then one that answers falsely
+        assert 2 <= len(seen[-1]) <= 4
+    assert files[1] >= 9 * files[0]
+    assert kept(spark, table) == sorted(
+        [(str(1_000 * n + i), n) for n in range(30) for i in range(120)] + [("new", 103), ("other3", 103), ("other30", 130)]
+    )
+
+
+def test_every_load_size_gives_the_same_table(spark, tmp_path):
+    """By the index, by ids broadcast into the whole table, by a shuffle join."""
+    tables = []
+    for name, members, cfg in [
+        ("index", MemberConfig(ids_per_file=7), LookupConfig()),
+        ("broadcast", MemberConfig(ids_per_file=7, probe_ids=0), LookupConfig()),
+        ("shuffle", MemberConfig(ids_per_file=7), LookupConfig(max_broadcast_rows=0)),
+    ]:
+        table = str(tmp_path / name)
+        for number, ids in enumerate([range(0, 30), range(10, 50, 3), [], [49, 3, "x", "x"], range(0, 80)]):
+            load(spark, table, number, ids, members=members, cfg=cfg)
+        tables.append(kept(spark, table))
+    assert tables[0] == tables[1] == tables[2] and len(tables[0]) == 81
+
+
+def test_filters_written_before_a_failure_lose_nothing(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "news")
+    load(spark, table, 0, range(5))
+    with monkeypatch.context() as m:
+        # the filters are there, the rows are not
+        m.setattr(news, "add_filters", lambda *a: add_filters(*a) or (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            load(spark, table, 1, range(3, 9))
+    assert len(kept(spark, table)) == 5
+    load(spark, table, 1, range(3, 9))
+    load(spark, table, 1, range(3, 9))
+    assert kept(spark, table) == [(str(i), int(i > 4)) for i in range(9)]
+
+
+def test_a_filter_finds_its_ids_and_few_others():
+    draw = np.random.default_rng(5)
+    inside, outside = draw.integers(-(2**63), 2**63, (2, 20_000))
+    cfg = MemberConfig()
+    bits = make_filter(inside, cfg)
+    assert len(bits) <= 20_000 * cfg.bits_per_id // 8 + 1
+    assert hits(bits, inside, cfg).all() and hits(bits, outside, cfg).mean() < 0.006
+
+
+def test_an_unfinished_generation_of_the_index_is_passed_over(spark, tmp_path, monkeypatch):
+    table, seen = str(tmp_path / "news"), opened(monkeypatch)
+    load(spark, table, 0, range(5))
+    os.makedirs(tmp_path / "news.members" / "g1")
+    load(spark, table, 1, [4, 5])
+    assert len(seen[-1]) == 1 and len(kept(spark, table)) == 6
+
+
+def test_position_follows_arrival_without_a_sort(spark, tmp_path):
+    landing, table = str(tmp_path / "landing"), str(tmp_path / "news")
+    for n in range(6):
+        land(landing, f"{9 - n}.json", [status(10 * n + i) for i in range(10)], at=1_000_000_000 + n)
+    ingest.ingest_batch(news.read_landed(spark, landing).repartition(3, "file"), table)
+    order = [int(r["id_str"]) for r in news.read_news(spark, table).orderBy("seq").collect()]
+    assert order == list(range(60))
+
+
 def test_backfill_and_live_in_one_query(spark, tmp_path):
     backfill, live, table = (str(tmp_path / n) for n in ("backfill", "live", "news"))
     land(backfill, "p.json", FIRST, at=1_000_000_000)
