@@ -2,16 +2,14 @@
 
 Words that stand within a window of each other are counted, the counts become positive pointwise
 mutual information, and the matrix of these is factored by the same blocked SVD as the documents
-(Levy and Goldberg, 2014: shifted by ln k it stands for k negative samples). No text, vocabulary
-or matrix meets on the driver.
+(Levy and Goldberg, 2014: shifted by ln k it stands for k negative samples). No text or vocabulary
+meets on the driver, and of the matrix only a basis that fits one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -21,15 +19,15 @@ from storyrank.config import LookupConfig, LsaConfig, WordVectorConfig
 from storyrank.operators import lsa
 from storyrank.operators.corpus import word_counts
 from storyrank.operators.lookup import lookup
+from storyrank.operators.nearest import nearest
 from storyrank.operators.prefix import running_totals
-from storyrank.operators.topk import top_per_group
 from storyrank.sources.scratch import stored
 
 
 def window_pairs(sentences: DataFrame, window: int) -> DataFrame:
     """(a, b, n): how often `a` stands before or after `b`, at most `window` words away.
 
-    Counted over array column `words` of whole texts, inside each row before the shuffle.
+    Pairs of whole texts in array column `words`; equal ones of a task meet before the shuffle.
     """
     zipped = []
     for gap in range(1, window + 1):
@@ -99,31 +97,11 @@ def fit_word_vectors(
 def similar_words(vectors: DataFrame, examples: Sequence[str], n: int = 10) -> DataFrame:
     """(example, rank, word, similarity): nearest words by cosine, the example itself included.
 
-    `examples` is a short list to inspect; a word the model does not know gives no rows.
+    `examples` is a list to inspect; a word the model does not know gives no rows. For the
+    neighbours of a whole table see `nearest`.
     """
-    known = vectors.filter(F.col("word").isin(list(examples))).collect()
-    found = sorted((r["word"], r["vector"]) for r in known)
-    if not found:
-        return vectors.sparkSession.createDataFrame(
-            [], "example string, rank int, word string, similarity double"
-        )
-    wanted = np.array([v for _, v in found], dtype=float)
-    wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
-
-    @F.arrow_udf("array<double>")
-    def cosine(vector: pa.Array) -> pa.Array:
-        x = vector.flatten().to_numpy(zero_copy_only=False).reshape(len(vector), -1)
-        out = (x @ wanted.T) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        offsets = np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
-
-    names = F.array(*[F.lit(w) for w, _ in found])
-    pairs = vectors.select("word", F.posexplode(cosine("vector")).alias("_pos", "similarity"))
-    scored = pairs.select(F.get(names, F.col("_pos")).alias("example"), "word", "similarity")
-    order = [F.col("similarity").desc(), F.col("word")]
-    return top_per_group(scored, "example", order, n, spread_on="word").select(
-        "example", "rank", "word", "similarity"
-    )
+    wanted = vectors.filter(F.col("word").isin(list(examples)))
+    return nearest(vectors, wanted, n)
 
 
 def document_vectors(

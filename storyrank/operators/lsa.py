@@ -32,7 +32,7 @@ PIECES = "piece int, payload binary"
 # pieces in one Arrow batch
 SENT_PIECES = 64
 # cells for each term that make another partial product worth its size
-PARTIAL_CELLS = 16
+PARTIAL_CELLS = 8
 # cells of a lane
 LANE_CELLS = 20_000_000
 

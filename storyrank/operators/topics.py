@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyrank.config import TopicConfig
+from storyrank.config import LookupConfig, TopicConfig
 from storyrank.functions import vectors
-from storyrank.operators.features import frequent_terms
+from storyrank.operators.features import doc_terms, frequent_terms
+from storyrank.operators.lookup import lookup
+from storyrank.operators.topk import top_per_group
 from storyrank.sources.scratch import stored
 
 
@@ -61,3 +66,110 @@ def topic_mix(topics: Topics) -> DataFrame:
     mixed = topics.model.transform(topics.counts)
     shares = mixed.select("id_str", vector_to_array("topicDistribution").alias("mix"))
     return shares.withColumn("topic", vectors.argmax(F.col("mix")))
+
+
+def group_topics(words: DataFrame, group: str, terms: DataFrame, smoothing: float = 0.1) -> DataFrame:
+    """(topic, term, weight) of given groups of posts: the smoothed share of each term among the
+    words of the group that are in `terms` (term). Each group has every term."""
+    counted = words.select(F.col(group).alias("topic"), "words")
+    known = F.broadcast(terms.select("term"))
+    pairs = counted.select("topic", F.explode("words").alias("term")).join(known, "term")
+    sums = stored(pairs.groupBy("topic", "term").agg(F.count("*").alias("n")), "group-terms")
+    whole = sums.groupBy("topic").agg(F.sum("n").alias("all"))
+    size = terms.count()
+    every = whole.select("topic", "all", F.explode(F.array(*[F.lit(r["term"]) for r in terms.collect()])).alias("term"))
+    share = (F.coalesce("n", F.lit(0)) + smoothing) / (F.col("all") + smoothing * size)
+    return every.join(sums, ["topic", "term"], "left").select("topic", "term", share.alias("weight"))
+
+
+def heaviest_words(topic_terms: DataFrame, n: int = 10) -> DataFrame:
+    """(topic, rank, term, weight) of a topic-term table; weights that agree in nine digits tie."""
+    order = [F.round("weight", 9).desc(), F.col("term")]
+    return top_per_group(topic_terms, "topic", order, n, spread_on="term").select("topic", "rank", "term", "weight")
+
+
+def fold_in(
+    words: DataFrame, topic_terms: DataFrame, steps: int = 20, cfg: LookupConfig = LookupConfig()
+) -> DataFrame:
+    """(id_str, mix, topic) of posts (id_str, words) under a given topic-term table (topic, term,
+    weight), without fitting anything.
+
+    `mix` holds the topic shares in order of the topics, after `steps` steps of expectation and
+    maximisation from even shares; `topic` is the first of the largest, compared after rounding to
+    nine digits. Posts without a word that some topic has are left out. A table of proven size
+    travels to the posts, which are folded in place; the words of a larger one are looked up by a
+    join, and a post then gathers one row of weights for each of its words.
+    """
+    names = [r["topic"] for r in topic_terms.select("topic").distinct().orderBy("topic").collect()]
+    if not names:
+        blank = F.lit(None).cast("array<double>").alias("mix")
+        return words.select("id_str", blank, F.lit(None).cast(dict(topic_terms.dtypes)["topic"]).alias("topic")).limit(0)
+    number = F.array_position(F.array(*[F.lit(t) for t in names]), F.col("topic")) - 1
+    cells = F.map_from_entries(F.collect_list(F.struct(number.cast("int").alias("i"), "weight")))
+    weights = F.transform(
+        F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0))
+    )
+    table = topic_terms.filter(F.col("weight") > 0).groupBy("term").agg(cells.alias("cells"))
+    table = stored(table.select("term", weights.alias("weights")), "term-topics")
+    # a term counts as much as a key and a number for each topic
+    if table.count() * len(names) <= cfg.max_broadcast_rows:
+        mixed = _fold_in_place(words, table.orderBy("term").toArrow(), len(names), steps)
+    else:
+        looked = lookup(doc_terms(words), table, ["term"], cfg, small=False)
+        own = F.sort_array(F.collect_list(F.struct("term", "tf", "weights"))).alias("cells")
+        mixed = _fold_gathered(looked.groupBy("id_str").agg(own), len(names), steps)
+    best = vectors.argmax(F.transform("mix", lambda s: F.round(s, 9)))
+    found = F.get(F.array(*[F.lit(t) for t in names]), best)
+    return mixed.filter(F.col("mix").isNotNull()).withColumn("topic", found)
+
+
+def _fold_in_place(words: DataFrame, table: pa.Table, topics: int, steps: int) -> DataFrame:
+    shipped = words.sparkSession.sparkContext.broadcast(
+        (table["term"].combine_chunks(), _rows(table["weights"].combine_chunks(), topics))
+    )
+
+    @F.arrow_udf("array<double>")
+    def fold(docs: pa.Array) -> pa.Array:
+        terms, weights = shipped.value
+        flat = docs.flatten()
+        at = pc.index_in(flat, value_set=terms.cast(flat.type))
+        sizes = pc.fill_null(pc.list_value_length(docs), 0).to_numpy()
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(docs), dtype=np.int64), sizes)[known]
+        cells, tf = np.unique(doc * len(terms) + at.drop_null().to_numpy(), return_counts=True)
+        doc, term = np.divmod(cells, max(len(terms), 1))
+        return _shares(doc, tf, weights[term], len(docs), topics, steps)
+
+    return words.select("id_str", fold("words").alias("mix"))
+
+
+def _fold_gathered(gathered: DataFrame, topics: int, steps: int) -> DataFrame:
+    @F.arrow_udf("array<double>")
+    def fold(cells: pa.Array) -> pa.Array:
+        flat = cells.flatten()
+        doc = np.repeat(np.arange(len(cells)), pc.list_value_length(cells).to_numpy())
+        tf = flat.field("tf").to_numpy(zero_copy_only=False)
+        return _shares(doc, tf, _rows(flat.field("weights"), topics), len(cells), topics, steps)
+
+    return gathered.select("id_str", fold("cells").alias("mix"))
+
+
+def _rows(lists: pa.Array, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _shares(doc, tf, weights, n: int, topics: int, steps: int) -> pa.Array:
+    """Topic shares of `n` posts whose words, in order of posts, have `tf` and rows of `weights`."""
+    share = np.full((n, topics), 1.0 / topics)
+    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    filled = doc[starts]
+    for _ in range(steps if len(doc) else 0):
+        part = share[doc] * weights
+        part *= (tf / part.sum(axis=1))[:, None]
+        sums = np.add.reduceat(part, starts, axis=0)
+        share[filled] = sums / sums.sum(axis=1, keepdims=True)
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * topics)
+    made = pa.ListArray.from_arrays(offsets, pa.array(share.ravel()))
+    place = np.full(n, -1)
+    place[filled] = filled
+    return made.take(pa.array(place, mask=place < 0))

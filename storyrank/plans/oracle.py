@@ -392,13 +392,6 @@ ORACLES: dict[str, str] = {
         "events_by_source",
     ).replace(f"({_PARTS['cleaned']})", f"({_LEMMATISED})"),
     # model steps and invariants
-    "nearest_vectors": (
-        "SELECT example, CAST(rank AS INTEGER) AS rank, word, round(similarity, 4) AS similarity FROM ("
-        "SELECT *, row_number() OVER (PARTITION BY example ORDER BY similarity DESC, word) AS rank FROM ("
-        "SELECT CAST(x.vec_id AS VARCHAR) AS example, CAST(y.vec_id AS VARCHAR) AS word, "
-        "list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS similarity "
-        "FROM embeddings x, embeddings y WHERE x.vec_id < 6)) WHERE rank <= 10"
-    ),
     "kmeans_step": _sql(
         "SELECT cluster, CAST(i - 1 AS INTEGER) AS i, round(avg(v), 4) AS v FROM dims JOIN "
         "(SELECT vec_id, arg_min(cluster, dist) AS cluster FROM every_dist GROUP BY vec_id) USING (vec_id) "

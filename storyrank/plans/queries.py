@@ -448,14 +448,6 @@ def map_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------- model steps and invariants that SQL can check
 
 
-@query
-def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten nearest vectors of the first six, by the look-up that finds similar words."""
-    rows = views.vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("word"), "vector")
-    near = embed.similar_words(rows, [str(i) for i in range(6)])
-    return near.select("example", "rank", "word", F.round("similarity", 4).alias("similarity"))
-
-
 @query
 def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One step of k-means from the centres of the labels: new centre of each vector's cluster."""
