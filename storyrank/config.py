@@ -47,6 +47,8 @@ class ClusterConfig:
     k: int = 25
     library_default_k: int = 8
     max_iter: int = 20
+    # a round in which no centre moves farther is the last
+    tol: float = 1e-4
     seed: int = 42
 
 

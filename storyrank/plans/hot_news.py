@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyrank.config import PipelineConfig
-from storyrank.operators import cluster, corpus, features, lsa, rank
+from storyrank.operators import corpus, features, kmeans, lsa, rank
 from storyrank.operators.clean import clean_posts
 from storyrank.sources.scratch import stored
 
@@ -48,9 +48,9 @@ def cluster_posts(texts: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> C
     words = texts.select("id_str", "seq", "rt_cnt", second.alias("words"))
     space = lsa.fit_lsa(words, terms, cfg.lsa, cfg.lookup)
     rows = stored(space.rows, "lsa-rows")
-    model = cluster.fit_kmeans(rows, "lsa", cfg.cluster)
-    members = cluster.assign(model, rows, "lsa").drop("lsa")
-    return Clustered(texts, terms, space, cluster.model_centres(model, rows), stored(members, "members"))
+    model = kmeans.fit(rows, "id_str", "lsa", cfg.cluster)
+    members = kmeans.assign(model, rows, "lsa").drop("lsa")
+    return Clustered(texts, terms, space, model.frame(rows.sparkSession), stored(members, "members"))
 
 
 def scored_candidates(

@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 from storyrank.config import TopicConfig
 from storyrank.functions import text
-from storyrank.operators import epochs, features, nearest, topics
+from storyrank.operators import epochs, features, kmeans, nearest, rank, topics
+from storyrank.operators.clean import clean_posts
+from storyrank.operators.corpus import distinct_texts
+from storyrank.operators.metrics import metric_rows, stored_with_counts
 from storyrank.plans import hot_news as plan
 from storyrank.plans import views
+from storyrank.plans.oracle import ORACLES as BASE_ORACLES
 from storyrank.plans.oracle import _sql
+from storyrank.sources import news as news_source
+from storyrank.sources.scratch import scratch_path
+from storyrank.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +169,106 @@ SELECT id_str, epoch, CAST(x AS BIGINT) AS place FROM walk WHERE x < n"""
 
 
 ORACLES["epoch_order"] = _epoch_oracle()
+
+
+# --------------------------------------------------------------------------- k-means
+
+_K, _ROUNDS, _SEED = 8, 3, 42
+
+
+@query
+def kmeans_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after drawing eight seeds and three rounds, and its distance."""
+    rows = plan.stored(views.vectors(spark, sf_dir).select("vec_id", "vector"), "kmeans-rows")
+    seeds = kmeans.draw_seeds(rows, "vec_id", "vector", _K, _SEED)
+    found = kmeans.lloyd(rows, "vector", seeds, _ROUNDS)
+    return kmeans.assign(found, rows, "vector").select("vec_id", "cluster", F.round("dist", 6).alias("dist"))
+
+
+def _kmeans_oracle() -> str:
+    def race(number: int) -> str:
+        return f"-ln((CAST('0x' || substr(md5('{_SEED}:{number}:' || vec_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0)"
+
+    chain = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+chosen0 AS MATERIALIZED (SELECT 0 AS cluster, e FROM v ORDER BY {race(0)}, vec_id LIMIT 1)"""
+    for j in range(1, _K):
+        chain += f""",
+chosen{j} AS MATERIALIZED (SELECT * FROM chosen{j - 1} UNION ALL SELECT * FROM (SELECT {j} AS cluster, e FROM (
+  SELECT vec_id, v.e, min(list_distance(v.e, c.e) ** 2) AS d FROM v, chosen{j - 1} c GROUP BY vec_id, v.e)
+  WHERE d > 0 ORDER BY {race(j)} / d, vec_id LIMIT 1))"""
+    chain += f""",
+centres0 AS (SELECT * FROM chosen{_K - 1})"""
+    for r in range(_ROUNDS):
+        chain += f""",
+nearest{r} AS MATERIALIZED (SELECT vec_id, any_value(v.e) AS e, arg_min(cluster, list_distance(v.e, c.e)) AS cluster
+  FROM v, centres{r} c GROUP BY vec_id),
+means{r} AS (SELECT cluster, i, avg(x) AS x FROM (
+  SELECT cluster, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM nearest{r}) GROUP BY cluster, i),
+centres{r + 1} AS MATERIALIZED (SELECT cluster, list(x ORDER BY i) AS e FROM means{r} GROUP BY cluster)"""
+    return chain + f"""
+SELECT vec_id, arg_min(cluster, list_distance(v.e, c.e)) AS cluster, round(min(list_distance(v.e, c.e)), 6) AS dist
+FROM v, centres{_ROUNDS} c GROUP BY vec_id"""
+
+
+ORACLES["kmeans_replay"] = _kmeans_oracle()
+
+
+# ---------------------------------------------------------------------------- ingest
+
+
+@query
+def stream_dedup_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `stream_ingest`, by a state bounded to a day instead of the table."""
+    rows = views.news(spark, sf_dir)
+    base = scratch_path(spark, "bounded")
+    landing, table = f"{base}/landing", f"{base}/posts"
+    first = views.status_lines(rows.filter(F.col("lang") == "en"))
+    for lines in (first, views.status_lines(rows, extra_reposts=1)):
+        lines.write.mode("append").text(landing)
+        source = ingest.landed_stream(spark, landing)
+        ingest.bounded_stream(source, table, f"{base}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(table).select("id_str", "tweet", "ctime", "rt_cnt")
+
+
+ORACLES["stream_dedup_bounded"] = BASE_ORACLES["stream_ingest"]
+
+
+@query
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a run, each taken on a pass that the run makes anyway: lines and rejects by reason,
+    posts and empty ones after cleaning, distinct texts, texts without a row in the news table."""
+    rows = views.news(spark, sf_dir)
+    table = scratch_path(spark, "news")
+    counts = ingest.ingest_batch(views.status_lines(rows), table, arrival=())
+    posts = views.posts(spark, sf_dir).select("id_str", "tweet", "seq")
+    cleaned, seen = stored_with_counts(
+        clean_posts(posts), "cleaned", {"posts": F.count("*"), "empty posts": F.count_if(F.col("clean") == "")}
+    )
+    texts, distinct = stored_with_counts(distinct_texts(cleaned), "corpus", {"distinct texts": F.count("*")})
+    _, misses = rank.fields_by_id(texts.select("id_str"), news_source.read_news(spark, table))
+    return metric_rows(spark, counts | seen | distinct | {"texts without news": misses})
+
+
+def _metrics_oracle() -> str:
+    good = "event_type NOT IN ('error', 'signup')"
+    counts = {
+        "lines": "count(*) FROM news",
+        "accepted": f"count(*) FROM news WHERE {good}",
+        "rejected: not a JSON object": "count(*) FROM news WHERE event_type = 'error'",
+        "rejected: not a status": "count(*) FROM news WHERE event_type = 'signup'",
+        "rejected: missing field": "0",
+        "rejected: no id": "0",
+        "ids": f"count(DISTINCT id_str) FROM news WHERE {good}",
+        "appended": f"count(DISTINCT id_str) FROM news WHERE {good}",
+        "posts": "count(*) FROM cleaned",
+        "empty posts": "count(*) FROM cleaned WHERE clean = ''",
+        "distinct texts": "count(*) FROM corpus",
+        "texts without news": "count(*) FROM corpus WHERE id_str NOT IN "
+        f"(SELECT id_str FROM news WHERE {good})",
+    }
+    rows = [f"SELECT '{k}' AS metric, CAST(({f'SELECT {v}'}) AS BIGINT) AS value" for k, v in counts.items()]
+    return _sql(" UNION ALL ".join(rows), "corpus", "news")
+
+
+ORACLES["run_metrics"] = _metrics_oracle()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from storyrank import schema
 from storyrank.config import LookupConfig
 from storyrank.functions import text
+from storyrank.operators.metrics import stored_with_counts
 from storyrank.sources import files
 from storyrank.sources.members import (
     MemberConfig,
@@ -52,10 +53,10 @@ def parse_status(raw: DataFrame) -> DataFrame:
     no_id = F.col("_status.id_str").isNull()
     reject = text.let(
         F.json_object_keys("value"),
-        lambda keys: F.when(keys.isNull(), "not a JSON object")
-        .when(~_has_all(keys, schema.STATUS_MARKS), "not a status")
-        .when(~_has_all(keys, schema.STATUS_FIELDS), "missing field")
-        .when(no_id, "no id"),
+        lambda keys: F.when(keys.isNull(), REJECTS[0])
+        .when(~_has_all(keys, schema.STATUS_MARKS), REJECTS[1])
+        .when(~_has_all(keys, schema.STATUS_FIELDS), REJECTS[2])
+        .when(no_id, REJECTS[3]),
     )
     return parsed.select(
         *raw.columns,
@@ -72,6 +73,16 @@ def _has_all(keys: Column, wanted: Sequence[str]) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(k) for k in wanted]), keys)) == 0
 
 
+# what `parse_status` writes into `reject`
+REJECTS = ("not a JSON object", "not a status", "missing field", "no id")
+
+
+def outcome_counts() -> dict[str, Column]:
+    """Lines, accepted ones and rejects by reason of a parsed table."""
+    reasons = {f"rejected: {r}": F.count_if(F.col("reject") == r) for r in REJECTS}
+    return {"lines": F.count("*"), "accepted": F.count_if(F.col("reject").isNull()), **reasons}
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("reject").isNull()).drop("reject", "value")
 
@@ -155,27 +166,30 @@ def append_news(
     arrival: Sequence[str] = FILE_ARRIVAL,
     cfg: LookupConfig = LookupConfig(),
     members: MemberConfig = MemberConfig(),
-) -> None:
+) -> dict[str, int]:
     """Append accepted posts with unseen ids; their order is that of `arrival`, then line.
 
     `parsed` is a stored table with column `LINE`. Posts are dealt by the hash of their id into parts
     of at most about `ids_per_file`, and a filter of each part goes to the membership index before
     the part itself is written. The table is the memory of what was seen, so running a load again
     after a failure adds only what the failed attempt did not. One writer per table at a time.
+    Returns how many ids the load had and how many of them were new.
     """
     spark = parsed.sparkSession
     create_news(spark, path)
     posts = stored(first_versions(numbered_arrivals(accepted(parsed), arrival), ["position"]), "load")
     n_ids = posts.count()
     if n_ids == 0:
-        return
+        return {"ids": 0, "appended": 0}
     fresh = unseen(posts, path, n_ids, cfg, members)
     buckets = buckets_for(n_ids, members)
     named = with_part(fresh.withColumn("load", F.lit(load).cast("long")), load, buckets)
-    named = stored(named.select(*schema.NEWS.fieldNames(), "bucket", "part"), "fresh")
-    if named.isEmpty():
-        return
+    named = named.select(*schema.NEWS.fieldNames(), "bucket", "part")
+    named, counts = stored_with_counts(named, "fresh", {"appended": F.count("*")})
+    if counts["appended"] == 0:
+        return {"ids": n_ids, **counts}
     add_filters(named, path, buckets, members)
     # a task for each part; rows in order of arrival
     dealt = named.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("part", "position")
     dealt.drop("bucket").write.mode("append").partitionBy("part").parquet(path)
+    return {"ids": n_ids, **counts}

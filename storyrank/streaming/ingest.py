@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from storyrank.config import LookupConfig
+from storyrank.operators.metrics import stored_with_counts
 from storyrank.sources import news
 from storyrank.sources.members import MemberConfig
-from storyrank.sources.scratch import stored
 
 
 def landed_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -30,17 +30,19 @@ def ingest_batch(
     arrival: Sequence[str] = news.FILE_ARRIVAL,
     cfg: LookupConfig = LookupConfig(),
     members: MemberConfig = MemberConfig(),
-) -> None:
+) -> dict[str, int]:
     """Load one batch of status lines, for example a backfill, before any stream batch.
 
-    Every line is read and parsed once, into a scratch table that all steps start from.
+    Every line is read and parsed once, into a scratch table that all steps start from. Returns counts
+    of lines, outcomes by reason, ids and appended posts, taken on the passes that write.
     """
     numbered = lines.withColumn(news.LINE, F.monotonically_increasing_id())
-    parsed = stored(news.parse_status(numbered), "parsed")
-    news.append_news(parsed, table, load, arrival, cfg, members)
+    parsed, counts = stored_with_counts(news.parse_status(numbered), "parsed", news.outcome_counts())
+    counts |= news.append_news(parsed, table, load, arrival, cfg, members)
     if rejects is not None:
         # one folder per load: a load that runs again replaces its own rejects
         news.rejected(parsed).write.mode("overwrite").json(f"{rejects}/load={load}")
+    return counts
 
 
 def ingest_stream(
@@ -68,3 +70,37 @@ def ingest_stream(
     if available_now:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=interval).start()
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
+
+
+def bounded_stream(
+    lines: DataFrame,
+    table: str,
+    checkpoint: str,
+    bound: str = "1 day",
+    available_now: bool = False,
+    interval: str = "10 seconds",
+) -> StreamingQuery:
+    """Write accepted posts of a stream to a table of files, each id once within `bound`.
+
+    For streams that accept a bound: an id that comes back within `bound` of its first arrival is
+    dropped, by a state that forgets ids older than that; one that comes back later is a new post,
+    and lines that arrive later than the bound allows are dropped. No table is read. The time is that
+    of the landed file. Of repeats within one micro-batch one is kept, which one is open. The state
+    lies in RocksDB, on the disks of the executors and in the checkpoint, not in their memory.
+    """
+    spark = lines.sparkSession
+    posts = news.accepted(news.parse_status(lines)).withWatermark("landed_at", bound)
+    unique = posts.dropDuplicatesWithinWatermark(["id_str"])
+    writer = unique.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+    before = spark.conf.get(STORE_SETTING)
+    # a query takes the settings of the session as they are when it starts
+    spark.conf.set(STORE_SETTING, ROCKS)
+    try:
+        return writer.start(table)
+    finally:
+        spark.conf.set(STORE_SETTING, before)

@@ -200,6 +200,37 @@ def test_position_follows_arrival_without_a_sort(spark, tmp_path):
     assert order == list(range(60))
 
 
+def test_bounded_stream_forgets_ids_past_the_bound(spark, tmp_path):
+    landing, table = str(tmp_path / "landing"), str(tmp_path / "posts")
+    hour, start = 3_600, 1_000_000_000
+
+    def step(name, ids, at):
+        land(landing, name, [status(i, at // hour) for i in ids] + ["oops"], at=start + at)
+        source = ingest.landed_stream(spark, landing)
+        ingest.bounded_stream(source, table, str(tmp_path / "c"), "1 hour", available_now=True).awaitTermination()
+        return sorted((r["id_str"], r["rt_cnt"]) for r in spark.read.parquet(table).collect())
+
+    assert step("a", [1, 2], 0) == [("1", 0), ("2", 0)]
+    # inside the bound, over a restart: a repeat is dropped
+    assert step("b", [1, 3], hour // 2) == [("1", 0), ("2", 0), ("3", 0)]
+    assert step("c", [4], 4 * hour) == [("1", 0), ("2", 0), ("3", 0), ("4", 4)]
+    # past it the id is forgotten and counts as new
+    assert step("d", [1, 4], 4 * hour + 60) == [("1", 0), ("1", 4), ("2", 0), ("3", 0), ("4", 4)]
+    assert "RocksDB" not in spark.conf.get(ingest.STORE_SETTING)
+
+
+def test_a_load_counts_what_it_did(spark, tmp_path):
+    table = str(tmp_path / "news")
+    lines = [status(1), status(2), status(2), "oops", "[1]", '{"text":"x"}', status(1, retweet_count="absent"), status(1, id_str=None)]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    want = {
+        "lines": 8, "accepted": 3, "rejected: not a JSON object": 2, "rejected: not a status": 1,
+        "rejected: missing field": 1, "rejected: no id": 1, "ids": 2,
+    }
+    assert ingest.ingest_batch(df, table, arrival=()) == {**want, "appended": 2}
+    assert ingest.ingest_batch(df, table, arrival=()) == {**want, "appended": 0}
+
+
 def test_backfill_and_live_in_one_query(spark, tmp_path):
     backfill, live, table = (str(tmp_path / n) for n in ("backfill", "live", "news"))
     land(backfill, "p.json", FIRST, at=1_000_000_000)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyrank.config import LookupConfig
-from storyrank.operators import epochs, nearest, topics
+from storyrank.config import ClusterConfig, LookupConfig
+from storyrank.operators import epochs, kmeans, nearest, rank, topics
+from storyrank.operators.metrics import stored_with_counts
 
 
 def all_pairs(rows, queries, k):
@@ -136,3 +139,69 @@ def test_heaviest_words_break_ties_by_word(spark):
     table = [(1, "b", 0.2), (1, "a", 0.2), (1, "c", 0.5), (2, "a", 1.0)]
     found = topics.heaviest_words(spark.createDataFrame(table, "topic int, term string, weight double"), 2)
     assert sorted(map(tuple, found.collect())) == [(1, 1, "c", 0.5), (1, 2, "a", 0.2), (2, 1, "a", 1.0)]
+
+
+def hashed(seed, number, key):
+    return (int(hashlib.md5(f"{seed}:{number}:{key}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+
+def plain_kmeans(rows, k, rounds, seed):
+    x = np.array([v for _, v in rows])
+    chosen = []
+    for number in range(k):
+        far = np.min([((x - c) ** 2).sum(axis=1) for c in chosen], axis=0) if chosen else np.ones(len(x))
+        race = [(-np.log(hashed(seed, number, key)) / d, key, i) for i, (key, _) in enumerate(rows) if (d := far[i]) > 0]
+        if not race:
+            break
+        chosen.append(x[min(race)[2]])
+    centres = np.array(chosen)
+    for _ in range(rounds):
+        near = np.argmin([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        centres = np.array([x[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(centres)])
+    return np.argmin([((x - c) ** 2).sum(axis=1) for c in centres], axis=0), centres
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_kmeans_replays_plain_lloyd(spark, rounds):
+    rng = np.random.default_rng(2)
+    rows = [(f"p{i}", (rng.standard_normal(5) + 4 * (i % 6 == np.arange(5))).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    labels, centres = plain_kmeans(rows, 6, rounds, 11)
+    for parts in (1, 7):
+        given = df.repartition(parts)
+        seeds = kmeans.draw_seeds(given, "id", "v", 6, 11)
+        found = kmeans.lloyd(given, "v", seeds, rounds)
+        assert found.centres == pytest.approx(centres, abs=1e-9)
+        got = {r["id"]: r for r in kmeans.assign(found, given, "v").collect()}
+        for (key, v), label in zip(rows, labels):
+            assert got[key]["cluster"] == label
+            assert got[key]["dist"] == pytest.approx(np.linalg.norm(np.array(v) - centres[label]), abs=1e-9)
+
+
+def test_kmeans_with_few_different_rows(spark):
+    rows = [(i, [float(i % 3), 0.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = kmeans.fit(df, "id", "v", ClusterConfig(k=8))
+    assert sorted(found.centres[:, 0].tolist()) == [0.0, 1.0, 2.0] and found.cost == 0.0
+    assert found.rounds == 1
+    none = kmeans.fit(df.limit(0), "id", "v", ClusterConfig(k=8))
+    assert len(none.centres) == 0
+
+
+def test_misses_are_counted_on_the_pass_that_joins(spark):
+    chosen = spark.createDataFrame([("1", 5), ("2", 6), ("9", 7)], "id_str string, extra int")
+    table = spark.createDataFrame([("1", "a", "t", 1), ("2", "b", "t", 2)], "id_str string, tweet string, ctime string, rt_cnt int")
+    posts, misses = rank.fields_by_id(chosen, table)
+    assert misses == 1
+    assert sorted((r["id_str"], r["extra"], r["tweet"]) for r in posts.collect()) == [("1", 5, "a"), ("2", 6, "b")]
+
+
+def test_counts_come_with_the_write(spark, tmp_path):
+    path = str(tmp_path / "numbers")
+    spark.range(100).write.parquet(path)
+    before = spark.read.parquet(path)
+    table, counts = stored_with_counts(before, "n", {"all": F.count("*"), "even": F.count_if(F.col("id") % 2 == 0)})
+    assert counts == {"all": 100, "even": 50} and table.count() == 100
+    plan = before.observe("x", F.count("*").alias("all"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert stored_with_counts(before.limit(0), "n", {"all": F.count("*"), "sum": F.sum("id")})[1] == {"all": 0, "sum": 0}
