@@ -4,9 +4,11 @@ The lengths of the pieces are counted; their histogram has at most `capacity` en
 large the input is. Over it the linear program "fewest sequences so that each length is covered"
 has a column for every way to fill a sequence. Multiplicative weights solve it: lengths that are
 covered least are worth most, and a knapsack dynamic program finds the filling of highest worth.
-The fractional counts are rounded down and what is left is placed best fit, by groups of equal
-lengths. The result is a short table of runs, by which each piece finds its own place. Rows in a
-given order are packed window by window, so that their sequences keep it.
+Rounding keeps half of each fractional count, rounded down, of the fillings without a gap; what is
+left is placed best fit, longest first, by groups of equal lengths. (Rounding all of it down leaves
+pieces that fit badly: more sequences than best fit alone.) The result is a short table of runs, by
+which each piece finds its own place. Rows in a given order are packed window by window, so that
+their sequences keep it; the program is solved once, for all windows.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ from storyrank.sources.scratch import stored
 @dataclass(frozen=True)
 class PackConfig:
     """`step`: share of a length that one round covers at most; `rate`: exponent of the weights;
-    `window`: pieces that are packed together when sequences keep an order."""
+    `keep`: share of a filling's fractional number that rounding keeps; `window`: pieces that are
+    packed together when sequences keep an order."""
 
     capacity: int = 1024
     step: float = 0.25
     rate: float = 1.0
+    keep: float = 0.5
     window: int = 8_192
 
 
@@ -107,25 +111,42 @@ def fractional(counts: np.ndarray, cfg: PackConfig) -> tuple[dict[tuple, float],
     return used, bound
 
 
-def make_plan(counts: np.ndarray, cfg: PackConfig) -> Plan:
-    """Runs that place every piece counted in `counts` (index: length)."""
+def whole_fillings(counts: np.ndarray, cfg: PackConfig) -> tuple[list[tuple[tuple, int]], float]:
+    """((length, pieces)..., sequences) of the rounded program, and its lower bound; `counts` by
+    length, those of full length left out."""
+    if not counts.any():
+        return [], 0.0
+    fillings, bound = fractional(counts, cfg)
+    full = [
+        (f, int(cfg.keep * amount)) for f, amount in fillings.items()
+        if sum(n * k for n, k in f) == cfg.capacity and cfg.keep * amount >= 1
+    ]
+    return sorted(full, key=lambda x: (-x[1], x[0])), bound
+
+
+def make_plan(counts: np.ndarray, cfg: PackConfig, fillings: list[tuple[tuple, int]] | None = None) -> Plan:
+    """Runs that place every piece counted in `counts` (index: length).
+
+    `fillings` are used as often as they say, as far as there are pieces; those of the rounded
+    program unless given.
+    """
     plan = Plan()
     left = counts.astype(np.int64).copy()
     placed = np.zeros_like(left)
     full = int(left[cfg.capacity])
     left[cfg.capacity] = 0
-    if left.any():
-        fillings, plan.bound = fractional(left, cfg)
-        for filling, amount in sorted(fillings.items(), key=lambda x: (-x[1], x[0])):
-            copies = min([int(amount), *[int(left[n]) // k for n, k in filling]])
-            if copies:
-                offset = 0
-                for n, k in filling:
-                    plan.runs.append((n, int(placed[n]), copies * k, k, plan.sequences, offset))
-                    placed[n], left[n] = placed[n] + copies * k, left[n] - copies * k
-                    offset += n * k
-                plan.sequences += copies
-        _best_fit(plan, left, placed, cfg.capacity)
+    if fillings is None:
+        fillings, plan.bound = whole_fillings(left, cfg)
+    for filling, wanted in fillings:
+        copies = min([wanted, *[int(left[n]) // k for n, k in filling]])
+        if copies:
+            offset = 0
+            for n, k in filling:
+                plan.runs.append((n, int(placed[n]), copies * k, k, plan.sequences, offset))
+                placed[n], left[n] = placed[n] + copies * k, left[n] - copies * k
+                offset += n * k
+            plan.sequences += copies
+    _best_fit(plan, left, placed, cfg.capacity)
     if full:
         plan.runs.append((cfg.capacity, 0, full, 1, plan.sequences, 0))
         plan.sequences += full
@@ -223,11 +244,7 @@ def token_pieces(
 def place_pieces(pieces: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame:
     """Add sequence_id and offset to stored `pieces` (..., length, part, nth)."""
     held = stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
-    histogram = held.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most `capacity` rows
-    counts = np.zeros(cfg.capacity + 1, np.int64)
-    for row in histogram:
-        counts[row["length"]] = row["n"]
-    plan = make_plan(counts, cfg)
+    plan = make_plan(_counts(held, cfg), cfg)
     runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 6)
     shipped = pieces.sparkSession.sparkContext.broadcast(runs)
 
@@ -248,6 +265,14 @@ def place_pieces(pieces: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame
     )
 
 
+def _counts(held: DataFrame, cfg: PackConfig) -> np.ndarray:
+    """Number of pieces by length, from (length, n); at most `capacity` rows come to the driver."""
+    counts = np.zeros(cfg.capacity + 1, np.int64)
+    for row in held.groupBy("length").agg(F.sum("n").alias("n")).collect():
+        counts[row["length"]] = row["n"]
+    return counts
+
+
 SPAN = 1 << 50  # above any number of pieces
 
 
@@ -289,9 +314,10 @@ def pack_in_order(
 ) -> DataFrame:
     """As `pack_documents`, with sequences in the order of their documents.
 
-    Each `window` consecutive pieces are packed by a plan of their own, so a sequence holds pieces of
-    one window only; sequences are numbered by windows, then by their first piece in `order`. The
-    columns of `order` should tell rows apart: rows that tie take some order.
+    Each `window` consecutive pieces are packed by themselves, so a sequence holds pieces of one
+    window only; sequences are numbered by windows, then by their first piece in `order`. The
+    fillings of the program over all lengths are dealt to the windows in turn. The columns of
+    `order` should tell rows apart: rows that tie take some order.
     """
     pieces = token_pieces(df, tokenizer, end_id, cfg.capacity, text_col, id_col, order).drop("part", "nth")
     places = [c for c in pieces.columns if c.startswith("_order")]
@@ -300,11 +326,17 @@ def pack_in_order(
         "window", F.floor(F.col("rank_before") / cfg.window).cast("long")
     )
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", "window"]
+    counts = _counts(pieces.groupBy("length").agg(F.count("*").alias("n")), cfg)
+    windows = max(-(-int(counts.sum()) // cfg.window), 1)
+    counts[cfg.capacity] = 0
+    shipped = pieces.sparkSession.sparkContext.broadcast(whole_fillings(counts, cfg)[0])
 
     def placed(table: pa.Table) -> pa.Table:
         table = table.sort_by("rank_before")
         n = table["length"].to_numpy()
-        plan = make_plan(np.bincount(n, minlength=cfg.capacity + 1), cfg)
+        w = table["window"][0].as_py()
+        own = [(f, copies * (w + 1) // windows - copies * w // windows) for f, copies in shipped.value]
+        plan = make_plan(np.bincount(n, minlength=cfg.capacity + 1), cfg, own)
         runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 6)
         by_length = np.argsort(n, kind="stable")
         nth = np.empty(len(n), np.int64)  # rank among the pieces of its length
@@ -315,16 +347,13 @@ def pack_in_order(
         out = table.select(kept)
         return out.append_column("nth", pa.array(number)).append_column("offset", pa.array(offset))
 
-    windows = -(-pieces.count() // cfg.window)
-    dealt = ranked.repartition(min(max(windows, 1), 4_096), "window").groupBy("window")
     kind = pieces.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, window long, nth long, offset long"
     )
-    packed = stored(dealt.applyInArrow(placed, schema), "packed")
+    packed = stored(ranked.groupBy("window").applyInArrow(placed, schema), "packed")
     totals = packed.groupBy("window").agg((F.max("nth") + 1).alias("n"))  # a row per window
-    before = W.orderBy("window").rowsBetween(W.unboundedPreceding, -1)
-    bases = totals.select("window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = running_totals(totals, ["window"], ["n"]).select("window", F.col("n_before").alias("base"))
     return packed.join(bases, "window").select(
         *kept[:-1], (F.col("base") + F.col("nth")).alias("sequence_id"), "offset"
     )

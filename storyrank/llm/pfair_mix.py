@@ -7,6 +7,10 @@ source runs a blocks, and no source is ever a whole block from its share. So the
 period is worked out once, and every block finds its slot by arithmetic. When a source has no
 block left its slots are skipped and the others go on by their weights; no row is dropped.
 (Baruah et al., 1996.)
+
+Given weights are scheduled as they are, without rounding, as long as one period of them is short
+enough to be worked out (`MixConfig.exact_slots`); without given weights the target is the square
+root of each source's size, in whole shares of `MixConfig.period`.
 """
 
 from __future__ import annotations
@@ -23,10 +27,14 @@ from storyrank.sources.scratch import stored
 
 @dataclass(frozen=True)
 class MixConfig:
-    """`period`: about how many slots a period has; weights are whole shares of it. A source gets
-    one slot at least, so it may have as many sources. `block_bytes`: size of a block."""
+    """`period`: about how many slots a period has where weights are rounded to whole shares of it, one
+    slot at least each. `exact_slots`, `exact_cells`: given weights are kept as they are while their sum
+    over their common divisor, and that times the sources, does not pass these. `block_bytes`: size
+    of a block."""
 
     period: int = 240
+    exact_slots: int = 8_192
+    exact_cells: int = 2_000_000
     block_bytes: int = 65_536
 
 
@@ -47,6 +55,41 @@ def whole_shares(weights: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     )
 
 
+def _divisor(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two whole numbers below 2^63, by Euclid."""
+    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    step = lambda s, _: F.when(
+        s["b"] > 0, F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))
+    ).otherwise(s)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"])
+
+
+def exact_shares(weights: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
+    """(sources, shares): the given weights themselves, divided by what they have in common.
+
+    Weights whose period is too long to be worked out become whole shares of up to 4,096 slots. A
+    weight below one counts as one.
+    """
+    positive = weights.withColumn("weight", F.greatest("weight", F.lit(1)))
+    listed = positive.groupBy().agg(
+        F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("all"),
+        F.sum(F.col("weight").cast("double")).alias("total"),
+    )
+    divisor = F.aggregate("all", F.lit(0).cast("long"), lambda g, x: _divisor(x["weight"], g))
+    row = listed.withColumn("divisor", F.greatest(divisor, F.lit(1)))
+    slots, sources = F.col("total") / F.col("divisor"), F.greatest(F.size("all"), F.lit(1))
+    fits = (slots <= cfg.exact_slots) & (slots * sources <= cfg.exact_cells)
+    exact = F.transform("all", lambda x: F.when(fits, F.floor(x["weight"] / F.col("divisor"))).otherwise(1).cast("int"))
+    longer = F.least(F.lit(4_096), F.greatest(F.lit(cfg.period), F.floor(cfg.exact_cells / sources)))
+    share = F.transform(
+        "all", lambda x: F.greatest(F.rint(longer * (x["weight"] / F.col("total"))), F.lit(1.0)).cast("int")
+    )
+    return row.select(
+        F.transform("all", lambda x: x["source"]).alias("sources"),
+        F.when(fits, exact).otherwise(share).alias("shares"),
+    )
+
+
 def period_schedule(shares: DataFrame) -> DataFrame:
     """(source, nth, slot, share, period, release, deadline): one row per slot of a period.
 
@@ -143,14 +186,16 @@ def _placed(rows: DataFrame, weights: DataFrame | None, cfg: MixConfig) -> DataF
     order = [c for c in rows.columns if c.startswith("_order")]
     narrow = rows.select("uid", "source", "size", *order)
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("bytes"))
-    if weights is None:
+    given = weights
+    if given is None:
         weights = root_weights(sizes)
     else:
-        given = weights.select(F.col("source").alias("_source"), F.col("weight").cast("long"))
-        weights = sizes.join(given, F.col("source").eqNullSafe(F.col("_source")), "full_outer").select(
+        named = given.select(F.col("source").alias("_source"), F.col("weight").cast("long"))
+        weights = sizes.join(named, F.col("source").eqNullSafe(F.col("_source")), "full_outer").select(
             F.coalesce("source", "_source").alias("source"), F.coalesce("weight", F.lit(1)).alias("weight")
         )
-    schedule = stored(period_schedule(whole_shares(weights, cfg)), "schedule")
+    shares = whole_shares(weights, cfg) if given is None else exact_shares(weights, cfg)
+    schedule = stored(period_schedule(shares), "schedule")
     per_source = schedule.select("source", "share", "period").distinct()
     block = F.floor(F.col("size_before") / cfg.block_bytes).cast("long")
     blocks = running_totals(narrow, [*order, "uid"], ["size"], group="source").withColumn("block", block)

@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,44 @@ def test_given_weights_and_sources_without_rows(spark):
     assert Counter(r["source"] for r in found[:24]) == {"b": 18, "a": 6}
 
 
+@pytest.mark.parametrize(
+    "weights",
+    [[577] + [187] * 19, [999_000] + [1_000] * 399, [1], [3, 5, 7], [10**15, 10**15, 3 * 10**15], [4_000, 1]],
+)
+def test_no_source_is_a_block_from_its_given_weight(spark, weights):
+    given = spark.createDataFrame([(f"s{i:03d}", w) for i, w in enumerate(weights)], "source string, weight long")
+    slots = sorted(mix.period_schedule(mix.exact_shares(given)).collect(), key=lambda r: r["slot"])
+    total = sum(weights)
+    assert [r["slot"] for r in slots] == list(range(len(slots)))
+    done = np.zeros(len(weights), np.int64)
+    share = np.array(weights, object)
+    for at, r in enumerate(slots, 1):
+        done[int(r["source"][1:])] += 1
+        # exact: |done - at w / W| < 1, in whole numbers
+        assert all(abs(int(d) * total - at * w) < total for d, w in zip(done, share))
+    # after one period every source stands at its share, so nothing drifts in the next
+    assert all(int(d) * total == len(slots) * w for d, w in zip(done, share))
+
+
+def test_weights_of_a_long_period_are_rounded(spark):
+    weights = [1_000_003, 999_983, 7]
+    given = spark.createDataFrame([(f"s{i}", w) for i, w in enumerate(weights)], "source string, weight long")
+    shares = mix.exact_shares(given).first()["shares"]
+    assert shares == [round(4_096 * w / sum(weights)) or 1 for w in weights]
+    assert mix.exact_shares(given.limit(0)).first()["shares"] == []
+
+
+def test_mix_of_given_weights_as_they_are(spark):
+    rows = [(i, "x" * 9, "en", "a" if i < 700 else f"b{i % 30}", 9) for i in range(1_000)]
+    pairs = [("a", 700)] + [(f"b{i}", 10) for i in range(30)]
+    weights = spark.createDataFrame(pairs, "source string, weight long")
+    found = mix.mix_sources(spark.createDataFrame(rows, DOCUMENTS), weights, cfg=mix.MixConfig(block_bytes=10))
+    seen = Counter()
+    for at, r in enumerate(found.orderBy("position").collect(), 1):
+        seen[r["source"]] += 1
+        assert abs(seen["a"] - 0.7 * at) < 1
+
+
 def test_mix_of_hard_rows(spark):
     found = mix.mix_sources(frame(spark)).collect()
     assert sorted(r["position"] for r in found) == list(range(len(ROWS)))

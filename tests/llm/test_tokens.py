@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 
 import numpy as np
@@ -116,6 +117,24 @@ def test_best_filling_is_the_best():
         assert abs(sum(worth[n] * k for n, k in filling.items()) - value) < 1e-9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_plan_needs_no_more_sequences_than_best_fit(spark, sf_dir, sf):
+    """On the documents, against plain best-fit-decreasing piece by piece."""
+    docs = spark.read.parquet(f"{sf_dir}/../{sf}/documents.parquet").select("text").collect()
+    plain = Tokenizer.from_file(public_tokenizers.path(BYTE))
+    lengths = []
+    for e in plain.encode_batch([r["text"] or "" for r in docs], add_special_tokens=False):
+        n = len(e.ids) + 1
+        lengths += [1024] * (n // 1024) + [n % 1024] * (n % 1024 > 0)
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else 1024
+        bisect.insort(rooms, room - n)
+    plan = packing.make_plan(np.bincount(lengths, minlength=1025), packing.PackConfig())
+    assert sum(lengths) / 1024 <= plan.sequences <= len(rooms)
+
+
 @pytest.mark.parametrize("n", [1, 40, 3000, 200_000])
 def test_plan_places_all_in_few_sequences(n):
     rng = np.random.default_rng(n)
