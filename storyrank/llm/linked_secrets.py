@@ -11,9 +11,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -95,11 +97,16 @@ def weak_spans(text: str, strong: list[tuple[str, int, int]], cfg: LinkConfig) -
         found += [("ident", *m.span()) for m in IDENT.finditer(text) if not _names_secret(text, m.start())]
     addresses = [m.span() for m in ADDRESS.finditer(text)] if "://" in text else []
     if _has(lower, ("host", "endpoint", "server")):
-        servers = (m.span() for m in SERVER.finditer(text))
-        addresses += [s for s in servers if not any(a <= s[0] < b for a, b in addresses)]
+        begins = [a for a, _ in addresses]
+        servers = [m.span() for m in SERVER.finditer(text)]
+        # addresses follow each other: only the last that begins before can reach over
+        inside = [i >= 0 and s[0] < addresses[i][1] for s in servers for i in [bisect_right(begins, s[0]) - 1]]
+        addresses += [s for s, hidden in zip(servers, inside) if not hidden]
     found += [("endpoint", *s) for s in addresses]
-    taken = [(a, b) for _, a, b in strong]
-    return [s for s in found if not any(a <= s[1] and s[2] <= b for a, b in taken)]
+    begins = [a for _, a, _ in strong]
+    reach = list(accumulate((b for _, _, b in strong), max))
+    covered = lambda s: (i := bisect_right(begins, s[1]) - 1) >= 0 and reach[i] >= s[2]
+    return [s for s in found if not covered(s)]
 
 
 def _names_secret(text: str, at: int) -> bool:
@@ -137,7 +144,7 @@ def _scan(batches: Iterator[pa.RecordBatch], cfg: LinkConfig) -> Iterator[pa.Rec
             digests.append(hashlib.sha256(joined(strong).encode()).hexdigest())
             parts.append([
                 {"kind": kind, "start": start, "stop": stop, "strong": here is strong,
-                 "section": sum(b < start for b in breaks)}
+                 "section": bisect_left(breaks, start)}
                 for here in (strong, weak) for kind, start, stop in here
             ])
         uids = pa.array(range(uid, uid + batch.num_rows), pa.int64())
@@ -162,7 +169,8 @@ def scan_texts(
 
 
 def linked_parts(scans: DataFrame, cfg: LinkConfig = LinkConfig()) -> DataFrame:
-    """(uid, kind, start, stop) of weak parts with a partner of another role in reach.
+    """(uid, kind, start, stop) of weak parts with a partner of another role in reach, one of the two
+    being a secret: an identifier and an endpoint alone give nothing away.
 
     Both sides of the interval join are dealt by text and section and by bins as wide as the
     reach; a part lies in the bins that its interval touches, a weak one also asks the bins beside
@@ -189,7 +197,8 @@ def linked_parts(scans: DataFrame, cfg: LinkConfig = LinkConfig()) -> DataFrame:
     met = asking.alias("a").join(
         partners.alias("b"),
         (F.col("a.uid") == F.col("b.uid")) & (F.col("a.section") == F.col("b.section"))
-        & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.role") != F.col("b.other")) & near,
+        & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.role") != F.col("b.other"))
+        & ((F.col("a.role") == "secret") | (F.col("b.other") == "secret")) & near,
         "left_semi",
     )
     return met.select("uid", "kind", "start", "stop").distinct()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -161,7 +162,9 @@ def linked(text, reach=256):
     kept = [
         w for w in weak
         if any(
-            secrets.ROLES[w[0]] != secrets.ROLES[o[0]] and section(w[1]) == section(o[1])
+            secrets.ROLES[w[0]] != secrets.ROLES[o[0]]
+            and "secret" in (secrets.ROLES[w[0]], secrets.ROLES[o[0]])
+            and section(w[1]) == section(o[1])
             and o[1] <= w[2] + reach and o[2] >= w[1] - reach
             for o in every
         )
@@ -217,3 +220,35 @@ def test_key_pattern_takes_linear_time():
 def test_secrets_of_hard_rows(spark):
     assert secrets.find_secrets(frame(spark)).count() == len(ROWS)
     assert secrets.find_secrets(spark.createDataFrame([], DOCUMENTS)).count() == 0
+
+
+def test_parts_without_a_secret_are_not_reported(spark):
+    texts = ["account: alice\nsee https://example.org/a", "account: alice password: hunter22x https://example.org/a"]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.find_secrets(frame(spark, rows)).collect()}
+    assert found[0] == [] and sorted(found[1]) == ["assign", "endpoint", "ident"]
+
+
+def test_a_long_log_is_scanned_in_linear_time():
+    block = "".join(
+        f"https://h{i}.example.com/a host: server{i}\nuser: user{i} password=abcdef{i} host: x{i}\n\n" for i in range(50_000)
+    )
+    start = time.perf_counter()
+    strong = secrets.strong_spans(block)
+    weak = secrets.weak_spans(block, strong, secrets.LinkConfig())
+    assert len(block) > 4_000_000 and len(strong) == 50_000 and len(weak) == 200_000
+    assert time.perf_counter() - start < 30
+
+
+def test_covered_weak_spans_equal_comparing_all():
+    rng = random.Random(8)
+    pieces = ["host: a.b", "https://c.d/host:x", "token=https://e.f", "user=abc", "password: user=abc9", "\n\n", " "]
+    for _ in range(60):
+        text = " ".join(rng.choices(pieces, k=30))
+        strong = secrets.strong_spans(text)
+        addresses = [m.span() for m in secrets.ADDRESS.finditer(text)]
+        servers = [m.span() for m in secrets.SERVER.finditer(text)]
+        ends = addresses + [s for s in servers if not any(a <= s[0] < b for a, b in addresses)]
+        want = sorted(s for s in ends if not any(a <= s[0] and s[1] <= b for _, a, b in strong))
+        got = secrets.weak_spans(text, strong, secrets.LinkConfig())
+        assert sorted((a, b) for kind, a, b in got if kind == "endpoint") == want
