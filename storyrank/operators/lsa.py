@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from storyrank.config import LookupConfig, LsaConfig
 from storyrank.functions import vectors
 from storyrank.operators.features import tfidf_long, tfidf_rows
+from storyrank.operators.lookup import lookup
 from storyrank.operators.prefix import running_totals
 from storyrank.sources.scratch import stored
 
@@ -242,6 +243,40 @@ class _Basis:
         return self.numbered.select("number", "term").join(rows, "number").select("term", "loading")
 
 
+def project(
+    words: DataFrame,
+    terms: DataFrame,
+    basis: DataFrame,
+    cfg: LsaConfig = LsaConfig(),
+    lookup_cfg: LookupConfig = LookupConfig(),
+) -> DataFrame:
+    """Rows of new posts (id_str, words, ...) in a fitted space: input columns but `words`, plus `lsa`.
+
+    `terms` (term, idf) and `basis` (term, loading) are those of the fit, so a post of the fit gets its
+    row again. Posts without a term of the vocabulary get a zero row. A basis of proven size travels to
+    the posts; the words of a larger one are joined, and a post adds up a row for each of its terms.
+    """
+    table = stored(terms.select("term", "idf").join(basis, "term"), "lsa-terms")
+    head = table.select("loading").first()
+    if head is None:
+        raise ValueError("the basis has no term")
+    width = len(head["loading"])
+    if table.count() * width * 8 <= cfg.max_block_bytes:
+        known = table.orderBy("term").toArrow()
+        loadings = words.sparkSession.sparkContext.broadcast(_list_to_rows(known["loading"].combine_chunks()))
+        return _project(tfidf_rows(words, known), loadings, np.eye(width))
+    keyed = stored(words.withColumn("_doc", F.monotonically_increasing_id()), "lsa-words")
+    own = keyed.select(F.col("_doc").alias("id_str"), "words")
+    weights = tfidf_long(own, table.select("term", "idf"), lookup_cfg, small=False)
+    cells = lookup(weights, table.select("term", "loading"), ["term"], lookup_cfg, small=False)
+    part = F.transform("loading", lambda x: x * F.col("weight"))
+    total = Summarizer.sum(array_to_vector(part))
+    summed = cells.groupBy(F.col("id_str").alias("_doc")).agg(vector_to_array(total).alias("sum"))
+    blank = F.array_repeat(F.lit(0.0), width)
+    rows = keyed.drop("words").join(summed, "_doc", "left")
+    return rows.withColumn("lsa", vectors.unit(F.coalesce("sum", blank))).drop("_doc", "sum")
+
+
 # --------------------------------------------------------------------------- products
 
 

@@ -17,6 +17,7 @@ from storyrank.plans import hot_news as plan
 from storyrank.plans import views
 from storyrank.plans.oracle import ORACLES as BASE_ORACLES
 from storyrank.plans.oracle import _sql
+from storyrank.sources import models
 from storyrank.sources import news as news_source
 from storyrank.sources.scratch import scratch_path
 from storyrank.streaming import ingest
@@ -73,7 +74,19 @@ def _source_topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 @query
 def topic_fold_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of the source topics in every post after five steps, and which is the largest."""
+    return _folded(*_source_topics(spark, sf_dir))
+
+
+@query
+def saved_topics_fold_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `topic_fold_in`, with the topics written as a model and loaded again."""
     docs, table = _source_topics(spark, sf_dir)
+    path = scratch_path(spark, "topic-model")
+    models.save_model(spark, path, {"topics": table}, {"steps": _STEPS})
+    return _folded(docs, models.load_model(spark, path).tables["topics"])
+
+
+def _folded(docs: DataFrame, table: DataFrame) -> DataFrame:
     names = F.sort_array(F.lit([r["topic"] for r in table.select("topic").distinct().collect()]))
     mixed = topics.fold_in(docs, table, _STEPS)
     long = mixed.select("id_str", F.col("topic").alias("largest"), F.posexplode("mix").alias("at", "share"))
@@ -120,7 +133,7 @@ SELECT id_str, topic, round(s, 6) AS share,
   row_number() OVER (PARTITION BY id_str ORDER BY round(s, 9) DESC, topic) = 1 AS best FROM share{_STEPS}"""
 
 
-ORACLES["topic_fold_in"] = _fold_oracle()
+ORACLES["topic_fold_in"] = ORACLES["saved_topics_fold_in"] = _fold_oracle()
 ORACLES["heaviest_words"] = _topic_tables() + f"""
 SELECT topic, CAST(rank AS INTEGER) AS rank, term, round(weight, 9) AS weight FROM (
   SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 9) DESC, term) AS rank FROM phi)
@@ -234,6 +247,27 @@ def stream_dedup_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["stream_dedup_bounded"] = BASE_ORACLES["stream_ingest"]
 
 
+@query
+def backfill_then_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English posts land as pages of 200 and are loaded page by page, some before a restart; then all
+    posts come in live with other counts."""
+    rows = views.news(spark, sf_dir)
+    base = scratch_path(spark, "backfill")
+    table, live = f"{base}/news", f"{base}/live"
+    english = views.status_lines(rows.filter(F.col("lang") == "en").orderBy("seq"))
+    for half in (0, 1):
+        page = english.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == half).coalesce(1)
+        page.write.mode("append").option("maxRecordsPerFile", 200).text(f"{base}/pages")
+        ingest.backfill_pages(spark, f"{base}/pages", table, f"{base}/pages-done", pages_per_load=8).awaitTermination()
+    views.status_lines(rows, extra_reposts=1).write.text(live)
+    source = ingest.landed_stream(spark, live)
+    ingest.ingest_stream(source, table, f"{base}/live-done", available_now=True).awaitTermination()
+    return news_source.read_news(spark, table).select("id_str", "tweet", "ctime", "rt_cnt")
+
+
+ORACLES["backfill_then_live"] = BASE_ORACLES["stream_ingest"]
+
+
 @query
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a run, each taken on a pass that the run makes anyway: lines and rejects by reason,

@@ -72,6 +72,34 @@ def ingest_stream(
     return writer.trigger(processingTime=interval).start()
 
 
+# loads of a backfill come before those of the live stream that follows it
+BACKFILL_LOADS = -(1 << 40)
+
+
+def backfill_pages(
+    spark: SparkSession,
+    pages: str,
+    table: str,
+    checkpoint: str,
+    pages_per_load: int = 1,
+    rejects: str | None = None,
+    members: MemberConfig = MemberConfig(),
+) -> StreamingQuery:
+    """Load landed pages, one file of statuses each, oldest first, and end with the last one.
+
+    The checkpoint records every page that is done: a run that was stopped goes on with the page
+    after, and one that starts when nothing has landed since does nothing. The live stream of
+    `ingest_stream` on the same table follows when this has ended; ids of both meet in the table.
+    """
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        ingest_batch(batch, table, rejects, BACKFILL_LOADS + batch_id, members=members)
+
+    lines = landed_stream(spark, pages, pages_per_load)
+    writer = lines.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
 

@@ -200,6 +200,43 @@ def test_position_follows_arrival_without_a_sort(spark, tmp_path):
     assert order == list(range(60))
 
 
+@pytest.mark.parametrize("stop", [0, 1, 2, 3])
+def test_a_backfill_stopped_after_any_page_resumes(spark, tmp_path, monkeypatch, stop):
+    pages, table = str(tmp_path / "pages"), str(tmp_path / "news")
+    for n in range(4):
+        land(pages, f"page{n}.json", [status(i, n) for i in range(5 * n, 5 * n + 7)], at=1_000_000_000 + n)
+
+    def run():
+        return ingest.backfill_pages(spark, pages, table, str(tmp_path / "done"))
+
+    done = []
+    whole = ingest.ingest_batch
+
+    def breaking(*args, **more):
+        if len(done) == stop:
+            raise OSError("stopped")
+        whole(*args, **more)
+        done.append(args)
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "ingest_batch", breaking)
+        with pytest.raises(Exception, match="stopped"):
+            run().awaitTermination()
+    m = monkeypatch
+    again = []
+    m.setattr(ingest, "ingest_batch", lambda *a, **b: again.append(a) or whole(*a, **b))
+    run().awaitTermination()
+    run().awaitTermination()
+    assert len(again) == 4 - stop
+    want = {}
+    for n in range(4):
+        for i in range(5 * n, 5 * n + 7):
+            want.setdefault(str(i), n)
+    assert kept(spark, table) == sorted(want.items())
+    order = [int(r["id_str"]) for r in news.read_news(spark, table).orderBy("seq").collect()]
+    assert order == list(range(22))
+
+
 def test_bounded_stream_forgets_ids_past_the_bound(spark, tmp_path):
     landing, table = str(tmp_path / "landing"), str(tmp_path / "posts")
     hour, start = 3_600, 1_000_000_000
