@@ -199,7 +199,7 @@ def _warc_oracle() -> str:
             lambda x: x NOT LIKE '%: '),
         list_transform(string_split(http, crlf), lambda x: 'http-header: ' || x),
         list_transform(regexp_extract_all(page, {quoted(warc_derive.LINK)}, 1),
-            lambda x: 'outlink: ' || replace(x, '&amp;', '&')), [''])"""
+            lambda x: 'outlink: ' || replace({strip('x', warc_derive.NOT_LINK)}, '&amp;', '&')), [''])"""
     return f"""
 WITH pages_in AS (
   SELECT page_id, url, {page} AS page, 'sha256:' || sha256(coalesce(html, '')) AS source,

@@ -28,11 +28,16 @@ HIDDEN = (
     r"(?is)<script\b[^>]*>.*?(?:</script[^>]*>|\z)",
     r"(?is)<style\b[^>]*>.*?(?:</style[^>]*>|\z)",
 )
+
 BREAK = rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>"
 TAG = r"<[!/?a-zA-Z][^>]*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 LANGUAGE = r"""(?i)<html\b[^>]*\blang[ ]*=[ ]*["']?([a-z-]+)"""
-LINK = r"""(?i)<a[ \t\r\n][^>]*?href[ ]*=[ ]*["']([^"']*)"""
+LINK = (
+    r"""(?i)<a(?:[ \t\r\n][^>]*?)?[ \t\r\n]href[ \t\r\n]*=[ \t\r\n]*("[^"]*"|'[^']*'|[^ \t\r\n"'>]+)"""
+)
+# what an address does not hold: its quotes, tabs and line ends
+NOT_LINK = """^["']|["']$|[\t\r\n]+"""
 CRLF = "\r\n"
 
 
@@ -118,7 +123,9 @@ def derive_records(responses: DataFrame) -> DataFrame:
             lambda f: ~f.endswith(": "),
         ),
         F.transform(F.split("http", CRLF), lambda h: F.concat(F.lit("http-header: "), h)),
-        F.transform(links, lambda h: F.concat(F.lit("outlink: "), F.replace(h, F.lit("&amp;"), F.lit("&")))),
+        F.transform(links, lambda h: F.concat(
+            F.lit("outlink: "), F.replace(F.regexp_replace(h, NOT_LINK, ""), F.lit("&amp;"), F.lit("&"))
+        )),
     )
     record = lambda kind, media, block: F.struct(
         F.lit(kind).alias("kind"), F.lit(media).alias("media"), block.alias("block")

@@ -52,6 +52,24 @@ def test_records_of_hard_pages(spark):
     assert all(sorted(set(v)) == ["conversion", "metadata"] for v in linked.values())
 
 
+def test_links_of_plain_pages(spark):
+    page = (
+        """<a href="/o'neil">x</a><a data-href="/no" href="/yes">x</a><A\tclass=b href\t=\n/unquoted>x</a>"""
+        """<a href='/a"b'>x</a><a href="/split\r\nWARC-Type: x">x</a><a name="href=/not">x</a><abbr href="/no">x</abbr>"""
+        """<a href="">x</a><a href="/q?a=1&amp;b=2">x</a>"""
+    )
+    block = next(r["block"] for r in derived(spark, [(1, "http://a/", page)]).collect() if r["record_type"] == "metadata")
+    links = [line.removeprefix("outlink: ") for line in block.split("\r\n") if line.startswith("outlink: ")]
+    assert links == ["/o'neil", "/yes", "/unquoted", '/a"b', "/splitWARC-Type: x", "", "/q?a=1&b=2"]
+    assert not any(line.startswith("WARC-") for line in block.split("\r\n"))
+
+
+def test_blanks_of_text(spark):
+    page = "a \t b\u00a0c&nbsp;&nbsp;d\r\n e\f<br> \t<P >f  g</P\n>&#9;h&#10;i"
+    block = next(r["block"] for r in derived(spark, [(1, "u", page)]).collect() if r["record_type"] == "conversion")
+    assert block == "a b c d e\nf g\nh\ni"
+
+
 def read_warc(data: bytes):
     """Records of a WARC file, by the lengths in their headers."""
     while data:
