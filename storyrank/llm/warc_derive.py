@@ -29,7 +29,16 @@ HIDDEN = (
     r"(?is)<style\b[^>]*>.*?(?:</style[^>]*>|\z)",
 )
 
-BREAK = rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>"
+
+def _by_first_letter(words: str) -> str:
+    """The same alternatives, tried by their first letter."""
+    groups: dict[str, list[str]] = {}
+    for word in words.split("|"):
+        groups.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
+
+
+BREAK = rf"(?i)</?(?:{_by_first_letter(BLOCK_TAGS)})\b[^>]*>"
 TAG = r"<[!/?a-zA-Z][^>]*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 LANGUAGE = r"""(?i)<html\b[^>]*\blang[ ]*=[ ]*["']?([a-z-]+)"""
@@ -59,9 +68,10 @@ def visible(page: Column) -> Column:
 def plain_text(page: Column) -> Column:
     """Text of a page whose hidden parts are gone: one line per block, single blanks. Line ends of
     the source are blanks."""
-    text = F.regexp_replace(page, "[ \t\r\n\f]+", " ")
+    text = F.regexp_replace(page, "[\t\r\n\f]", " ")
     text = F.regexp_replace(F.regexp_replace(text, BREAK, "\n"), TAG, "")
-    text = F.regexp_replace(unescaped(text), "[ \t\r\f ]+", " ")
+    # single blanks, which are most, are not touched
+    text = F.regexp_replace(unescaped(text), "[ \t\r\f\u00a0]{2,}|[\t\r\f\u00a0]", " ")
     return F.trim(F.regexp_replace(text, " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
