@@ -346,13 +346,14 @@ def test_scratch_is_the_configured_folder(spark):
 
 def test_whole_job_writes_every_report(spark, sf_dir, tmp_path):
     from storyrank.plans import views
-    from storyrank.plans.reports import write_reports
+    from storyrank.plans.reports import write_reports, write_side_branches
+    from storyrank.sources.models import load_model
 
     table, out = str(tmp_path / "news"), str(tmp_path / "out")
     rows = views.news(spark, sf_dir)
     ingest.ingest_batch(views.status_lines(rows), table, arrival=())
     stored_news = news.read_news(spark, table)
-    write_reports(stored_news, out)
+    found = write_reports(stored_news, out)
     n = stored_news.count()
     assert spark.read.parquet(f"{out}/cleaned").count() == n
     members = spark.read.parquet(f"{out}/cluster_members")
@@ -367,6 +368,20 @@ def test_whole_job_writes_every_report(spark, sf_dir, tmp_path):
     assert final.columns == ["tweet", "ctime", "rt_cnt"] and final.count() == 2
     assert spark.read.option("header", True).csv(f"{out}/cluster_terms").count() == 25
 
+    write_side_branches(found, out)
+    assert spark.read.option("header", True).csv(f"{out}/topic_words").count() == 25
+    texts = members.count()
+    for name in ("posts", "distances"):
+        assert spark.read.parquet(f"{out}/map_{name}").count() == texts
+    flat = spark.read.parquet(f"{out}/map_words")
+    assert flat.columns == ["word", "x", "y"]
+    assert flat.count() == load_model(spark, f"{out}/models/words").tables["vectors"].count()
+    for name in ("words", "phrases"):
+        similar = spark.read.parquet(f"{out}/similar_{name}")
+        assert similar.groupBy("example").count().collect()[0]["count"] == 10
+    assert load_model(spark, f"{out}/models/topics").tables["topics"].select("topic").distinct().count() == 25
+    assert set(load_model(spark, f"{out}/models/lsa").tables) == {"terms", "basis"}
+
 
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     class Context:
