@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storyrank.llm.common import small_batches
-from storyrank.llm.tokens import TokenizerSpec, encoder
+from storyrank.llm.common import BATCH_BYTES, BATCH_ROWS, small_batches
+from storyrank.llm.tokens import ENCODED_TOGETHER, TokenizerSpec, encoder
 from storyrank.operators.prefix import running_totals
 from storyrank.sources.scratch import stored
 
@@ -190,13 +190,15 @@ def token_pieces(
     text_col: str = "text",
     id_col: str = "doc_id",
     order: Sequence[str] = (),
+    together: tuple[int, str] = (BATCH_ROWS, BATCH_BYTES),
 ) -> DataFrame:
     """Stored pieces of all texts: doc_id, piece, start, length, ids_crc32, part, nth.
 
     `part` is the task that made a piece and `nth` its number among those of its length there. The
-    columns of `order` follow as _order0, _order1 and so on.
+    columns of `order` follow as _order0, _order1 and so on. Batches to encode have at most so many
+    rows and bytes as `together` says.
     """
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, *together)
     shipped = tokenizer.ship(df.sparkSession)
     places = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order)]
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *places)
@@ -300,7 +302,8 @@ def pack_documents(
     document ids are kept as they are; an empty table gives an empty result. Sequences are numbered
     without gaps, those filled by one piece come last.
     """
-    return place_pieces(token_pieces(df, tokenizer, end_id, cfg.capacity, text_col, id_col), cfg)
+    pieces = token_pieces(df, tokenizer, end_id, cfg.capacity, text_col, id_col, together=ENCODED_TOGETHER)
+    return place_pieces(pieces, cfg)
 
 
 def pack_in_order(

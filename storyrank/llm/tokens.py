@@ -25,6 +25,9 @@ _RUNS = rf"[{_SPACE}][{_SPACE}]|[\t\x0b-\r\x1c-\x1f\x{{85}}\x{{A0}}\x{{1680}}\x{
 # a letter or digit, then marks other than the apostrophe of short forms
 _TAIL = re.compile(r"(.*[^\W_])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
+# rows and bytes of a batch of texts to encode: each distinct piece is looked up once in a batch
+ENCODED_TOGETHER = 5_000, "16m"
+
 
 @dataclass(frozen=True)
 class TokenizerSpec:
