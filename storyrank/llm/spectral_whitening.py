@@ -364,7 +364,8 @@ def whitened(found: Whitening, column: Column) -> Column:
         )
         return made.take(pa.array(place, mask=place < 0))
 
-    return apply(column)
+    # so that a filter on the result does not make it twice
+    return apply.asNondeterministic()(column)
 
 
 def whiten(df: DataFrame, column: str = "embedding", cfg: WhitenConfig = WhitenConfig()) -> DataFrame:
