@@ -60,7 +60,10 @@ def write_token_files(
     small_batches(df.sparkSession)
     shipped = tokenizer.ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    # an id that many rows share, null too, is cut by text and row
+    place = ["id", "hash", "row"]
+    told = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = told.repartitionByRange(*place).sortWithinPartitions(*place).select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(shipped)

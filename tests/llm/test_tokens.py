@@ -150,3 +150,12 @@ def test_plan_places_all_in_few_sequences(n):
     assert (placed == counts).all() and used.max() <= 64 and used.min() > 0
     assert plan.sequences >= plan.bound - 1e-6
     assert plan.sequences <= 1.01 * plan.bound + 2
+
+
+def test_rows_of_one_id_are_dealt_to_many_parts(spark):
+    rows = [(None if i % 3 else 7, f"text {i}", "en", "a", 9) for i in range(3_000)]
+    folder = scratch_path(spark, "hot-ids")
+    parts = token_files.write_token_files(frame(spark, rows), folder, TokenizerSpec.read(public_tokenizers.path(WORD)), end_id=1)
+    assert sum(p.docs for p in parts) == 3_000 and max(p.docs for p in parts) < 1_000
+    read = token_files.read_token_files(spark, folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in read] == [None] * 2_000 + [7] * 1_000
