@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyrank.llm.common import small_batches
-from storyrank.llm.tokens import TokenizerSpec, encoder
+from storyrank.llm.tokens import ENCODED_TOGETHER, TokenizerSpec, encoder
 
 NULL_ID = -(1 << 63)
 PARTS = "part int, name string, docs long, tokens long, dtype string"
@@ -57,7 +57,7 @@ def write_token_files(
     of its own name and only those of the attempt that succeeded are listed, so retries and lost
     executors leave no wrong part. `folder` is a path all executors and the driver see.
     """
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, *ENCODED_TOGETHER)
     shipped = tokenizer.ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # an id that many rows share, null too, is cut by text and row
