@@ -155,7 +155,14 @@ def test_plan_places_all_in_few_sequences(n):
 def test_rows_of_one_id_are_dealt_to_many_parts(spark):
     rows = [(None if i % 3 else 7, f"text {i}", "en", "a", 9) for i in range(3_000)]
     folder = scratch_path(spark, "hot-ids")
-    parts = token_files.write_token_files(frame(spark, rows), folder, TokenizerSpec.read(public_tokenizers.path(WORD)), end_id=1)
+    spec = TokenizerSpec.read(public_tokenizers.path(WORD))
+    # parts of this size would otherwise be joined again
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        parts = token_files.write_token_files(frame(spark, rows), folder, spec, end_id=1)
+    finally:
+        spark.conf.unset(setting)
     assert sum(p.docs for p in parts) == 3_000 and max(p.docs for p in parts) < 1_000
     read = token_files.read_token_files(spark, folder).orderBy("start").collect()
     assert [r["doc_id"] for r in read] == [None] * 2_000 + [7] * 1_000
