@@ -551,6 +551,38 @@ def _unit_rows(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm == 0, 1.0, norm)
 
 
+def covariance(df: DataFrame, column: str) -> DataFrame:
+    """(i, j, value): covariance of the entries of an array column, divisor n - 1, in one pass.
+
+    Tasks add up products of differences to the first row, so that large means cost no digits; rows
+    without a vector are left out, all others have the length of the first. None below two rows.
+    """
+    points = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("x"))
+    first = points.first()
+    if first is None:
+        return df.sparkSession.createDataFrame([], "i int, j int, value double")
+    start = np.array(first["x"])
+    width = len(start)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width + 1, width + 1))
+        for batch in batches:
+            x = np.ones((batch.num_rows, width + 1))
+            if batch.num_rows:
+                x[:, :-1] = _list_to_rows(batch.column(0)) - start
+            total += x.T @ x
+        yield _numbered_rows(total)
+
+    total = _sum_rows(points.mapInArrow(partial, "i int, v array<double>"))
+    n = total[-1, -1]
+    if n < 2:
+        return df.sparkSession.createDataFrame([], "i int, j int, value double")
+    value = (total[:-1, :-1] - np.outer(total[-1, :-1], total[-1, :-1]) / n) / (n - 1)
+    i, j = np.indices(value.shape)
+    cells = pa.table({"i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "value": value.ravel()})
+    return df.sparkSession.createDataFrame(cells)
+
+
 def principal_components(df: DataFrame, column: str, k: int, output: str = "pca") -> DataFrame:
     """Project array column `column` on its `k` first principal components."""
     from pyspark.ml.feature import PCA

@@ -21,7 +21,7 @@ from storyrank.plans import hot_news as plan
 from storyrank.sources import models, reports
 from storyrank.sources.corpus import write_cleaned
 from storyrank.sources.news import read_news
-from storyrank.sources.scratch import stored
+from storyrank.sources.scratch import drop_scratch, stored
 
 
 def write_reports(
@@ -127,6 +127,7 @@ def main() -> None:
     cfg = PipelineConfig(clean=CleanConfig(lemmatise=lemmas is not None))
     found = write_reports(read_news(spark, args.news), args.output, cfg, lemmas, tags)
     write_side_branches(found, args.output, cfg, args.examples)
+    drop_scratch(spark)
 
 
 if __name__ == "__main__":

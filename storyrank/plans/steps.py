@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storyrank.config import TopicConfig
 from storyrank.functions import text
-from storyrank.operators import epochs, features, kmeans, nearest, rank, topics
+from storyrank.operators import cluster, embed, epochs, features, kmeans, lsa, nearest, rank, topics
 from storyrank.operators.clean import clean_posts
 from storyrank.operators.corpus import distinct_texts
 from storyrank.operators.metrics import metric_rows, stored_with_counts
@@ -227,6 +227,75 @@ FROM v, centres{_ROUNDS} c GROUP BY vec_id"""
 ORACLES["kmeans_replay"] = _kmeans_oracle()
 
 
+# -------------------------------------------------------- steps on given parameters
+
+
+@query
+def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariance of the entries of all vectors, the matrix that principal components come from."""
+    found = lsa.covariance(views.vectors(spark, sf_dir), "vector")
+    return found.select("i", "j", F.round("value", 8).alias("value"))
+
+
+ORACLES["covariance"] = """
+WITH dims AS MATERIALIZED (
+  SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings
+)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_samp(a.v, b.v), 8) AS value
+FROM dims a JOIN dims b ON a.vec_id = b.vec_id GROUP BY a.i, b.i"""
+
+_CENTRES = 4
+
+
+@query
+def centre_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten heaviest terms of given centres, where a term's loading is its weight in each source."""
+    _, table = _source_topics(spark, sf_dir)
+    names = sorted(r["topic"] for r in table.select("topic").distinct().collect())
+    cells = F.sort_array(F.collect_list(F.struct("topic", "weight")))
+    basis = table.groupBy("term").agg(F.transform(cells, lambda c: c["weight"]).alias("loading"))
+    given = [(c, [1.0 / (1 + abs(c - i)) for i in range(len(names))]) for c in range(_CENTRES)]
+    centres = spark.createDataFrame(given, "cluster int, centre array<double>")
+    found = cluster.cluster_top_terms(basis, centres)
+    return found.select("cluster", "rank", "term", F.round("weight", 8).alias("weight"))
+
+
+ORACLES["centre_terms"] = _topic_tables() + f"""
+SELECT CAST(cluster AS INTEGER) AS cluster, CAST(rank AS INTEGER) AS rank, term, round(weight, 8) AS weight FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, term) AS rank FROM (
+    SELECT c.range AS cluster, p.term, sum(p.weight / (1 + abs(c.range - t.i))) AS weight
+    FROM phi p JOIN (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS i FROM groups) t USING (topic), range({_CENTRES}) c
+    GROUP BY c.range, p.term)) WHERE rank <= 10"""
+
+
+@query
+def mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vector of every post for given word vectors: length, vowels and whether it begins with t;
+    words of three letters have none."""
+    docs = plan.build_corpus(views.posts(spark, sf_dir).select("id_str", "tweet", "seq")).select(
+        "id_str", text.split_words(F.col("clean")).alias("words")
+    )
+    word = F.col("word")
+    numbers = [F.length(word), F.length(F.regexp_replace(word, "[^aeiou]", "")), word.startswith("t").cast("int")]
+    known = docs.select(F.explode("words").alias("word")).distinct().filter(F.length("word") > 3)
+    given = known.select("word", F.array(*[n.cast("double") for n in numbers]).alias("vector"))
+    found = embed.document_vectors(plan.stored(given, "given-vectors"), docs)
+    return found.select("id_str", *[F.round(F.get("vector", F.lit(i)), 8).alias(f"v{i}") for i in range(3)])
+
+
+ORACLES["mean_vectors"] = _sql(
+    "SELECT c.id_str, "
+    + ", ".join(
+        f"round(coalesce(sum(CASE WHEN length(word) > 3 THEN {value} ELSE 0 END)::DOUBLE / nullif(count(word), 0), 0.0), 8) AS v{i}"
+        for i, value in enumerate(
+            ["length(word)", "length(regexp_replace(word, '[^aeiou]', '', 'g'))", "CAST(starts_with(word, 't') AS INTEGER)"]
+        )
+    )
+    + " FROM corpus c LEFT JOIN words w ON c.id_str = w.id_str GROUP BY c.id_str",
+    "words",
+)
+
+
 # ---------------------------------------------------------------------------- ingest
 
 

@@ -21,3 +21,9 @@ def children(spark: SparkSession, path: str) -> list[str]:
     if not system.exists(where):
         return []
     return [status.getPath().getName() for status in system.listStatus(where)]
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder; whether it was there."""
+    system, where = _located(spark, path)
+    return system.delete(where, True)

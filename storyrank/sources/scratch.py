@@ -12,11 +12,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from storyrank.sources import files
+
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 # folders made for local sessions that name none, by application
 _LOCAL_ROOTS: dict[str, str] = {}
 
+# what this process has named in the scratch folder, by application
+_NAMED: dict[str, list[str]] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
@@ -31,7 +36,16 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _NAMED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what this process has written to the scratch folder; tables still in use go too, so this
+    is the last step of a job. Returns how many folders there were."""
+    paths = _NAMED.pop(spark.sparkContext.applicationId, [])
+    return sum(files.remove(spark, path) for path in paths)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

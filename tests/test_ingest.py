@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storyrank.config import LookupConfig
 from storyrank.sources import corpus as corpus_files
-from storyrank.sources import news, reports
+from storyrank.sources import news, reports, scratch
 from storyrank.sources.members import MemberConfig, add_filters, hits, make_filter
 from storyrank.sources.scratch import scratch_root, stored
 from storyrank.streaming import ingest
@@ -344,6 +344,14 @@ def test_scratch_is_the_configured_folder(spark):
     assert stored(spark.range(5), "numbers").count() == 5
 
 
+def test_scratch_is_dropped_at_the_end(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_NAMED", {})
+    table = stored(spark.range(5), "numbers")
+    assert scratch.drop_scratch(spark) == 1 and scratch.drop_scratch(spark) == 0
+    with pytest.raises(Exception):
+        table.count()
+
+
 def test_whole_job_writes_every_report(spark, sf_dir, tmp_path):
     from storyrank.plans import views
     from storyrank.plans.reports import write_reports, write_side_branches
