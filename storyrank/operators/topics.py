@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,51 +21,183 @@ from storyrank.operators.lookup import lookup
 from storyrank.operators.topk import top_per_group
 from storyrank.sources.scratch import stored
 
+# posts that a task fits side by side
+DENSE_POSTS = 256
+# double steps of a post that are extrapolated
+EXTRAPOLATED = 200
+
 
 @dataclass(frozen=True)
 class Topics:
-    model: LDAModel
+    """`weights`: topics x terms, what a topic holds of each term. `prior`: one number for each topic.
+    `counts`: stored (id_str, idx, tf), positions in the vocabulary and their counts."""
+
+    weights: np.ndarray
+    prior: np.ndarray
     vocabulary: list[str]
     counts: DataFrame
 
 
 def count_vectors(words: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(id_str, features): term counts over a bounded vocabulary; empty rows drop out."""
+    """(id_str, idx, tf): term counts over a bounded vocabulary; empty rows drop out."""
     counter = CountVectorizerModel.from_vocabulary(
         vocabulary, inputCol="words", outputCol="features"
     )
-    counted = counter.transform(words).select("id_str", "features")
-    return counted.filter(F.size(F.unwrap_udt("features")["indices"]) > 0)
+    sparse = F.unwrap_udt("features")
+    counted = counter.transform(words).select("id_str", sparse["indices"].alias("idx"), sparse["values"].alias("tf"))
+    return counted.filter(F.size("idx") > 0)
 
 
 def fit_topics(words: DataFrame, cfg: TopicConfig = TopicConfig()) -> Topics:
+    """Online variational Bayes (Hoffman, Blei and Bach, 2010) whose every iteration reads all posts.
+
+    Tasks fit the posts of an Arrow batch side by side, as products of small matrices, and add up
+    topics x terms numbers, which meet on the driver. Learning rate, prior updates and the
+    precision of a post's shares are those of Spark's LDA.
+    """
     # at most cfg.max_features terms reach the driver
     vocabulary = [r["term"] for r in frequent_terms(words, cfg.min_df, cfg.max_features).collect()]
     counts = stored(count_vectors(words, vocabulary), "term-counts")
-    # every iteration reads all posts
-    lda = LDA(
-        k=cfg.k, maxIter=cfg.max_iter, seed=cfg.seed, optimizer="online", subsamplingRate=1.0
-    )
-    return Topics(lda.fit(counts), vocabulary, counts)
+    weights = np.random.default_rng(cfg.seed).gamma(100.0, 0.01, (cfg.k, len(vocabulary)))
+    prior = np.full(cfg.k, 1.0 / cfg.k)
+    for number in range(1, cfg.max_iter + 1):
+        sums, logs, posts = _batch_sums(counts, weights, prior)
+        if posts == 0:
+            break
+        rate = (1024.0 + number) ** -0.51
+        weights = (1.0 - rate) * weights + rate * (sums + 1.0 / cfg.k)
+        prior = _moved_prior(prior, logs / posts, posts, rate)
+    return Topics(weights, prior, vocabulary, counts)
+
+
+def _batch_sums(counts: DataFrame, weights: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(topics x terms sums, sums of log shares, posts) of one pass over all posts."""
+    topics, terms = weights.shape
+    likely = np.exp(_log_means(weights))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((topics, terms + 2))
+        for batch in batches:
+            for _, dense in _dense_runs(batch.column(0), batch.column(1), terms):
+                logs = _log_means(_post_shares(dense, likely, prior))
+                part = np.exp(logs)
+                total[:, :terms] += part.T @ (dense / (part @ likely + 1e-100))
+                total[:, terms] += logs.sum(axis=0)
+                total[:, terms + 1] += len(dense)
+        yield pa.RecordBatch.from_pydict({
+            "i": pa.array(range(topics), pa.int32()), "v": pa.array(list(total), pa.list_(pa.float64())),
+        })
+
+    parts = counts.select("idx", "tf").mapInArrow(partial, "i int, v array<double>")
+    summed = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+    rows = {r["i"]: r["v"] for r in summed.collect()}
+    total = np.array([rows.get(i, [0.0] * (terms + 2)) for i in range(topics)])
+    return total[:, :terms] * likely, total[:, terms], float(total[0, terms + 1])
+
+
+def _post_shares(dense: np.ndarray, likely: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Dirichlet parameters (posts x topics) of counts (posts x terms); a post is done when a step
+    changes its parameters by no more than 0.001 on average.
+
+    Two steps are carried on by squared extrapolation (Varadhan and Roland, 2008), which needs fewer
+    steps to the same point; a post that is not done after many goes on by plain steps.
+    """
+
+    def step(x: np.ndarray) -> np.ndarray:
+        part = np.exp(_log_means(x))
+        return prior + part * ((counts / (part @ likely + 1e-100)) @ likely.T)
+
+    out = prior + dense.sum(axis=1, keepdims=True) / len(prior) * np.ones(len(prior))
+    left, counts, turns = np.arange(len(dense)), dense, 0
+    while len(left):
+        first = out[left]
+        second = step(first)
+        third = step(second)
+        turns += 1
+        moving = np.abs(third - second).mean(axis=1) > 1e-3
+        following = third
+        if turns <= EXTRAPOLATED:
+            a, b, c = np.log(first), np.log(second), np.log(third)
+            speed, bend = b - a, c - 2 * b + a
+            length = np.sqrt((speed**2).sum(axis=1) / np.maximum((bend**2).sum(axis=1), 1e-300))
+            length = np.clip(length, 1.0, 32.0)[:, None]
+            ahead = np.maximum(np.exp(a + 2 * length * speed + length**2 * bend), prior)
+            following = np.where(moving[:, None], ahead, third)
+        out[left] = following
+        if not moving.all():
+            left, counts = left[moving], counts[moving]
+    return out
+
+
+def _dense_runs(idx: pa.Array, tf: pa.Array, terms: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Sparse rows, some at a time, as a posts x terms matrix."""
+    for begin in range(0, len(idx), DENSE_POSTS):
+        own, values = idx.slice(begin, DENSE_POSTS), tf.slice(begin, DENSE_POSTS)
+        dense = np.zeros((len(own), terms))
+        row = np.repeat(np.arange(len(own)), pc.list_value_length(own).to_numpy(zero_copy_only=False))
+        dense[row, own.flatten().to_numpy(zero_copy_only=False)] = values.flatten().to_numpy(zero_copy_only=False)
+        yield slice(begin, begin + len(own)), dense
+
+
+def _moved_prior(prior: np.ndarray, logs: np.ndarray, posts: float, rate: float) -> np.ndarray:
+    """One Newton step (Huang, 2005) towards the prior that explains the mean log shares."""
+    gradient = posts * (logs - _log_means(prior[None])[0])
+    curve, whole = -posts * _trigamma(prior), posts * _trigamma(prior.sum())
+    step = -(gradient - (gradient / curve).sum() / (1.0 / whole + (1.0 / curve).sum())) / curve
+    moved = prior + rate * step
+    return moved if (moved > 0).all() else prior
+
+
+def _log_means(x: np.ndarray) -> np.ndarray:
+    """Means of the logarithms under a Dirichlet distribution for each row of parameters."""
+    return _digamma(x) - _digamma(x.sum(axis=1, keepdims=True))
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """Series at x + 6, carried back by recurrence; for positive numbers."""
+    y, head = x + 6.0, 1.0 / x
+    for k in range(1, 6):
+        head = head + 1.0 / (x + k)
+    z = 1.0 / (y * y)
+    tail = z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z * (1 / 132 - z * 691 / 32760)))))
+    return np.log(y) - 0.5 / y - tail - head
+
+
+def _trigamma(x: np.ndarray) -> np.ndarray:
+    y, head = x + 6.0, 0.0
+    for k in range(6):
+        head = head + 1.0 / ((x + k) * (x + k))
+    z = 1.0 / (y * y)
+    tail = z * (1 / 6 - z * (1 / 30 - z * (1 / 42 - z * (1 / 30 - z * 5 / 66))))
+    return head + 1.0 / y + 0.5 * z + tail / y
 
 
 def topic_words(topics: Topics, n: int = 10) -> DataFrame:
     """(topic, rank, term, weight): the heaviest words of each topic."""
-    vocabulary = F.array(*[F.lit(t) for t in topics.vocabulary])
-    described = topics.model.describeTopics(n)
-    pairs = F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "w")
-    return described.select("topic", pairs).select(
-        "topic",
-        (F.col("pos") + 1).alias("rank"),
-        F.get(vocabulary, F.col("w.termIndices")).alias("term"),
-        F.col("w.termWeights").alias("weight"),
-    )
+    shares = topics.weights / topics.weights.sum(axis=1, keepdims=True)
+    order = np.argsort(-shares, axis=1, kind="stable")[:, :n]
+    rows = [
+        (topic, rank, topics.vocabulary[at], float(shares[topic, at]))
+        for topic, own in enumerate(order)
+        for rank, at in enumerate(own, 1)
+    ]
+    return topics.counts.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
 
 
 def topic_mix(topics: Topics) -> DataFrame:
     """(id_str, mix, topic): topic shares of each post and the largest one."""
-    mixed = topics.model.transform(topics.counts)
-    shares = mixed.select("id_str", vector_to_array("topicDistribution").alias("mix"))
+    likely, prior = np.exp(_log_means(topics.weights)), topics.prior
+
+    @F.arrow_udf("array<double>")
+    def mixed(idx: pa.Array, tf: pa.Array) -> pa.Array:
+        out = np.zeros((len(idx), len(prior)))
+        for at, dense in _dense_runs(idx, tf, likely.shape[1]):
+            out[at] = _post_shares(dense, likely, prior)
+        out /= out.sum(axis=1, keepdims=True)
+        offsets = pa.array(np.arange(len(idx) + 1, dtype=np.int32) * len(prior))
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    shares = topics.counts.select("id_str", mixed("idx", "tf").alias("mix"))
     return shares.withColumn("topic", vectors.argmax(F.col("mix")))
 
 

@@ -159,6 +159,29 @@ def test_topics(corpus):
     assert {r["term"] for r in words} <= set(found.vocabulary)
 
 
+def test_shares_of_a_post_are_those_of_plain_steps():
+    """The extrapolated steps end where many plain ones do, also for empty and very long posts."""
+    draw = np.random.default_rng(5)
+    weights, prior = draw.gamma(0.3, 1.0, (4, 30)) + 0.01, np.array([0.1, 0.2, 0.3, 0.4])
+    dense = draw.poisson(draw.choice([0.02, 0.5, 40.0], (60, 1)), (60, 30)).astype(float)
+    dense[0] = 0
+    likely = np.exp(topics._log_means(weights))
+    plain = prior + dense.sum(axis=1, keepdims=True) / 4
+    for _ in range(5000):
+        part = np.exp(topics._log_means(plain))
+        plain = prior + part * ((dense / (part @ likely + 1e-100)) @ likely.T)
+    got = topics._post_shares(dense, likely, prior)
+    assert (np.abs(got - plain).max(axis=1) <= 0.02 + 1e-4 * dense.sum(axis=1)).all()
+    assert got[0] == pytest.approx(prior)
+
+
+def test_topics_do_not_depend_on_how_posts_are_dealt(corpus):
+    cfg = TopicConfig(k=6, min_df=2, max_features=60, max_iter=3)
+    one, two = topics.fit_topics(corpus, cfg), topics.fit_topics(corpus.repartition(1), cfg)
+    assert one.weights == pytest.approx(two.weights, rel=1e-9)
+    assert one.prior == pytest.approx(two.prior, rel=1e-9)
+
+
 @pytest.mark.parametrize("bound", [1_000_000, 3], ids=["small", "joined"])
 def test_word_vectors(corpus, bound):
     cfg, found = WordVectorConfig(size=6, min_count=2, sample=1.0, negatives=1), LookupConfig(max_broadcast_rows=bound)
