@@ -8,8 +8,11 @@ meets on the driver, and of the matrix only a basis that fits one block.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -23,6 +26,10 @@ from storyrank.operators.nearest import nearest
 from storyrank.operators.prefix import running_totals
 from storyrank.sources.scratch import stored
 
+# words whose pairs are made at a time, and pairs that are counted at a time
+PAIR_WORDS = 1 << 17
+HELD_PAIRS = 1 << 22
+
 
 def window_pairs(sentences: DataFrame, window: int) -> DataFrame:
     """(a, b, n): how often `a` stands before or after `b`, at most `window` words away.
@@ -46,6 +53,106 @@ def _kept_share(count: Column, total: float, sample: float) -> Column:
     return F.least(F.sqrt(ratio) + ratio, F.lit(1.0))
 
 
+def _numbered_words(sentences: DataFrame, min_count: int) -> DataFrame:
+    """Stored (term, number, count) of the words counted often enough, the most frequent first."""
+    known = word_counts(sentences, min_count)
+    ordered = known.select((-F.col("count")).alias("rank"), F.col("word").alias("term"), F.lit(1).cast("long").alias("one"))
+    numbered = running_totals(ordered, ["rank", "term"], ["one"])
+    return stored(
+        numbered.select("term", F.col("one_before").alias("number"), (-F.col("rank")).alias("count")), "numbered-words"
+    )
+
+
+def _numbered_texts(sentences: DataFrame, numbered: DataFrame, cfg: LookupConfig) -> DataFrame:
+    """(words): texts as arrays of word numbers, null for words without one, for tables too large to travel."""
+    texts = stored(sentences.select("words", F.monotonically_increasing_id().alias("_row")), "unnumbered")
+    long = texts.select("_row", F.posexplode("words").alias("_pos", "term"))
+    table = numbered.select("term", F.col("number").cast("int").alias("number"))
+    found = lookup(long, table, ["term"], cfg, "left", small=False)
+    placed = F.sort_array(F.collect_list(F.struct("_pos", "number")))
+    return found.groupBy("_row").agg(placed.alias("p")).select(F.transform("p", lambda s: s["number"]).alias("words"))
+
+
+def _numbered_pairs(
+    sentences: DataFrame, numbered: DataFrame, n_words: int, window: int, cfg: LookupConfig
+) -> DataFrame:
+    """(a, b, n) by word numbers, a <= b: how often two words stand at most `window` words apart.
+
+    Tasks count runs of pairs as whole numbers, so equal pairs meet before the shuffle; words that are
+    not numbered keep their place in the text and make no pair.
+    """
+    if n_words <= cfg.max_broadcast_rows:
+        terms = numbered.orderBy("number").select("term").toArrow()["term"].combine_chunks()
+        shipped = sentences.sparkSession.sparkContext.broadcast(terms)
+        texts = sentences.select("words")
+    else:
+        shipped, texts = None, _numbered_texts(sentences, numbered, cfg)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        a, b = np.divmod(keys, n_words)
+        return pa.RecordBatch.from_pydict({
+            "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32)), "n": pa.array(n.astype(np.int64))
+        })
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            words = batch.column(0)
+            flat = words.flatten()
+            if shipped is not None:
+                flat = pc.index_in(flat, value_set=shipped.value.cast(flat.type), skip_nulls=True)
+            number = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+            text = np.repeat(np.arange(len(words)), sizes)
+            for begin in range(0, len(number), PAIR_WORDS):
+                for gap in range(1, window + 1):
+                    second, other = number[begin + gap : begin + PAIR_WORDS + gap], text[begin + gap : begin + PAIR_WORDS + gap]
+                    first = number[begin : begin + len(second)]
+                    own = (first >= 0) & (second >= 0) & (text[begin : begin + len(second)] == other)
+                    first, second = first[own], second[own]
+                    held.append(np.minimum(first, second) * n_words + np.maximum(first, second))
+                    size += len(first)
+                if size > HELD_PAIRS:
+                    yield counted(held)
+                    held, size = [], 0
+        if size:
+            yield counted(held)
+
+    found = texts.mapInArrow(pairs, "a int, b int, n long")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _numbered_information(
+    sentences: DataFrame, cfg: WordVectorConfig, lookup_cfg: LookupConfig
+) -> tuple[DataFrame, DataFrame, int]:
+    """((a, b, value) by word numbers, numbered words, how many). Pairs are kept once until the end."""
+    numbered = _numbered_words(sentences, cfg.min_count)
+    n_words = numbered.count()
+    total = float(numbered.agg(F.sum("count")).first()[0] or 1)
+    small = n_words <= lookup_cfg.max_broadcast_rows
+    shares = numbered.select(F.col("number").cast("int").alias("number"), _kept_share(F.col("count"), total, cfg.sample).alias("share"))
+    pairs = stored(_numbered_pairs(sentences, numbered, max(n_words, 1), cfg.window, lookup_cfg), "window-pairs")
+    for side in ("a", "b"):
+        own = shares.select(F.col("number").alias(side), F.col("share").alias(f"share_{side}"))
+        pairs = lookup(pairs, own, [side], lookup_cfg, small=small)
+    # a word beside itself counts from both places
+    twice = F.when(F.col("a") == F.col("b"), 2).otherwise(1)
+    pairs = stored(
+        pairs.select("a", "b", (F.col("n") * twice * F.col("share_a") * F.col("share_b")).alias("w")), "pair-weights"
+    )
+    ends = pairs.select("a", "w").unionByName(pairs.filter("a <> b").select(F.col("b").alias("a"), "w"))
+    sums = stored(ends.groupBy("a").agg(F.sum("w").alias("sum_a")), "pair-sums")
+    whole = float(sums.agg(F.sum("sum_a")).first()[0] or 1)
+    pairs = lookup(pairs, sums, ["a"], lookup_cfg, small=small)
+    pairs = lookup(pairs, sums.select(F.col("a").alias("b"), F.col("sum_a").alias("sum_b")), ["b"], lookup_cfg, small=small)
+    lift = F.log(F.col("w") * whole / (F.col("sum_a") * F.col("sum_b"))) - F.log(F.lit(float(cfg.negatives)))
+    positive = pairs.select("a", "b", lift.alias("value")).filter(F.round("value", 6) > 0)
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))
+    return positive.select(F.explode(both).alias("p"), "value").select("p.a", "p.b", "value"), numbered, n_words
+
+
 def pointwise_information(
     sentences: DataFrame,
     cfg: WordVectorConfig = WordVectorConfig(),
@@ -53,22 +160,13 @@ def pointwise_information(
 ) -> tuple[DataFrame, DataFrame]:
     """((a, b, value), words): positive information of word pairs, and the words counted often
     enough. Frequent words count by the share that subsampling is expected to keep of them."""
-    known = stored(word_counts(sentences, cfg.min_count), "known-words")
-    total = float(known.agg(F.sum("count")).first()[0] or 1)
-    shares = known.select("word", _kept_share(F.col("count"), total, cfg.sample).alias("share"))
-    pairs = window_pairs(sentences, cfg.window)
+    values, numbered, n_words = _numbered_information(sentences, cfg, lookup_cfg)
+    small = n_words <= lookup_cfg.max_broadcast_rows
     for side in ("a", "b"):
-        own = shares.select(F.col("word").alias(side), F.col("share").alias(f"share_{side}"))
-        pairs = lookup(pairs, own, [side], lookup_cfg)
-    pairs = stored(
-        pairs.select("a", "b", (F.col("n") * F.col("share_a") * F.col("share_b")).alias("w")), "pair-weights"
-    )
-    sums = stored(pairs.groupBy("a").agg(F.sum("w").alias("sum_a")), "pair-sums")
-    whole = float(sums.agg(F.sum("sum_a")).first()[0] or 1)
-    pairs = lookup(pairs, sums, ["a"], lookup_cfg)
-    pairs = lookup(pairs, sums.select(F.col("a").alias("b"), F.col("sum_a").alias("sum_b")), ["b"], lookup_cfg)
-    lift = F.log(F.col("w") * whole / (F.col("sum_a") * F.col("sum_b"))) - F.log(F.lit(float(cfg.negatives)))
-    return pairs.select("a", "b", lift.alias("value")).filter(F.round("value", 6) > 0), known
+        names = numbered.select(F.col("number").cast("int").alias(side), F.col("term").alias(f"word_{side}"))
+        values = lookup(values, names, [side], lookup_cfg, small=small)
+    named = values.select(F.col("word_a").alias("a"), F.col("word_b").alias("b"), "value")
+    return named, numbered.select(F.col("term").alias("word"), "count")
 
 
 def fit_word_vectors(
@@ -77,20 +175,14 @@ def fit_word_vectors(
     lookup_cfg: LookupConfig = LookupConfig(),
 ) -> DataFrame:
     """(word, vector array) of the words of column `words`; stored."""
-    values, known = pointwise_information(sentences, cfg, lookup_cfg)
-    ordered = known.select((-F.col("count")).alias("rank"), F.col("word").alias("term"), F.lit(1).cast("long").alias("one"))
-    numbered = running_totals(ordered, ["rank", "term"], ["one"])
-    numbered = stored(numbered.select("term", F.col("one_before").alias("number")), "numbered-words")
-    n_words = numbered.count()
+    values, numbered, n_words = _numbered_information(sentences, cfg, lookup_cfg)
     if n_words == 0:
         return sentences.sparkSession.createDataFrame([], "word string, vector array<double>")
-    cells = values
-    for side, name in (("a", "_doc"), ("b", "idx")):
-        cells = lookup(cells, numbered.select(F.col("term").alias(side), F.col("number").alias(name)), [side], lookup_cfg)
-    cells = stored(cells.select("_doc", F.col("idx").cast("int").alias("idx"), F.col("value").alias("val")), "word-matrix")
+    cells = values.select(F.col("a").cast("long").alias("_doc"), F.col("b").alias("idx"), F.col("value").alias("val"))
+    cells = stored(cells, "word-matrix")
     words = numbered.select(F.col("number").alias("_doc"), F.col("term").alias("word"))
     shape = LsaConfig(components=cfg.size, rounds=cfg.rounds, seed=cfg.seed)
-    found = lsa.factor_cells(words, cells, numbered, n_words, shape)
+    found = lsa.factor_cells(words, cells, numbered.select("term", "number"), n_words, shape)
     return stored(found.rows.select("word", F.col("lsa").alias("vector")), "word-vectors")
 
 

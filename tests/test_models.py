@@ -227,3 +227,21 @@ def test_flat_maps(spark, sf_dir):
     assert spread == pytest.approx(s[:2], rel=1e-6)
     units = [np.linalg.norm(r["pca"]) for r in queries.pca_embed(spark, sf_dir).collect()]
     assert units == pytest.approx([1.0] * len(units))
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 3], ids=["small", "joined"])
+def test_numbered_pairs_are_the_window_pairs_of_known_words(spark, monkeypatch, bound):
+    """Words that are not numbered keep their place; pairs are cut at no text or run of words."""
+    monkeypatch.setattr(embed, "PAIR_WORDS", 7)
+    monkeypatch.setattr(embed, "HELD_PAIRS", 11)
+    draw = random.Random(3)
+    data = [(draw.choices("abcdefgh", k=draw.randint(0, 30)),) for _ in range(25)] + [(None,), (["a", None, "a"],)]
+    df = spark.createDataFrame(data, "words array<string>")
+    numbered = spark.createDataFrame([(w, i, 9) for i, w in enumerate("fbdace")], "term string, number long, count long")
+    pairs = embed._numbered_pairs(df, numbered, 6, 3, LookupConfig(max_broadcast_rows=bound))
+    got = {}
+    for r in pairs.collect():
+        a, b = "fbdace"[r["a"]], "fbdace"[r["b"]]
+        got[a, b] = got[b, a] = r["n"] * (2 if a == b else 1)
+    want = {(r["a"], r["b"]): r["n"] for r in embed.window_pairs(df, 3).collect()}
+    assert got == {k: n for k, n in want.items() if set(k) <= set("fbdace")}
