@@ -29,10 +29,12 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 @dataclass(frozen=True)
 class MemberConfig:
-    """`ids_per_file`: size of the files that a load is dealt into. `probe_ids`: a load with more
-    ids than that reads the whole table instead of the index."""
+    """`ids_per_file`, `bytes_per_file`: size of the files that a load is dealt into, in ids and in bytes
+    of text, whichever makes more files. `probe_ids`: a load with more ids than that reads the whole
+    table instead of the index."""
 
     ids_per_file: int = 1_000_000
+    bytes_per_file: int = 128 * 1024 * 1024
     bits_per_id: int = 12
     hashes: int = 8
     probe_ids: int = 100_000
@@ -43,8 +45,9 @@ def id_hash(column: str) -> Column:
     return F.xxhash64(column)
 
 
-def buckets_for(ids: int, cfg: MemberConfig) -> int:
-    return max(-(-ids // cfg.ids_per_file), 1)
+def buckets_for(ids: int, size: int, cfg: MemberConfig) -> int:
+    """Files of a load with so many ids and bytes."""
+    return max(-(-ids // cfg.ids_per_file), -(-size // cfg.bytes_per_file), 1)
 
 
 def with_part(rows: DataFrame, load: int, buckets: int, column: str = "id_str") -> DataFrame:

@@ -170,19 +170,21 @@ def append_news(
     """Append accepted posts with unseen ids; their order is that of `arrival`, then line.
 
     `parsed` is a stored table with column `LINE`. Posts are dealt by the hash of their id into parts
-    of at most about `ids_per_file`, and a filter of each part goes to the membership index before
+    of at most about `ids_per_file` and `bytes_per_file`, and a filter of each part goes to the membership index before
     the part itself is written. The table is the memory of what was seen, so running a load again
     after a failure adds only what the failed attempt did not. One writer per table at a time.
     Returns how many ids the load had and how many of them were new.
     """
     spark = parsed.sparkSession
     create_news(spark, path)
-    posts = stored(first_versions(numbered_arrivals(accepted(parsed), arrival), ["position"]), "load")
-    n_ids = posts.count()
+    posts = first_versions(numbered_arrivals(accepted(parsed), arrival), ["position"])
+    size = F.sum(F.octet_length("tweet"))
+    posts, load_counts = stored_with_counts(posts, "load", {"ids": F.count("*"), "bytes": size})
+    n_ids = load_counts["ids"]
     if n_ids == 0:
         return {"ids": 0, "appended": 0}
     fresh = unseen(posts, path, n_ids, cfg, members)
-    buckets = buckets_for(n_ids, members)
+    buckets = buckets_for(n_ids, load_counts["bytes"], members)
     named = with_part(fresh.withColumn("load", F.lit(load).cast("long")), load, buckets)
     named = named.select(*schema.NEWS.fieldNames(), "bucket", "part")
     named, counts = stored_with_counts(named, "fresh", {"appended": F.count("*")})

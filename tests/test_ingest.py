@@ -145,6 +145,16 @@ def test_a_small_load_opens_few_parts_however_large_the_table(spark, tmp_path, m
     )
 
 
+def test_a_load_of_long_posts_is_dealt_by_bytes(spark, tmp_path):
+    tables = [str(tmp_path / name) for name in ("one", "many")]
+    for table, members in zip(tables, (MemberConfig(), MemberConfig(bytes_per_file=100))):
+        load(spark, table, 0, range(200), members=members)
+        load(spark, table, 1, range(100, 300), members=members)
+    assert kept(spark, tables[0]) == kept(spark, tables[1]) and len(kept(spark, tables[0])) == 300
+    files = [len(spark.read.parquet(table).inputFiles()) for table in tables]
+    assert files[1] >= 3 * files[0]
+
+
 def test_every_load_size_gives_the_same_table(spark, tmp_path):
     """By the index, by ids broadcast into the whole table, by a shuffle join."""
     tables = []
