@@ -12,6 +12,9 @@ from storyrank.config import LookupConfig, PhraseConfig
 from storyrank.operators.lookup import lookup
 from storyrank.sources.scratch import stored
 
+# texts of a batch that are read at a time
+READ_TEXTS = 64
+
 
 def pair_counts(corpus: DataFrame) -> DataFrame:
     """(a, b, n): adjacent pairs of `clean`; the last word of a text pairs with NULL.
@@ -85,12 +88,20 @@ def _merge_in_place(docs: DataFrame, pairs: pa.Table, cfg: PhraseConfig) -> Data
     def merged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = set(zip(*shipped.value))  # once per task
         for words in batches:
-            read = (_read(w or [], known, delimiter) for w in words.to_pylist())
-            yield pa.array(list(read), pa.list_(pa.string()))
+            yield _read_texts(words, known, delimiter)
 
     return docs.select("id_str", merged("words").alias("words"))
 
 
+def _read_texts(words: pa.Array, known: set[tuple[str, str]], delimiter: str) -> pa.Array:
+    """Every text of a batch; a few at a time are lists of Python, never the whole batch."""
+    parts = [pa.array([], pa.list_(pa.string()))]
+    for begin in range(0, len(words), READ_TEXTS):
+        read = [_read(w or [], known, delimiter) for w in words.slice(begin, READ_TEXTS).to_pylist()]
+        parts.append(pa.array(read, pa.list_(pa.string())))
+    return pa.concat_arrays(parts)
+
+
 def _read(words: list[str], known: set[tuple[str, str]], delimiter: str) -> list[str]:
     out, at = [], 0
     while at < len(words):

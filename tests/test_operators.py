@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +207,15 @@ def test_phrase_scores_against_counting(spark):
         got = phrases.phrase_scores(docs_of(spark, texts), cfg, lookup_cfg)
         assert {(r["a"], r["b"]): r["score"] for r in got.collect()} == pytest.approx(want)
     assert want
+
+
+def test_texts_of_a_batch_are_read_a_few_at_a_time():
+    texts = [[f"w{i % 7}", "a", "b", *(f"x{i}y{j}" for j in range(100))] for i in range(3_000)] + [None, []]
+    want = [[t[0], "a_b", *t[3:]] if t else [] for t in texts]
+    words = pa.array(texts, pa.list_(pa.string()))
+    tracemalloc.start()
+    got = phrases._read_texts(words, {("a", "b")}, "_")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == want
+    assert peak < 4_000_000
