@@ -86,6 +86,22 @@ def test_lsa_rows_have_the_inner_products_of_the_exact_factors(corpus, terms, bl
     assert mine @ mine.T == pytest.approx(exact @ exact.T, abs=1e-4)
 
 
+def test_rows_of_a_large_basis_are_mapped_and_do_not_move(corpus, terms, monkeypatch):
+    """Neither cells nor documents are dealt to lanes by block, unless the scratch folder is no mounted one."""
+    one = space(corpus, terms, 1, rounds=2)
+    monkeypatch.setattr(lsa, "TURNED_PIECES", 2)
+    monkeypatch.setattr(lsa, "TURNED_CELLS", 300)
+    with monkeypatch.context() as without:
+        without.setattr(lsa, "_tiles", None)
+        mapped = space(corpus, terms, 3, rounds=2)
+    monkeypatch.setattr(lsa.files, "mounted", lambda spark, path: None)
+    dealt = space(corpus, terms, 3, rounds=2)
+    for values, rows, basis in (mapped, dealt):
+        assert values == pytest.approx(one[0], rel=1e-6)
+        assert rows @ rows.T == pytest.approx(one[1] @ one[1].T, abs=1e-6)
+        assert np.abs((basis * one[2]).sum(axis=0)) == pytest.approx(1.0, abs=1e-6)
+
+
 def test_a_basis_in_blocks_stays_off_the_driver(corpus, terms, monkeypatch):
     """Only the vocabulary that is proven small may be brought to the driver."""
     n = terms.count()
