@@ -114,6 +114,20 @@ def test_tfidf_forms_agree(spark):
     assert {r["id_str"]: len(r["idx"]) for r in sparse}["60"] == 0
 
 
+def test_posts_are_dealt_whole_and_their_terms_do_not_move(spark):
+    """Also where an id is repeated: its rows share one length."""
+    docs = spark.createDataFrame([("1", ["a", "b"]), ("1", ["b"]), ("2", ["b"]), (None, ["a"])], "id_str string, words array<string>")
+    terms = spark.createDataFrame([("a", 3.0), ("b", 2.0)], "term string, idf double")
+    found = features.tfidf_long(docs, terms)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan[: plan.index("Generate")]
+    length = math.sqrt(9 + 4 + 4)
+    got = sorted((r["id_str"] or "", r["term"], r["weight"]) for r in found.collect())
+    want = [("", "a", 1.0), ("1", "a", 3 / length), ("1", "b", 2 / length), ("1", "b", 2 / length), ("2", "b", 1.0)]
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
 def test_post_score(spark):
     posts = spark.createDataFrame([("1", "a b b c"), ("2", "")], "id_str string, clean string")
     terms = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "term string, idf double")
