@@ -13,6 +13,7 @@ from storyrank.operators import cluster, embed, epochs, features, kmeans, lsa, n
 from storyrank.operators.clean import clean_posts
 from storyrank.operators.corpus import distinct_texts
 from storyrank.operators.metrics import metric_rows, stored_with_counts
+from storyrank.operators.prefix import running_totals
 from storyrank.plans import hot_news as plan
 from storyrank.plans import views
 from storyrank.plans.oracle import ORACLES as BASE_ORACLES
@@ -316,6 +317,15 @@ def stream_dedup_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["stream_dedup_bounded"] = BASE_ORACLES["stream_ingest"]
 
 
+def land_pages(lines: DataFrame, n_lines: int, path: str, per_page: int, pages_per_task: int = 100) -> None:
+    """Write lines (seq, value) as files of `per_page` in order of `seq`; a task writes whole pages."""
+    share = per_page * pages_per_task
+    placed = running_totals(lines.withColumn("one", F.lit(1).cast("long")), ["seq", "value"], ["one"])
+    task = F.floor(F.col("one_before") / share).cast("int")
+    dealt = placed.repartitionById(max(-(-n_lines // share), 1), task).sortWithinPartitions("one_before")
+    dealt.select("value").write.mode("append").option("maxRecordsPerFile", per_page).text(path)
+
+
 @query
 def backfill_then_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English posts land as pages of 200 and are loaded page by page, some before a restart; then all
@@ -323,10 +333,11 @@ def backfill_then_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.news(spark, sf_dir)
     base = scratch_path(spark, "backfill")
     table, live = f"{base}/news", f"{base}/live"
-    english = views.status_lines(rows.filter(F.col("lang") == "en").orderBy("seq"))
+    english = views.status_lines(rows.filter(F.col("lang") == "en"), keep=["seq"])
+    in_half = [F.pmod(F.xxhash64("value"), F.lit(2)) == half for half in (0, 1)]
+    english, n_lines = stored_with_counts(english, "english", {str(h): F.count_if(x) for h, x in enumerate(in_half)})
     for half in (0, 1):
-        page = english.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == half).coalesce(1)
-        page.write.mode("append").option("maxRecordsPerFile", 200).text(f"{base}/pages")
+        land_pages(english.filter(in_half[half]), n_lines[str(half)], f"{base}/pages", per_page=200)
         ingest.backfill_pages(spark, f"{base}/pages", table, f"{base}/pages-done", pages_per_load=8).awaitTermination()
     views.status_lines(rows, extra_reposts=1).write.text(live)
     source = ingest.landed_stream(spark, live)

@@ -140,22 +140,29 @@ def read_news(spark: SparkSession, path: str) -> DataFrame:
     return table.withColumn("seq", F.struct("load", "position")).drop("load", "position")
 
 
-def numbered_arrivals(rows: DataFrame, arrival: Sequence[str]) -> DataFrame:
-    """Replace `arrival` and `LINE` of stored rows by a `position` in arrival order, without a sort.
+def numbered_arrivals(
+    rows: DataFrame, arrival: Sequence[str], load: int, files_per_load: int | None = None
+) -> DataFrame:
+    """Replace `arrival` and `LINE` of stored rows by `load` and a `position` in arrival order, without a sort.
 
     The values of `arrival` tell file splits apart: one row for each split is put in order, and the
-    lines of a split are numbered already. A split takes 2^33 places, as the line numbers do.
+    lines of a split are numbered already. A split takes 2^33 places, as the line numbers do. With
+    `files_per_load` every so many files in that order are a load, the first of them `load`.
     """
     line = F.col(LINE).bitwiseAND((1 << 33) - 1)
+    number = F.lit(load).cast("long")
     if not arrival:
-        return rows.withColumn("position", F.col(LINE)).drop(LINE)
+        return rows.withColumn("position", F.col(LINE)).withColumn("load", number).drop(LINE)
+    if files_per_load:
+        in_files = Window.orderBy(*[a for a in arrival if a != "file_start"])
+        number += F.floor((F.dense_rank().over(in_files) - 1) / files_per_load)
     splits = rows.select(*arrival).distinct()
     order = F.row_number().over(Window.orderBy(*arrival)).cast("long")
-    ordered = splits.select(*[F.col(a).alias(f"_{a}") for a in arrival], order.alias("_split"))
+    ordered = splits.select(*[F.col(a).alias(f"_{a}") for a in arrival], order.alias("_split"), number.alias("load"))
     same = reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in arrival])
     placed = rows.join(ordered, same)
     return placed.withColumn("position", F.col("_split") * (1 << 33) + line).select(
-        *[c for c in rows.columns if c not in (*arrival, LINE)], "position"
+        *[c for c in rows.columns if c not in (*arrival, LINE)], "load", "position"
     )
 
 
@@ -166,6 +173,7 @@ def append_news(
     arrival: Sequence[str] = FILE_ARRIVAL,
     cfg: LookupConfig = LookupConfig(),
     members: MemberConfig = MemberConfig(),
+    files_per_load: int | None = None,
 ) -> dict[str, int]:
     """Append accepted posts with unseen ids; their order is that of `arrival`, then line.
 
@@ -177,7 +185,7 @@ def append_news(
     """
     spark = parsed.sparkSession
     create_news(spark, path)
-    posts = first_versions(numbered_arrivals(accepted(parsed), arrival), ["position"])
+    posts = first_versions(numbered_arrivals(accepted(parsed), arrival, load, files_per_load), ["position"])
     size = F.sum(F.octet_length("tweet"))
     posts, load_counts = stored_with_counts(posts, "load", {"ids": F.count("*"), "bytes": size})
     n_ids = load_counts["ids"]
@@ -185,7 +193,7 @@ def append_news(
         return {"ids": 0, "appended": 0}
     fresh = unseen(posts, path, n_ids, cfg, members)
     buckets = buckets_for(n_ids, load_counts["bytes"], members)
-    named = with_part(fresh.withColumn("load", F.lit(load).cast("long")), load, buckets)
+    named = with_part(fresh, load, buckets)
     named = named.select(*schema.NEWS.fieldNames(), "bucket", "part")
     named, counts = stored_with_counts(named, "fresh", {"appended": F.count("*")})
     if counts["appended"] == 0:

@@ -247,6 +247,45 @@ def test_a_backfill_stopped_after_any_page_resumes(spark, tmp_path, monkeypatch,
     assert order == list(range(22))
 
 
+def test_a_long_backlog_takes_few_micro_batches_and_keeps_its_loads(spark, tmp_path, monkeypatch):
+    pages = str(tmp_path / "pages")
+    for n in range(9):
+        land(pages, f"page{9 - n}.json", [status(i, n) for i in range(5 * n, 5 * n + 7)], at=1_000_000_000 + n)
+    whole, stop = ingest.ingest_batch, []
+
+    def run(name, **more):
+        """Micro-batches, and the ids of each load in order."""
+        seen = []
+
+        def watched(*a, **b):
+            if stop and len(seen) == stop[0]:
+                raise OSError("stopped")
+            seen.append(whole(*a, **b)["lines"])
+
+        monkeypatch.setattr(ingest, "ingest_batch", watched)
+        table = str(tmp_path / name)
+        more = {"pages_per_load": 2} | more
+        query = ingest.backfill_pages(spark, pages, table, f"{table}-done", **more)
+        if stop:
+            with pytest.raises(Exception, match="stopped"):
+                query.awaitTermination()
+            return seen
+        query.awaitTermination()
+        loads = {}
+        for r in news.read_news(spark, table).orderBy("seq").collect():
+            loads.setdefault(r["seq"]["load"], []).append((int(r["id_str"]), r["rt_cnt"]))
+        return seen, list(loads.values())
+
+    each, loads = run("each")
+    assert each == [14, 14, 14, 14, 7] and [len(x) for x in loads] == [12, 10, 10, 10, 5]
+    assert run("few", most_batches=2) == ([42, 21], loads)
+    stop.append(1)
+    assert run("stopped", most_batches=2) == [42]
+    stop.clear()
+    # the micro-batch that was begun runs as it was planned
+    assert run("stopped") == ([21], loads)
+
+
 def test_bounded_stream_forgets_ids_past_the_bound(spark, tmp_path):
     landing, table = str(tmp_path / "landing"), str(tmp_path / "posts")
     hour, start = 3_600, 1_000_000_000

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from storyrank.config import ClusterConfig, LookupConfig
 from storyrank.operators import epochs, kmeans, nearest, rank, topics
 from storyrank.operators.metrics import stored_with_counts
+from storyrank.plans import steps
 
 
 def all_pairs(rows, queries, k):
@@ -205,3 +207,21 @@ def test_counts_come_with_the_write(spark, tmp_path):
     plan = before.observe("x", F.count("*").alias("all"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
     assert stored_with_counts(before.limit(0), "n", {"all": F.count("*"), "sum": F.sum("id")})[1] == {"all": 0, "sum": 0}
+
+
+@pytest.mark.parametrize("per_task", [1, 2, 100])
+def test_landed_pages_are_whole_and_in_order(spark, tmp_path, per_task):
+    path = str(tmp_path / "pages")
+    lines = spark.range(95).select((F.col("id") * 37 % 95).alias("seq")).withColumn("value", F.format_string("%03d", "seq"))
+    steps.land_pages(lines.repartition(5), 95, path, per_page=10, pages_per_task=per_task)
+    files = sorted(os.listdir(path))
+    pages = [open(f"{path}/{f}").read().split() for f in files if f.endswith(".txt")]
+    assert pages == [[f"{i:03d}" for i in range(n, min(n + 10, 95))] for n in range(0, 95, 10)]
+    tasks = {f.split("-")[1] for f in files if f.startswith("part-")}
+    assert len(tasks) == -(-10 // per_task)
+
+
+def test_landed_pages_of_no_lines(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    steps.land_pages(spark.createDataFrame([], "seq long, value string"), 0, path, per_page=10)
+    assert spark.read.text(path).count() == 0
