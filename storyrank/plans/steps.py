@@ -318,11 +318,13 @@ ORACLES["stream_dedup_bounded"] = BASE_ORACLES["stream_ingest"]
 
 
 def land_pages(lines: DataFrame, n_lines: int, path: str, per_page: int, pages_per_task: int = 100) -> None:
-    """Write lines (seq, value) as files of `per_page` in order of `seq`; a task writes whole pages."""
+    """Write stored lines (at, seq, value), told apart by `at`, as files of `per_page` in order of `seq`;
+    a task writes whole pages."""
     share = per_page * pages_per_task
-    placed = running_totals(lines.withColumn("one", F.lit(1).cast("long")), ["seq", "value"], ["one"])
-    task = F.floor(F.col("one_before") / share).cast("int")
-    dealt = placed.repartitionById(max(-(-n_lines // share), 1), task).sortWithinPartitions("one_before")
+    ones = lines.select("at", "seq", F.lit(1).cast("long").alias("one"))
+    places = running_totals(ones, ["seq", "at"], ["one"]).select("at", F.col("one_before").alias("place"))
+    task = F.floor(F.col("place") / share).cast("int")
+    dealt = lines.join(places, "at").repartitionById(max(-(-n_lines // share), 1), task).sortWithinPartitions("place")
     dealt.select("value").write.mode("append").option("maxRecordsPerFile", per_page).text(path)
 
 
@@ -334,6 +336,7 @@ def backfill_then_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "backfill")
     table, live = f"{base}/news", f"{base}/live"
     english = views.status_lines(rows.filter(F.col("lang") == "en"), keep=["seq"])
+    english = english.withColumn("at", F.monotonically_increasing_id())
     in_half = [F.pmod(F.xxhash64("value"), F.lit(2)) == half for half in (0, 1)]
     english, n_lines = stored_with_counts(english, "english", {str(h): F.count_if(x) for h, x in enumerate(in_half)})
     for half in (0, 1):

@@ -212,7 +212,7 @@ def test_counts_come_with_the_write(spark, tmp_path):
 @pytest.mark.parametrize("per_task", [1, 2, 100])
 def test_landed_pages_are_whole_and_in_order(spark, tmp_path, per_task):
     path = str(tmp_path / "pages")
-    lines = spark.range(95).select((F.col("id") * 37 % 95).alias("seq")).withColumn("value", F.format_string("%03d", "seq"))
+    lines = spark.range(95).select(F.col("id").alias("at"), (F.col("id") * 37 % 95).alias("seq")).withColumn("value", F.format_string("%03d", "seq"))
     steps.land_pages(lines.repartition(5), 95, path, per_page=10, pages_per_task=per_task)
     files = sorted(os.listdir(path))
     pages = [open(f"{path}/{f}").read().split() for f in files if f.endswith(".txt")]
@@ -223,5 +223,5 @@ def test_landed_pages_are_whole_and_in_order(spark, tmp_path, per_task):
 
 def test_landed_pages_of_no_lines(spark, tmp_path):
     path = str(tmp_path / "pages")
-    steps.land_pages(spark.createDataFrame([], "seq long, value string"), 0, path, per_page=10)
+    steps.land_pages(spark.createDataFrame([], "at long, seq long, value string"), 0, path, per_page=10)
     assert spark.read.text(path).count() == 0
