@@ -1,15 +1,17 @@
-"""Token ids of whole texts by a tokenizer file, with a bounded memory of pieces.
+"""Token ids of whole texts by a tokenizer file, with a bounded memory of words.
 
-Both supported kinds of tokenizer never merge across certain white space. A text is cut there, and
-each piece is encoded once by the tokenizers library and remembered. Texts whose white space does
-not allow such cuts are encoded whole.
+Both supported kinds of tokenizer never merge across certain white space, nor a word with the marks
+after it. A text is cut there, and each word is encoded once by the tokenizers library and remembered;
+cutting, looking up and joining work on whole columns. Texts whose white space does not allow such
+cuts are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
-import re
+import string
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ _SPACE = (
 )
 # white space in a text of the byte-level kind that does not allow cuts, and the mark of a cut
 _RUNS = rf"[{_SPACE}][{_SPACE}]|[\t\x0b-\r\x1c-\x1f\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{3000}}]|\x00"
-# a letter or digit, then marks other than the apostrophe of short forms
-_TAIL = re.compile(r"(.*[^\W_])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+# marks other than the apostrophe of short forms
+_MARKS = string.punctuation.replace("'", "")
 
 # rows and bytes of a batch of texts to encode: each distinct piece is looked up once in a batch
 ENCODED_TOGETHER = 5_000, "16m"
@@ -51,7 +53,7 @@ class TokenizerSpec:
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes; remembers up to two generations of pieces."""
+    """Ids of texts; remembers a bounded number of words, as Arrow strings and one array of ids."""
 
     GENERATION = 300_000
     LONGEST_KEPT = 64
@@ -61,8 +63,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec.definition)
         self.dtype, self.byte_level = np.dtype(spec.dtype), spec.byte_level
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = pa.array([], pa.string())
+        self.pool, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64)
 
     def _pieces(self, texts: pa.Array) -> pa.Array:
         """Parts of each text that can be encoded one by one."""
@@ -85,109 +87,118 @@ class Encoder:
             texts, all_texts = pc.if_else(odd, "", texts), texts
         lists = self._pieces(texts)
         coded = lists.flatten().dictionary_encode()
-        values = self._values(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-        pool = np.frombuffer(b"".join(values), self.dtype)
-        index = coded.indices.to_numpy()
-        counts = sizes[index]
-        ends = np.cumsum(counts)
-        # id number i of piece p stands at begin[p] + i of the pool
-        shift = (np.cumsum(sizes) - sizes)[index] - (ends - counts)
-        ids = pool[np.repeat(shift, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        words = _cut_marks(coded.dictionary.cast(pa.string())).dictionary_encode()
+        ids, sizes = _picked(*self._values(words.dictionary), words.indices.to_numpy())
+        ids, sizes = _picked(ids, sizes.reshape(-1, 2).sum(axis=1), coded.indices.to_numpy())
         firsts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        begins = np.concatenate([[0], ends])[firsts]
+        begins = np.concatenate([[0], np.cumsum(sizes)])[firsts]
         if len(whole):
             parts = np.split(ids, begins[1:-1])
-            for i, found in zip(whole, self._ids([all_texts[int(i)].as_py() for i in whole])):
-                parts[i] = np.frombuffer(found, self.dtype)
+            found, counts = self._ids([all_texts[int(i)].as_py() for i in whole])
+            for i, own in zip(whole, np.split(found, np.cumsum(counts)[:-1])):
+                parts[i] = own
             ids = np.concatenate(parts)
             begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, begins
 
-    def _values(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces; what is new is learned."""
-        values = list(map(self.known.get, pieces))
-        missing = [i for i, v in enumerate(values) if v is None]
-        if len(self.known) + len(missing) > self.GENERATION:
-            self.older, self.known = self.known, {}
-        fresh = []
-        for i, value in zip(missing, map(self.older.get, [pieces[i] for i in missing])):
-            if value is None:
-                fresh.append(i)
-            else:
-                values[i] = self.known[pieces[i]] = value
-        learned = self._encoded({pieces[i] for i in fresh})
-        for i in fresh:
-            values[i] = learned[pieces[i]]
-        self.known.update((p, v) for p, v in learned.items() if len(p) <= self.LONGEST_KEPT)
+    def _values(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after the other, and how many each has; what is new is learned."""
+        found = pc.index_in(words, value_set=self.known)
+        new = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        fresh = words.take(pa.array(new))
+        ids, sizes = self._encoded(fresh)
+        index = found.fill_null(0).to_numpy().astype(np.int64)
+        index[new] = len(self.known) + np.arange(len(new))
+        pool, counts = np.concatenate([self.pool, ids]), np.concatenate([self.sizes, sizes])
+        values = _picked(pool, counts, index)
+        if len(counts) <= self.GENERATION:
+            self._remember(pa.concat_arrays([self.known, fresh]), pool, counts)
+        else:
+            # all but the words of this batch is forgotten
+            self._remember(words, *values)
         return values
 
-    def _encoded(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces not known, and of the parts they were cut into."""
-        split: dict[str, tuple[str, str]] = {}
-        whole = set()
-        for piece in pieces:
-            match = None if piece.isalpha() or "<|" in piece else _TAIL.fullmatch(piece)
-            if match:
-                # letters or digits and the marks after them are never one token
-                split[piece] = match.groups()
-                whole.update(match.groups())
-            else:
-                whole.add(piece)
-        found = {p: self.known[p] for p in whole if p in self.known} if split else {}
-        plain, spaced, lines, others = [], [], [], []
-        for piece in whole:
-            if piece in found:
-                continue
-            word = piece[1:] if self.byte_level and piece[:1] == " " else piece
-            if not word.isalpha():
-                others.append(piece)
-            elif word.isascii():
-                plain.append(piece)
-            elif word is piece and self.byte_level:
-                lines.append(piece)
-            else:
-                spaced.append(piece)
-        todo = ((self._plain_ids, plain), (self._spaced_ids, spaced), (self._line_ids, lines), (self._ids, others))
-        for encode, group in todo:
+    def _remember(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        short = pc.less_equal(pc.utf8_length(words), self.LONGEST_KEPT)
+        kept = np.flatnonzero(short.to_numpy(zero_copy_only=False))[: self.GENERATION]
+        if len(kept) < len(words):
+            words, (ids, sizes) = words.take(pa.array(kept)), _picked(ids, sizes, kept)
+        self.known, self.pool, self.sizes = words, ids, sizes
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are not known, and how many each has; each kind of word in its way."""
+        letters = _mask(pc.utf8_is_alpha(pc.ascii_ltrim(words, " ")))
+        plain = letters & _mask(pc.string_is_ascii(words))
+        lines = letters & ~plain & ~_mask(pc.starts_with(words, " ")) & self.byte_level
+        spaced = letters & ~plain & ~lines
+        todo = ((self._plain_ids, plain), (self._spaced_ids, spaced), (self._line_ids, lines), (self._ids, ~letters))
+        order, ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for encode, kind in todo:
+            group = np.flatnonzero(kind)
             for begin in range(0, len(group), 1_000):
-                part = group[begin : begin + 1_000]
-                found.update(zip(part, encode(part)))
-        for piece, (word, tail) in split.items():
-            found[piece] = found[word] + found[tail]
-        return found
+                order.append(group[begin : begin + 1_000])
+                found, counts = encode(words.take(pa.array(order[-1])).to_pylist())
+                ids.append(found)
+                sizes.append(counts)
+        return _picked(np.concatenate(ids), np.concatenate(sizes), np.argsort(np.concatenate(order)))
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+    def _joined(self, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum())), sizes
 
-    def _plain_ids(self, words: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._joined([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of ASCII letters, on which only the model of the tokenizer acts."""
         tokenize = self.tokenizer.model.tokenize
         # the byte-level alphabet writes a space as this letter
-        found = [[t.id for t in tokenize(w.replace(" ", "\u0120"))] for w in words]
-        return self._cut(np.array([i for ids in found for i in ids], self.dtype), list(map(len, found)))
-
-    def _cut(self, ids: np.ndarray, sizes: list[int]) -> list[bytes]:
-        ends = (np.cumsum(sizes) * self.dtype.itemsize).tolist()
-        whole = ids.tobytes()
-        return [whole[a:b] for a, b in zip([0, *ends], ends)]
+        return self._joined([[t.id for t in tokenize(w.replace(" ", "\u0120"))] for w in words])
 
-    def _spaced_ids(self, words: list[str]) -> list[bytes]:
+    def _spaced_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters, a space before each; in one line each is one word."""
         return self._in_line("".join(w if w[0] == " " else f" {w}" for w in words), words, 1)
 
-    def _line_ids(self, words: list[str]) -> list[bytes]:
+    def _line_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters at the beginning of a line; every other word is a line end."""
         return self._in_line("\n".join(words), words, 2)
 
-    def _in_line(self, line: str, words: list[str], every: int) -> list[bytes]:
+    def _in_line(self, line: str, words: list[str], every: int) -> tuple[np.ndarray, np.ndarray]:
         found = self.tokenizer.encode(line, add_special_tokens=False)
         ids, word = np.array(found.ids, self.dtype), np.array(found.word_ids, np.int64)
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         if len(starts) != every * len(words) - (every - 1):
             return self._ids(words)
-        return self._cut(ids, np.diff([*starts, len(ids)]).tolist())[::every]
+        return _picked(ids, np.diff(starts, append=len(ids)), np.arange(0, len(starts), every))
+
+
+def _mask(found: pa.Array) -> np.ndarray:
+    return found.to_numpy(zero_copy_only=False)
+
+
+def _cut_marks(pieces: pa.Array) -> pa.Array:
+    """Two strings for each piece: the part up to its last letter or digit, then the marks after it.
+
+    Letters or digits and the marks after them are never one token. A piece that does not end like
+    that is the first string and the second is empty. The bytes are shared, only offsets are new.
+    """
+    heads = pc.ascii_rtrim(pieces, _MARKS)
+    cut = _mask(pc.utf8_is_alnum(pc.utf8_slice_codeunits(heads, -1))) & ~_mask(pc.match_substring(pieces, "<|"))
+    offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :][: len(pieces) + 1]
+    ends = np.where(cut, offsets[:-1] + pc.binary_length(heads).to_numpy(), offsets[1:])
+    places = np.empty(2 * len(pieces) + 1, np.int32)
+    places[::2], places[1::2] = offsets, ends
+    return pa.StringArray.from_buffers(2 * len(pieces), pa.py_buffer(places), pieces.buffers()[2])
+
+
+def _picked(pool: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ids of words that stand one after the other in `pool`, those of the words at `index`, and
+    how many each has."""
+    counts = sizes[index]
+    ends = np.cumsum(counts)
+    # id number i of word p stands at begin[p] + i of the pool
+    shift = (np.cumsum(sizes) - sizes)[index] - (ends - counts)
+    return pool[np.repeat(shift, counts) + np.arange(ends[-1] if len(ends) else 0)], counts
 
 
 _ENCODERS: dict[str, Encoder] = {}

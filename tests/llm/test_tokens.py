@@ -39,6 +39,34 @@ def test_encoder_equals_the_library(spark, sf_dir, name, generation):
                 assert ids[a:b].tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", [WORD, BYTE])
+def test_words_are_encoded_once_whatever_marks_follow(name):
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopé" for c in "qrstuvwxyz"]
+    path = public_tokenizers.path(name)
+    plain, ours = Tokenizer.from_file(path), Encoder(TokenizerSpec.read(path))
+    asked, encoded = [], ours._encoded
+    ours._encoded = lambda new: asked.append(len(new)) or encoded(new)
+    for mark in [",", "...", "!)", "'", "_", "9.", "é?"]:
+        texts = ["x", "", None, " ".join(w + mark for w in words), " ".join(words) + mark]
+        ids, begins = ours.encode(pa.array(texts))
+        for text, a, b in zip(texts, begins, begins[1:]):
+            assert ids[a:b].tolist() == plain.encode(text or "", add_special_tokens=False).ids
+        if mark in ("...", "!)"):
+            assert asked[-1] < 10
+    assert [b - a for a, b in [ours.encode(pa.array(["", None]))[1][:2]]] == [0]
+
+
+def test_memory_of_words_is_bounded():
+    ours = Encoder(TokenizerSpec.read(public_tokenizers.path(BYTE)))
+    ours.GENERATION = 50
+    for begin in range(0, 400, 30):
+        ids, _ = ours.encode(pa.array([" ".join(f"word{i}." for i in range(begin, begin + 70)), "y" * 100]))
+        again, _ = ours.encode(pa.array([" ".join(f"word{i}." for i in range(begin, begin + 70)), "y" * 100]))
+        assert ids.tolist() == again.tolist()
+        assert 0 < len(ours.known) == len(ours.sizes) <= 50 and ours.sizes.sum() == len(ours.pool)
+        assert max(map(len, ours.known.to_pylist())) <= ours.LONGEST_KEPT
+
+
 def sorted_rows():
     return sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
 
