@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyrank.config import LookupConfig, PhraseConfig
+from storyrank.operators.corpus import word_counts
 from storyrank.operators.lookup import lookup
-from storyrank.sources.scratch import stored
+from storyrank.operators.pairs import count_pairs, unpack
+from storyrank.sources.scratch import discard, stored
 
 # texts of a batch that are read at a time
 READ_TEXTS = 64
@@ -41,8 +44,17 @@ def phrase_scores(
     """(a, b, n, score) of the accepted pairs.
 
     score = (n(ab) - min_count) * N / (n(a) * n(b)) with N the number of distinct words and
-    pairs; a pair needs n(ab) >= min_count and a score above the threshold.
+    pairs; a pair needs n(ab) >= min_count and a score above the threshold. Words that travel as a column
+    are counted as numbers; more of them are counted as words.
     """
+    texts = corpus.select(F.split("clean", " ").alias("words"))
+    words = stored(word_counts(texts), "words")
+    # a word that occurs once makes a new pair wherever it stands, so it needs no number
+    least = 2 if cfg.min_count >= 2 else 1
+    known = words.filter(F.col("count") >= least)
+    if known.count() <= lookup_cfg.max_arrow_rows:
+        return _scores(*_packed_pairs(texts, words, known, cfg), cfg)
+    discard(words)
     counted = stored(pair_counts(corpus), "pairs")
     words = stored(counted.groupBy("a").agg(F.sum("n").alias("n_word")), "words")
     n_vocabulary = words.count() + counted.filter(F.col("b").isNotNull()).count()
@@ -53,7 +65,11 @@ def phrase_scores(
     first = frequent.select("a", F.col("n_word").alias("n_a"))
     second = frequent.select(F.col("a").alias("b"), F.col("n_word").alias("n_b"))
     pairs = lookup(pairs, first, ["a"], lookup_cfg, small=small)
-    pairs = lookup(pairs, second, ["b"], lookup_cfg, small=small)
+    return _scores(lookup(pairs, second, ["b"], lookup_cfg, small=small), n_vocabulary, cfg)
+
+
+def _scores(pairs: DataFrame, n_vocabulary: int, cfg: PhraseConfig) -> DataFrame:
+    """Accepted pairs of (a, b, n, n_a, n_b)."""
     lift = (F.col("n") - cfg.min_count) * F.lit(float(n_vocabulary)) / (F.col("n_a") * F.col("n_b"))
     return (
         pairs.withColumn("score", lift)
@@ -62,6 +78,40 @@ def phrase_scores(
     )
 
 
+def _packed_pairs(texts: DataFrame, words: DataFrame, known: DataFrame, cfg: PhraseConfig) -> tuple[DataFrame, int]:
+    """((a, b, n, n_a, n_b) of pairs counted often enough, how many words and pairs there are).
+
+    Of the pairs with a word that has no number only their places are counted: each is a pair of its own.
+    """
+    table = known.orderBy(F.col("count").desc(), "word").toArrow()
+    terms, n_words = table["word"].combine_chunks(), max(table.num_rows, 1)
+    sizes = words.agg(F.count("*"), F.sum("count")).first()
+    total, filled = sizes[1] or 0, texts.filter(F.size("words") > 0).count()
+    packed = stored(count_pairs(texts, terms, n_words, 1, total, ordered=True), "pairs")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        different, places = 0, 0
+        for batch in batches:
+            for _, keys, n in unpack(batch):
+                different, places = different + len(keys), places + int(n.sum())
+        yield pa.RecordBatch.from_pydict({"different": pa.array([different]), "places": pa.array([places])})
+
+    found = packed.mapInArrow(met, "different long, places long").agg(F.sum("different"), F.sum("places")).first()
+    n_vocabulary = sizes[0] + (found[0] or 0) + (total - filled) - (found[1] or 0)
+    shipped = texts.sparkSession.sparkContext.broadcast((terms, table["count"].combine_chunks()))
+    least = cfg.min_count
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, keys, n in unpack(batch):
+                often = n >= least
+                ends = [pa.array(x) for x in np.divmod(keys[often], n_words)]
+                columns = [values.take(x) for values in shipped.value for x in ends]
+                yield pa.RecordBatch.from_arrays([*columns[:2], pa.array(n[often]), *columns[2:]], ["a", "b", "n", "n_a", "n_b"])
+
+    return packed.mapInArrow(named, "a string, b string, n long, n_a long, n_b long"), n_vocabulary
+
+
 def merge_phrases(
     docs: DataFrame,
     accepted: DataFrame,
